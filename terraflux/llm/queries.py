@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .lm_scoring import op1_lm_scoring
 from .pii import op3_pii
+from .quality import op8_quality
 from .sentencepiece_codec import op6_sentencepiece
 from .simhash import op9_simhash
 from .token_counts import op7_token_counts
@@ -19,7 +21,9 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_line_dedup": OP10_SQL}
