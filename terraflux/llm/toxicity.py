@@ -97,7 +97,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -40, 40)))
 
 
-def fit(rows: list[tuple[str, int]], *, buckets: int = 1 << 16, dim: int = 8, window: int = 8, warm: int = 12, rounds: int = 30, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], *, buckets: int = 1 << 16, dim: int = 4, window: int = 8, warm: int = 40, rounds: int = 100, rate: float = 0.3, seed: int = 7) -> ToxicityModel:
     """Train on (text, toxic 0 or 1). With one class only, or no rows, the model says that class, or 0."""
     docs = [(words_of(t), y) for t, y in rows]
     docs = [(w, y) for w, y in docs if w]
@@ -122,7 +122,7 @@ def fit(rows: list[tuple[str, int]], *, buckets: int = 1 << 16, dim: int = 8, wi
     emb = rng.normal(0, 0.1, (dim, buckets)).astype(np.float32)
     soft = rng.normal(0, 0.1, (2, dim)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (emb, soft, bias)]
+    state = [[np.zeros_like(p), 0.0] for p in (emb, soft, bias)]
 
     def vectors() -> np.ndarray:
         out = np.empty((dim, len(starts)), np.float32)
@@ -152,11 +152,11 @@ def fit(rows: list[tuple[str, int]], *, buckets: int = 1 << 16, dim: int = 8, wi
             per_token = (dx[d] / per_window)[window_of_token]
             word = np.bincount(token, per_token, len(ids)) / per_word
             d_emb[d] = np.bincount(grams, word[word_of_gram], buckets)
-        d_emb += decay * emb / buckets
-        for p, dp, (m, v) in zip((emb, soft, bias), (d_emb, g @ x.T, g.sum(1)), state, strict=True):
-            m += 0.1 * (dp - m)
-            v += 0.01 * (dp * dp - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        # momentum, at one rate for a whole array: an n-gram of few documents hardly moves
+        for p, dp, st in zip((emb, soft, bias), (d_emb, g @ x.T, g.sum(1)), state, strict=True):
+            st[0] += 0.2 * (dp - st[0])
+            st[1] = max(float(np.abs(st[0]).max()), 0.9 * st[1], 1e-12)
+            p -= rate * min(1, 2 - 2 * step / (warm + rounds + 1)) / st[1] * st[0]
 
     way = soft[1] - soft[0]
     margin = way @ vectors() + bias[1] - bias[0]
