@@ -10,6 +10,7 @@ be covered counts as one unknown token.
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches, map_rows, table, texts
 from .sentencepiece_codec import MARK, Codec, default_model
 
-_CACHE = 300_000
+#: Words that a worker keeps.
+_CACHE = 1_000_000
+_WORKER: dict[bytes, _Counts] = {}
 
 
 class LongestMatch:
@@ -103,9 +106,13 @@ def token_counts(docs: DataFrame, *, vocabulary: list[str] | None = None, initia
     """
     bounded_batches(docs.sparkSession)
     pieces = vocabulary_of() if vocabulary is None else list(vocabulary)
+    key = hashlib.sha256("\0".join([initial, *pieces]).encode("utf-8", "surrogatepass")).digest()
 
     def make():
-        known = _Counts(LongestMatch(pieces), initial)
+        if key not in _WORKER:  # a worker process keeps the last automaton and its counts from task to task
+            _WORKER.clear()
+            _WORKER[key] = _Counts(LongestMatch(pieces), initial)
+        known = _WORKER[key]
 
         def step(cols: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {"doc_id": cols["doc_id"], "n_words": [], "n_tokens": [], "n_unknown": []}
