@@ -1,15 +1,69 @@
-"""Stages that turn raw documents into training data."""
+"""Stages that turn raw documents into training data.
+
+Each stage takes (spark, docs, sf_dir), where docs is all that its predecessor
+kept, and calls one operator of ``terraflux.llm``. Every stage but the last
+returns the columns of docs. ``run`` applies them one after another, each on the
+written table of the one before.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terraflux.llm.common import materialise, table
+from terraflux.llm.decontaminate import contaminated
+from terraflux.llm.line_dedup import dedup_lines
+from terraflux.llm.quality import judge
+from terraflux.llm.sentencepiece_codec import encode
+from terraflux.llm.simhash import first_of_each_class
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the outlier test keep."""
+    return judge(docs).where("quality.kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that occur earlier, and with n_chars to match; a
+    document of which nothing is left goes."""
+    left = dedup_lines(docs)
+    emptied = (F.col("line_dedup.n_removed_lines") > 0) & (F.col("line_dedup.n_removed_lines") == F.col("line_dedup.n_lines"))
+    changed = F.col("line_dedup.n_removed_lines") > 0
+    size = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return left.where(~emptied).select(*[size if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    return first_of_each_class(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contaminated(docs, table(spark, sf_dir, "benchmark"), False)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, begins, ends and decoded of every document."""
+    return encode(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
 
-STAGES: list = []
+#: Robust estimates, SimHash classes and SentencePiece ids aren't expressible in SQL; the
+#: stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

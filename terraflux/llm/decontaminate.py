@@ -24,8 +24,10 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, map_rows, table, texts, words_of
 
@@ -181,6 +183,38 @@ class Index:
         return out
 
 
+def benchmark_items(benchmark: DataFrame) -> list[tuple[list, list[bytes]]]:
+    """(ids, words) of the distinct items that can be searched; the benchmark is the small query set."""
+    grouped: dict[tuple[bytes, ...], list] = {}
+    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
+        w = tuple(words_of(r.text.encode()))
+        if len(w) >= LEAST_WORDS:
+            grouped.setdefault(w, []).append(r.item_id)
+    return sorted(((sorted(ids, key=lambda x: (x is None, x)), list(w)) for w, ids in grouped.items()), key=lambda x: x[1])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, want: bool = True, *, similarity: float = 0.8, block: int = 20_000) -> DataFrame:
+    """The rows of docs, with all their columns, in which ``contamination`` finds an item, or
+    (``want`` false) the rest. Cases as there; a null text holds none."""
+    bounded_batches(docs.sparkSession)
+    items = benchmark_items(benchmark)
+    for a in range(0, max(1, len(items)), block):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(items[a : a + block], similarity=similarity))
+
+        def run(batches, sent=sent):
+            index = sent.value
+            for b in batches:
+                split = [words_of((t or "").encode("utf-8", "surrogatepass")) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+                found = np.array([bool(x) for x in index.search(split)], bool)
+                if "__found" in b.schema.names:
+                    found |= b.column(b.schema.get_field_index("__found")).to_numpy(zero_copy_only=False)
+                    b = b.drop_columns(["__found"])
+                yield b.append_column("__found", pa.array(found))
+
+        docs = docs.mapInArrow(run, T.StructType([*(f for f in docs.schema if f.name != "__found"), T.StructField("__found", T.BooleanType())]))
+    return docs.where(F.col("__found") == want).drop("__found")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, block: int = 20_000) -> DataFrame:
     """(doc_id, item_id, distance, item_words, end_word) for each row of docs (doc_id, text) and
     each item of benchmark (item_id, text) that some passage of it matches.
@@ -194,18 +228,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, similarity: float =
     bounded_batches(docs.sparkSession)
     kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind}, distance int, item_words int, end_word int"
-    grouped: dict[tuple[bytes, ...], list] = {}
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        w = tuple(words_of(r.text.encode()))
-        if len(w) >= LEAST_WORDS:
-            grouped.setdefault(w, []).append(r.item_id)
-    items = sorted(((sorted(ids, key=lambda x: (x is None, x)), list(w)) for w, ids in grouped.items()), key=lambda x: x[1])
+    items = benchmark_items(benchmark)
     found = None
     for a in range(0, max(1, len(items)), block):
-        sent = docs.sparkSession.sparkContext.broadcast(items[a : a + block])
+        sent = docs.sparkSession.sparkContext.broadcast(Index(items[a : a + block], similarity=similarity))
 
         def make(sent=sent):
-            index = Index(sent.value, similarity=similarity)
+            index = sent.value
 
             def step(cols: dict[str, list]) -> dict[str, list]:
                 out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "distance", "item_words", "end_word")}

@@ -24,7 +24,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, map_rows, materialise, shuffle_partitions, table, texts, words_of
@@ -50,17 +50,18 @@ def fingerprint(text: str | bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long: the fingerprint's bits) for each row of (doc_id, text)."""
+    """(doc_id, text_hash, fp long: the fingerprint's bits) for each row of (doc_id, text)."""
     bounded_batches(docs.sparkSession)
 
     def make():
         def step(cols: dict[str, list]) -> dict[str, list]:
             fp = np.array([fingerprint(t, shingle) for t in cols["text"]], U).view(np.int64)
-            return {"doc_id": cols["doc_id"], "fp": fp.tolist()}
+            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": fp.tolist()}
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long", make)
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return map_rows(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long", make)
 
 
 def _masks() -> tuple[np.ndarray, np.ndarray]:
@@ -158,15 +159,34 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     component_id too, null where no row of the class has an id. An empty table
     gives no rows. Exact copies collapse to one fingerprint before anything is linked.
     """
-    fp = materialise(fingerprints(docs, shingle=shingle), "fingerprints")
-    classes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    roots = connected_components(links(classes))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    fp, named = _classes(docs, shingle)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = named.select(F.col("fp").alias("class_fp"), "root").join(lows, "root").select("class_fp", "component_id")
     return fp.join(by_fp, fp.fp == by_fp.class_fp).select("doc_id", "fp", "component_id")
 
 
+def _classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, low: its smallest doc_id, root: its class)."""
+    fp = materialise(fingerprints(docs, shingle=shingle), "fingerprints")
+    classes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    roots = connected_components(links(classes))
+    return fp, materialise(classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root")), "named")
+
+
+def first_of_each_class(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
+    """One row of each class of near-duplicates, with all its columns: that of the smallest
+    doc_id (a null one only where the class has no other), of its rows the one whose text's
+    hash is the least. Nulls, empty texts and tables as in near_duplicates."""
+    fp, named = _classes(docs, shingle)
+    rooted = fp.join(named.select(F.col("fp").alias("class_fp"), "root"), fp.fp == F.col("class_fp"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    first = rooted.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.id").alias("__first_id"), F.col("r.hash").alias("__first_hash"))
+    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("__first_id")) & (F.col("__hash") == F.col("__first_hash")), "left_semi")
+    same = Window.partitionBy("doc_id", "__hash").orderBy("doc_id", "__hash")
+    return left.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(texts(table(spark, sf_dir, "documents")))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
