@@ -143,15 +143,20 @@ def _plain(v):
     return v
 
 
+def widened(df: DataFrame, column: str, low: float, high: float) -> tuple[float, float]:
+    """The range, widened to the data's own bounds."""
+    v = _number(column, df.schema[column].dataType)
+    seen = df.select(v.alias("v")).where("v is not null and not isnan(v)").agg(F.min("v"), F.max("v")).first()
+    return (low, high) if seen[0] is None else (min(low, seen[0]), max(high, seen[1]))
+
+
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float, keys: list[str] | None = None) -> DataFrame:
     """(keys, bin, n) over bins of equal width. Values outside widen the range to the data's own
     bounds first (the result doesn't depend on order); nulls are skipped."""
     keys = keys or []
     v = _number(column, df.schema[column].dataType)
     rows = df.select(*keys, v.alias("v")).where("v is not null and not isnan(v)")
-    seen = rows.agg(F.min("v"), F.max("v")).first()
-    if seen[0] is not None:
-        low, high = min(low, seen[0]), max(high, seen[1])
+    low, high = widened(df, column, low, high)
     cell = F.least(F.floor((F.col("v") - low) * bins / (high - low)), F.lit(bins - 1)).cast("int") if high > low else F.lit(0)
     return rows.groupBy(*keys, cell.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -222,6 +227,7 @@ def _one(df: DataFrame, name: str, args: list, lon: str | None, lat: str | None)
         return {"eps": eps, "confidence": 0.95, "size": r[1], "sketch": bytes(r[0]).hex() if r[0] is not None else ""}
     if name == "Histogram":
         bins, low, high = int(args[1]), *[float(x) if re.fullmatch(r"[-+.\deE]+", x) else datetime.fromisoformat(x.replace("Z", "+00:00")).timestamp() * 1000 for x in args[2:4]]
+        low, high = widened(df, args[0], low, high)
         counts = {r["bin"]: r["n"] for r in histogram(df, args[0], bins, low, high).collect()}
         return {"lower-bound": low, "upper-bound": high, "bins": [counts.get(i, 0) for i in range(bins)]}
     if name == "Z3Histogram":
