@@ -11,9 +11,10 @@ that share a key with a window are verified by exact edit distance, and only
 verified ones count.
 
 Windows start at every word of every text. Those that can't be within the allowed
-distance of any item are passed over first, by a count that no true match fails:
-if item and passage differ by at most d edits, the item-long window at the
-passage's start has at least L - d words of the benchmark's vocabulary.
+distance of any item are passed over first, by counts that no true match fails: if
+item and passage differ by at most d edits, the item-long window at the passage's
+start has at least L - d words and L - 1 - 2d word pairs of the benchmark (each edit
+spoils two pairs at most), and some short block of it has its share of the pairs.
 
 The benchmark is the query set, taken in blocks of bounded size that are broadcast
 in turn; documents are read once for each block and nothing is shuffled.
@@ -64,6 +65,12 @@ class Index:
         self.lengths = sorted({len(x) for x in self.items})
         self.limit = {n: allowed(n, similarity) for n in self.lengths}
         longest = max(self.lengths, default=0)
+        self.pairs = np.zeros(1 << 22, bool)  # hashed word pairs of the items
+        for x in self.items:
+            self.pairs[self._pair(x[:-1], x[1:])] = True
+        # of the pairs of a match some block of this many has at least so many of an item's
+        self.block = min(12, self.lengths[0] - 1) if items else 1
+        self.share = min((self.block - 2 * self.limit[n] // ((n - 1) // self.block) for n in self.lengths), default=0)
         rng = np.random.default_rng(seed)
         # 0: past the end, 1: a word of no item
         self.bits = rng.integers(0, 2, (walks, 3 * longest, len(self.vocabulary) + 2), np.uint8)
@@ -74,6 +81,11 @@ class Index:
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
 
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = a.astype(U) * U(0x9E3779B97F4A7C15) + b.astype(U)
+        return ((h ^ (h >> U(31))) * U(0xBF58476D1CE4E5B9)) >> U(42)
+
     def _keys(self, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """(walks * samples, windows) keys of the windows, which must come with falling lengths.
         ids must go on past every start with zeros, for the longest walk."""
@@ -143,11 +155,24 @@ class Index:
         ids = np.zeros(int((lens + pad).sum()), np.int32)
         for d, a in zip(docs, first.tolist(), strict=True):
             ids[a : a + len(d)] = np.fromiter(map(self.vocabulary.get, d, repeat(1)), np.int32, len(d))
-        known = np.append(0, np.cumsum(ids > 1, dtype=np.int32))
-        starts, lengths = [], []
         top = len(ids) - pad
+        both = (ids[:-1] > 1) & (ids[1:] > 1)
+        at = np.flatnonzero(both)
+        both[at] = self.pairs[self._pair(ids[at], ids[at + 1])]
+        pairs = np.append(0, np.cumsum(both, dtype=np.int32))
+        place = np.arange(top)
+        if self.share > 0:
+            dense = np.flatnonzero(pairs[self.block :] - pairs[: -self.block] >= self.share)
+            near = np.zeros(len(ids) + 1, np.int32)  # a match that has the block starts at most an item before it
+            np.add.at(near, np.maximum(0, dense - pad), 1)
+            np.add.at(near, dense + 1, -1)
+            place = np.flatnonzero(np.cumsum(near[:top]) > 0)
+        known = np.append(0, np.cumsum(ids > 1, dtype=np.int32)) if len(place) else pairs
+        starts, lengths = [], []
         for n in self.lengths[::-1]:
-            at = np.flatnonzero(known[n : n + top] - known[:top] >= n - self.limit[n])
+            d = self.limit[n]
+            at = place[pairs[place + n - 1] - pairs[place] >= n - 1 - 2 * d]
+            at = at[known[at + n] - known[at] >= n - d]
             starts.append(at)
             lengths.append(np.full(len(at), n))
         start, length = np.concatenate(starts), np.concatenate(lengths)
