@@ -79,15 +79,17 @@ def fit(labelled: DataFrame, *, max_labelled: int = 3000, buckets: int = 4096, r
     y = np.array([r.block for r in rows], float)
     if not len(y) or y.min() == y.max():
         return UrlModel((0.0,) * buckets, 10.0 if len(y) and y[0] else -10.0)
-    x = np.zeros((len(rows), buckets), np.float32)
-    for i, r in enumerate(rows):
-        np.add.at(x[i], r.f, 1.0 / max(1, len(r.f)))
+    at = np.array([i for r in rows for i in r.f], np.int64)
+    sizes = np.array([len(r.f) for r in rows])  # never 0: "^h$" alone is an n-gram
+    row = np.repeat(np.arange(len(rows)), sizes)
+    value = 1.0 / sizes[row]
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, b, vw, vb = np.zeros(buckets), 0.0, np.zeros(buckets), 0.0
-    scale = 1.0 / max(1e-9, float((x * x).sum(1).mean()))
+    scale = len(rows) / max(1e-9, float((np.bincount(row * buckets + at, value, len(rows) * buckets) ** 2).sum()))
     for _ in range(rounds):
-        g = share * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
-        vw = 0.9 * vw - rate * (scale * (x.T @ g) + decay * w)
+        logit = np.bincount(row, w[at] * value, len(rows)) + b
+        g = share * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
+        vw = 0.9 * vw - rate * (scale * np.bincount(at, g[row] * value, buckets) + decay * w)
         vb = 0.9 * vb - rate * g.sum()
         w, b = w + vw, b + vb
     return UrlModel(tuple(map(float, w)), float(b))
@@ -107,8 +109,8 @@ def judge(pages: DataFrame, model: UrlModel | None = None, *, rules: tuple[tuple
     ruled = split.withColumns({"rule": rule, "says": says})
     if model is None:
         model = fit(ruled.where("says is not null").select("host", "path", (F.col("says") == "block").alias("block")))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.logit(features(host, path, buckets=len(model.weights)))))
-    scored = ruled.withColumn("block_score", p)
+    scored = ruled.withColumn("__f", features(host, path, buckets=len(model.weights)))
+    scored = scored.withColumn("block_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-model.logit(F.col("__f")))))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("says", F.when(F.col("block_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "block_score")
 
 
