@@ -21,6 +21,7 @@ import heapq
 import re
 from dataclasses import dataclass, field
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -299,8 +300,13 @@ class _Chunks(dict):
         self.codec = codec
 
     def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = [i for i, _ in self.codec.chunk_pieces(chunk)]
-        got = np.array(ids, "<u4").tobytes(), self.codec._decode(ids)
+        known = self.codec.ids
+        pieces = self.codec._merge(chunk)
+        try:  # ordinary pieces alone: they decode to the chunk itself
+            got = pack(f"<{len(pieces)}I", *[known[p] for p in pieces]), chunk.replace(MARK, " ").encode("utf-8", "surrogatepass")
+        except KeyError:
+            ids = [i for i, _ in self.codec.chunk_pieces(chunk)]
+            got = np.array(ids, "<u4").tobytes(), self.codec._decode(ids)
         if len(chunk) < 64:
             if len(self) >= _CACHE:
                 self.clear()
