@@ -74,11 +74,14 @@ def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64)
 
 
-def bit_positions(h: np.ndarray, level: int, hashes: int, bits: int) -> Iterator[np.ndarray]:
+def bit_key(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     key = mix(h + U(level * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
-    a, b = key & U(0xFFFFFFFF), (key >> U(32)) | U(1)
-    for i in range(hashes):
-        yield (((a + U(i) * b) & U(0xFFFFFFFF)) * U(bits)) >> U(32)
+    return key & U(0xFFFFFFFF), (key >> U(32)) | U(1)
+
+
+def bit_position(a: np.ndarray, b: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """Place of the i-th bit of an event within a segment."""
+    return (((a + U(i) * b) & U(0xFFFFFFFF)) * U(bits)) >> U(32)
 
 
 class FrequencyFilter:
@@ -93,11 +96,12 @@ class FrequencyFilter:
         for level in range(1, LEVELS):
             x = h[live]
             at = segment_of(x, self.segments) * U(self.segment_bits)
-            hit = np.ones(len(x), bool)
-            for p in bit_positions(x, level, self.hashes, self.segment_bits):
-                p = p + at
-                hit &= (self.bits[p >> U(3)] >> (p & U(7)).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+            a, b = bit_key(x, level)
+            for i in range(self.hashes):  # most that miss do so at the first bits
+                p = bit_position(a, b, i, self.segment_bits) + at
+                hit = np.flatnonzero(self.bits[p >> U(3)] >> (p & U(7)).astype(np.uint8) & np.uint8(1))
+                if len(hit) < len(p):
+                    live, at, a, b = live[hit], at[hit], a[hit], b[hit]
             if not len(live):
                 break
             found[live] = level
@@ -233,8 +237,9 @@ def filter_segments(blocks: DataFrame, segments: int, filter_bits: int, hashes:
             for level in range(1, int(q.max(initial=0)) + 1):
                 x = h[q >= level]
                 events += len(x)
-                for p in bit_positions(x, level, hashes, segment_bits):
-                    bits[p] = True
+                a, b = bit_key(x, level)
+                for i in range(hashes):
+                    bits[bit_position(a, b, i, segment_bits)] = True
             room -= int(q.sum())
             sums[kind] = (np.bincount(q, minlength=LEVELS).astype(np.int64).tolist(), np.bincount(q, c, minlength=LEVELS).astype(np.int64).tolist())
         return segment, np.packbits(bits, bitorder="little").tobytes(), events, kept_from, *sums[1], *sums[2]
@@ -315,44 +320,52 @@ def score(docs: DataFrame, *, filter_bits: int = 1 << 28, hashes: int = 4, base:
         task, serial = TaskContext.get().partitionId() << 36, [0]
 
         def step(cols: dict[str, list]) -> dict[str, list]:
-            texts_ = [words_of(t.encode("utf-8", "surrogatepass")) for t in cols["text"]]
-            out: dict[str, list] = {k: [] for k in ("row", "doc_id", "train", "word", "tf", "n_tokens", "n_known", "base", "score")}
-            lens = np.array([len(w) + 1 for w in texts_])
-            h = cache.of([x for w in texts_ for x in (*w, END)])
+            flat: list[bytes] = []
+            lens = []
+            for t in cols["text"]:
+                w = words_of(t.encode("utf-8", "surrogatepass"))
+                lens.append(len(w) + 1)
+                flat += w
+                flat.append(END)
+            h = cache.of(flat)
             first = np.append(0, np.cumsum(lens)[:-1])
             uniq, inv = np.unique(h, return_inverse=True)
             # exact counts of frequent words
             at = np.minimum(np.searchsorted(known_h, uniq), max(0, len(known_h) - 1))
             exact = known_h[at] == uniq if len(known_h) else np.zeros(len(uniq), bool)
             n = np.where(exact, known_n[at] if len(known_h) else 0, 0)
-            base_sum = np.add.reduceat(np.where(exact, np.log10(n + 1.0), 0.0)[inv], first)
-            known_sum = np.add.reduceat((exact & (n > 0))[inv].astype(np.int64), first)
-            rare = ~exact[inv]
+            base_sum = np.add.reduceat(np.where(exact, np.log10(n + 1.0), 0.0)[inv], first).tolist()
+            known_sum = np.add.reduceat((exact & (n > 0))[inv].astype(np.int64), first).tolist()
             # the model
-            c1 = mean["word"][model.levels(uniq)]
+            c1_uniq = mean["word"][model.levels(uniq)]
+            c1 = c1_uniq[inv]
             before = np.append(end, h[:-1])
             before[first] = end
-            c_before = np.append(0.0, c1[inv][:-1])
-            end_at = np.searchsorted(uniq, end)
-            c_before[first] = c1[end_at] if len(uniq) else 0
-            pair, pair_inv = np.unique(pair_hashes(h, before), return_inverse=True)
-            c2 = mean["pair"][model.levels(pair)][pair_inv]
-            p = (c1[inv] + 1) / denominator
+            c_before = np.append(0.0, c1[:-1])
+            c_before[first] = c1_uniq[np.searchsorted(uniq, end)]
+            seen = np.flatnonzero((c_before > 0) & (c1 > 0))  # a pair of the corpus has two of its words
+            c2 = np.zeros(len(h))
+            c2[seen] = mean["pair"][model.levels(pair_hashes(h[seen], before[seen]))]
+            p = (c1 + 1) / denominator
             p = np.where(c_before > 0, pair_weight * np.minimum(1, c2 / np.maximum(c_before, 1)) + (1 - pair_weight) * p, p)
-            total = np.add.reduceat(np.log10(p), first)
-            for i, (w, train) in enumerate(zip(texts_, cols["train"], strict=True)):
+            total = np.add.reduceat(np.log10(p), first).tolist()
+            # the rest of the words go to the join, once for each document
+            rare = np.flatnonzero(~exact[inv])
+            cut = np.searchsorted(rare, np.append(first, len(h))).tolist()
+            rare_words = [flat[i] for i in rare.tolist()]
+            out: dict[str, list] = {k: [] for k in ("row", "doc_id", "train", "word", "tf", "n_tokens", "n_known", "base", "score")}
+            for i, size in enumerate(lens):
                 serial[0] += 1
-                row, a = task + serial[0], first[i]
-                tail = Counter(x for x, r in zip(w, rare[a : a + len(w)].tolist(), strict=True) if r)
-                if rare[a + len(w)]:
-                    tail[END] = 1
-                pairs = list(tail.items()) or [(b" %d" % row, 0)]  # with a space: no word
-                k = len(pairs)
+                row = task + serial[0]
+                tail = Counter(rare_words[cut[i] : cut[i + 1]]) if cut[i] < cut[i + 1] else {b" %d" % row: 0}  # with a space: no word
+                k = len(tail)
                 out["row"] += [row] * k
-                out["word"] += [x[0] for x in pairs]
-                out["tf"] += [x[1] for x in pairs]
-                for name, v in (("doc_id", cols["doc_id"][i]), ("train", train), ("n_tokens", int(lens[i])), ("n_known", int(known_sum[i])), ("base", float(base_sum[i])), ("score", float(total[i]))):
-                    out[name] += [v, *[None] * (k - 1)]
+                out["word"] += tail.keys()
+                out["tf"] += tail.values()
+                for name, v in (("doc_id", cols["doc_id"][i]), ("train", cols["train"][i]), ("n_tokens", size), ("n_known", known_sum[i]), ("base", base_sum[i]), ("score", total[i])):
+                    out[name].append(v)
+                    if k > 1:
+                        out[name] += [None] * (k - 1)
             return out
 
         return step
