@@ -3,18 +3,18 @@
 An n-gram seen c times has the level q(c) = 1 + floor(log_b c). The filter holds
 the events (n-gram, 1) .. (n-gram, q); a reader probes (n-gram, 1), (n-gram, 2)
 and so on until a probe misses, and takes the mean count of the last level that
-hit. So a filter of fixed size answers for counts of any size, and an n-gram
-that was seen is never missed.
+hit. An n-gram that was seen is never missed.
 
 Construction is distributed. Map tasks count n-grams by a 64-bit hash, and deal
 the sorted hashes out by hash range as binary blocks; a reducer merges one range
-and sets the bits of its own segment of the filter. Only the finished segments,
-``filter_bits`` in all, come to the driver and go out as a broadcast.
+and sets the bits of its own segment of the filter. A segment gets its size from
+the events it has counted, so all words and all word pairs of a corpus of any size
+are held, and a probe of an event that is not there hits at the rate FALSE_HITS.
+Ranges are so many that none has more than SEGMENT_TOKENS n-grams on average.
 
-Words are all in the filter. Word pairs fill what is left of its capacity:
-each segment takes whole levels from the most frequent down, so at a given
-``filter_bits`` the rarest pairs of a large corpus fall back on their words, as
-in any count-pruned model. Raise ``filter_bits`` to keep more of them.
+The segments are written to the shared folder. The driver reads some of them at a
+time and sends them out as one broadcast of about ``filter_bits``, and drops them;
+readers map the broadcasts' files and probe one after another.
 
 p(w | v) = s * c(vw) / c(v) + (1 - s) * p(w) where the pair is in the filter,
 (1 - s) * p(w) where v is known but the pair is not, p(w) after an unknown v;
@@ -24,6 +24,7 @@ p(w) = (c(w) + 1) / (N + V + 1).
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ END = b"\n"
 SEED = 42
 U = np.uint64
 LEVELS = 96
+#: How often a probe hits an event that is not in the filter.
+FALSE_HITS = 0.01
+#: N-grams that one segment is built of, on average at most.
+SEGMENT_TOKENS = 4_000_000
+#: Starts the bytes of a broadcast block.
+MARK = b"terraflux-filter"
 
 
 class Hashes(dict):
@@ -85,29 +93,67 @@ def bit_position(a: np.ndarray, b: np.ndarray, i: int, bits: int) -> np.ndarray:
 
 
 class FrequencyFilter:
-    """Reader of a finished filter. data: the segments, one after another."""
+    """Reader of a finished filter. data: the segments, one after another; segment_bits: of all
+    segments or of each, with the bits before each in starts."""
 
-    def __init__(self, data: bytes, segments: int, segment_bits: int, hashes: int):
-        self.bits, self.segments, self.segment_bits, self.hashes = np.frombuffer(data, np.uint8), segments, segment_bits, hashes
+    def __init__(self, data: bytes | np.ndarray, segments: int, segment_bits: int | np.ndarray, hashes: int, starts: np.ndarray | None = None):
+        self.bits, self.segments, self.hashes = np.frombuffer(data, np.uint8), segments, hashes
+        self.sizes = np.broadcast_to(np.asarray(segment_bits, U), segments)
+        self.starts = np.arange(segments, dtype=U) * self.sizes if starts is None else starts
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """For each n-gram hash the last level that hits, 0 for none."""
         found, live = np.zeros(len(h), np.int64), np.arange(len(h))
+        segment = segment_of(h, self.segments)
+        start, size = self.starts[segment], self.sizes[segment]
         for level in range(1, LEVELS):
-            x = h[live]
-            at = segment_of(x, self.segments) * U(self.segment_bits)
-            a, b = bit_key(x, level)
+            at, n = start[live], size[live]
+            a, b = bit_key(h[live], level)
             for i in range(self.hashes):  # most that miss do so at the first bits
-                p = bit_position(a, b, i, self.segment_bits) + at
+                p = bit_position(a, b, i, n) + at
                 hit = np.flatnonzero(self.bits[p >> U(3)] >> (p & U(7)).astype(np.uint8) & np.uint8(1))
                 if len(hit) < len(p):
-                    live, at, a, b = live[hit], at[hit], a[hit], b[hit]
+                    live, at, n, a, b = live[hit], at[hit], n[hit], a[hit], b[hit]
             if not len(live):
                 break
             found[live] = level
         return found
 
 
+class BlockFilter:
+    """Reader of a filter in several blocks. block_of, sizes and starts: of each segment."""
+
+    def __init__(self, blocks: list[np.ndarray], block_of: np.ndarray, sizes: np.ndarray, starts: np.ndarray, hashes: int):
+        self.block_of = block_of
+        self.parts = [FrequencyFilter(x, len(sizes), sizes, hashes, starts) for x in blocks]
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        if len(self.parts) == 1:
+            return self.parts[0].levels(h)
+        block = self.block_of[segment_of(h, len(self.block_of))]
+        order = np.argsort(block, kind="stable")
+        cut = np.searchsorted(block[order], np.arange(len(self.parts) + 1))
+        found = np.zeros(len(h), np.int64)
+        for k, part in enumerate(self.parts):
+            if cut[k] < cut[k + 1]:
+                of = order[cut[k] : cut[k + 1]]
+                found[of] = part.levels(h[of])
+        return found
+
+
+def _mapped(sent: Broadcast) -> np.ndarray:
+    """The bytes of a block after MARK. A worker maps the broadcast's local file, which all workers
+    of a machine share, and does not load it."""
+    path = getattr(sent, "_path", None)
+    if path and os.path.isfile(path):
+        with open(path, "rb") as f:
+            at = f.read(256).find(MARK)
+        if at >= 0:
+            size = int.from_bytes(np.memmap(path, np.uint8, "r", at + len(MARK), 8).tobytes(), "little")
+            return np.memmap(path, np.uint8, "r", at + len(MARK) + 8, size)
+    return np.frombuffer(sent.value, np.uint8)[len(MARK) + 8 :]
+
+
 def _blocks(h: np.ndarray, counts: np.ndarray, kind: int, segments: int) -> dict[str, list]:
     """Sorted hashes with counts as a row for each segment: hashes of count one apart from the rest."""
     cut = np.searchsorted(segment_of(h, segments), np.arange(segments + 1, dtype=U))
@@ -216,36 +262,30 @@ def _merged(blocks: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.nd
     return h[first], np.add.reduceat(c, first)
 
 
-def filter_segments(blocks: DataFrame, segments: int, filter_bits: int, hashes: int, base: float) -> DataFrame:
-    """(segment, bits, n_events, kept_from, per level: n and sum of counts for words and for pairs)."""
-    segment_bits = max(64, filter_bits // segments // 8 * 8)
-    capacity = int(segment_bits * math.log(2) / hashes)
+def bits_for(events: int, hashes: int, false_hits: float = FALSE_HITS) -> int:
+    """Bits, in whole bytes, in which an event that is not there hits at the rate false_hits."""
+    return max(64, math.ceil(events * -hashes / math.log(1 - false_hits ** (1 / hashes)) / 8) * 8)
+
+
+def filter_segments(blocks: DataFrame, segments: int, hashes: int, base: float) -> DataFrame:
+    """(segment, bits, n_events, per level: n and sum of counts for words and for pairs)."""
 
     def build(segment: int, held: dict[int, list]) -> tuple:
+        grams = [_merged(held.pop(kind, [])) for kind in (1, 2)]
+        levels = [levels_of(c, base) if len(c) else np.zeros(0, np.int64) for _, c in grams]
+        events, sums = int(sum(q.sum() for q in levels)), []
+        segment_bits = bits_for(events, hashes)
         bits = np.zeros(segment_bits, bool)
-        room, events, sums = capacity, 0, {}
-        kept_from = 1
-        for kind in (1, 2):
-            h, c = _merged(held.get(kind, []))
-            q = levels_of(c, base) if len(c) else np.zeros(0, np.int64)
-            if kind == 2 and len(q):
-                need = np.cumsum((np.bincount(q, minlength=LEVELS) * np.arange(LEVELS))[::-1])[::-1]  # events of level q and above
-                fits = np.flatnonzero(need[1:] <= max(0, room))
-                kept_from = int(fits[0]) + 1 if len(fits) else LEVELS
-                keep = q >= kept_from
-                h, c, q = h[keep], c[keep], q[keep]
+        for (h, c), q in zip(grams, levels, strict=True):
             for level in range(1, int(q.max(initial=0)) + 1):
-                x = h[q >= level]
-                events += len(x)
-                a, b = bit_key(x, level)
+                a, b = bit_key(h[q >= level], level)
                 for i in range(hashes):
                     bits[bit_position(a, b, i, segment_bits)] = True
-            room -= int(q.sum())
-            sums[kind] = (np.bincount(q, minlength=LEVELS).astype(np.int64).tolist(), np.bincount(q, c, minlength=LEVELS).astype(np.int64).tolist())
-        return segment, np.packbits(bits, bitorder="little").tobytes(), events, kept_from, *sums[1], *sums[2]
+            sums += [np.bincount(q, minlength=LEVELS).astype(np.int64).tolist(), np.bincount(q, c, minlength=LEVELS).astype(np.int64).tolist()]
+        return segment, np.packbits(bits, bitorder="little").tobytes(), events, *sums
 
-    names = ["segment", "bits", "n_events", "kept_from", "word_n", "word_sum", "pair_n", "pair_sum"]
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4]
+    names = ["segment", "bits", "n_events", "word_n", "word_sum", "pair_n", "pair_sum"]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -263,7 +303,7 @@ def filter_segments(blocks: DataFrame, segments: int, filter_bits: int, hashes:
         if now is not None:
             yield row()
 
-    schema = "segment int, bits binary, n_events long, kept_from int, " + ", ".join(f"{n} array<long>" for n in names[4:])
+    schema = "segment int, bits binary, n_events long, " + ", ".join(f"{n} array<long>" for n in names[3:])
     return blocks.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(run, schema)
 
 
@@ -284,38 +324,49 @@ def score(docs: DataFrame, *, filter_bits: int = 1 << 28, hashes: int = 4, base:
     """Score documents (doc_id, text, train boolean) with a model of the training ones.
 
     Returns, a row for each input row: doc_id, train, n_tokens, n_known,
-    train_tokens, base_score, score. filter_bits bounds the broadcast filter,
-    frequent the broadcast table of exact counts of common words; exact counts
+    train_tokens, base_score, score. filter_bits is the size at which a broadcast
+    block of the filter is full (the filter has as many blocks as it needs),
+    frequent bounds the broadcast table of exact counts of common words; exact counts
     of all other words come by a join. Null texts are empty: one end token. A
     null id is a row like any other, repeated rows are scored each, an empty
     table gives no rows. Without training rows all counts are 0 and N = V = 0.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    segments = shuffle_partitions(spark)
     counts = materialise(frequent_words(materialise(word_counts(docs), "words"), frequent), "counts")
     n_all, n_distinct = counts.where("n_train > 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where("frequent").select("word", "n_train").toArrow()
     top_h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in top.column("word").to_pylist()), U, len(top))
     order = np.argsort(top_h)
 
-    got = filter_segments(pair_blocks(docs, segments).unionByName(word_blocks(counts, segments)), segments, filter_bits, hashes, base).collect()
-    segment_bits = max(64, filter_bits // segments // 8 * 8)
-    data = bytearray(segment_bits // 8 * segments)
+    segments = max(shuffle_partitions(spark), -(-n_all // SEGMENT_TOKENS))
+    made = materialise(filter_segments(pair_blocks(docs, segments).unionByName(word_blocks(counts, segments)), segments, hashes, base), "filter")
     mean = {}
-    for r in got:
-        data[r.segment * segment_bits // 8 : (r.segment + 1) * segment_bits // 8] = r.bits
+    stats = made.select("word_n", "word_sum", "pair_n", "pair_sum").collect()
     for kind in ("word", "pair"):
-        n = np.array([r[f"{kind}_n"] for r in got], np.int64).reshape(-1, LEVELS).sum(0)
-        total = np.array([r[f"{kind}_sum"] for r in got], np.int64).reshape(-1, LEVELS).sum(0)
+        n = np.array([r[f"{kind}_n"] for r in stats], np.int64).reshape(-1, LEVELS).sum(0)
+        total = np.array([r[f"{kind}_sum"] for r in stats], np.int64).reshape(-1, LEVELS).sum(0)
         mean[kind] = np.where(n > 0, total / np.maximum(n, 1), base ** np.maximum(0, np.arange(LEVELS) - 1.0))
         mean[kind][0] = 0
-    sent = spark.sparkContext.broadcast((bytes(data), top_h[order], top.column("n_train").to_numpy()[order]))
+    blocks, held = [], bytearray(8)  # a segment without n-grams is the first 64 bits, which are 0
+    block_of, sizes, starts = np.zeros(segments, np.int64), np.full(segments, 64, U), np.zeros(segments, U)
+
+    def send() -> None:
+        blocks.append(spark.sparkContext.broadcast(MARK + len(held).to_bytes(8, "little") + bytes(held)))
+        held.clear()
+
+    for r in made.select("segment", "bits").toLocalIterator():
+        if held and (len(held) + len(r.bits)) * 8 > filter_bits:
+            send()
+        block_of[r.segment], sizes[r.segment], starts[r.segment] = len(blocks), len(r.bits) * 8, len(held) * 8
+        held += r.bits
+    send()
+    sent = spark.sparkContext.broadcast((top_h[order], top.column("n_train").to_numpy()[order]))
     denominator = n_all + n_distinct + 1
 
     def make():
-        bits, known_h, known_n = sent.value
-        model, cache = FrequencyFilter(bits, segments, segment_bits, hashes), Hashes()
+        known_h, known_n = sent.value
+        model, cache = BlockFilter([_mapped(x) for x in blocks], block_of, sizes, starts, hashes), Hashes()
         end = U(xxhash.xxh64_intdigest(END, SEED))
         task, serial = TaskContext.get().partitionId() << 36, [0]
 

@@ -86,6 +86,36 @@ def test_lm_filter_levels(spark):
     assert (reader.levels(lm_scoring.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64))) > 0).mean() < 0.05
 
 
+def test_lm_scoring_holds_every_pair(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts_ = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(200)]
+    ones, pairs = Counter(), Counter()
+    for t in texts_:
+        w = [*split(t), b"\n"]
+        ones.update(w)
+        pairs.update(zip([b"\n", *w], w))
+    level = lambda c: 1 + math.floor(math.log(c) / math.log(1.5) + 1e-9)
+    mean = []
+    for count in (ones, pairs):
+        by = defaultdict(list)
+        for c in count.values():
+            by[level(c)].append(c)
+        mean.append({q: sum(c) / len(c) for q, c in by.items()})
+    c1 = {w: mean[0][level(c)] for w, c in ones.items()}
+    n = sum(ones.values()) + len(ones) + 1
+
+    def want(t):
+        w = [*split(t), b"\n"]
+        return sum(math.log10(0.2 * min(1, mean[1][level(pairs[v, x])] / c1[v]) + 0.8 * (c1[x] + 1) / n) for v, x in zip([b"\n", *w], w))
+
+    d = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts_)], "doc_id long, text string, train boolean")
+    few, many = ({r.doc_id: r.score for r in lm_scoring.score(d, filter_bits=1 << k).collect()} for k in (26, 12))
+    assert few == many  # the size of a block changes nothing
+    assert all(many[i] >= want(t) - 2 and abs(many[i] - want(t)) < 0.1 * 61 for i, t in enumerate(texts_))
+    assert sum(abs(many[i] - want(t)) for i, t in enumerate(texts_)) / 200 / 61 < 0.02
+
+
 def test_lm_scoring_without_rows_or_training(spark, none, docs):
     assert lm_scoring.score(none).count() == 0
     got = lm_scoring.score(docs.where("doc_id < 5").withColumn("train", F.lit(False)), filter_bits=1 << 16).collect()
