@@ -25,9 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that occur earlier, and with n_chars to match; a
-    document of which nothing is left goes."""
-    left = dedup_lines(docs)
+    """Documents without the chunks and whole runs of lines that occur earlier, and with n_chars
+    to match; a document of which nothing is left, so any copy of an earlier one, goes."""
+    left = dedup_lines(docs, runs=True)
     emptied = (F.col("line_dedup.n_removed_lines") > 0) & (F.col("line_dedup.n_removed_lines") == F.col("line_dedup.n_lines"))
     changed = F.col("line_dedup.n_removed_lines") > 0
     size = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")

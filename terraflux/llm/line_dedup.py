@@ -12,10 +12,18 @@ hash recurs go on with their text, which is then compared byte for byte, by
 grouping and joining on the text itself. The joins stand on a recurring chunk,
 which may be very frequent: they are sort-merge joins, whose heavy partitions
 adaptive execution splits. Rows with equal id and text count as one document.
+
+With ``runs``, whole repeated runs go as well. From each line the shortest run of more
+than ``long_words`` words that starts there, and the shortest that ends there, are
+candidates too, wherever chunks are cut. A run of more words that occurs earlier has
+the first candidate of its first line and the last of each later line inside it, so
+these cover every line of it. So is a whole document, whatever its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +38,7 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def chunked(docs: DataFrame, *, window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+def chunked(docs: DataFrame, *, window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
     """(doc_id, text_hash, lines, chunks) of docs (doc_id, text); chunks: array of (first, last,
     whole) by line number from 0, whole: it has what it takes to be removed."""
     n_words = lambda x: F.size(F.filter(F.split(x, f"{SPACE_CLASS}+"), lambda w: w != ""))
@@ -50,7 +58,33 @@ def chunked(docs: DataFrame, *, window: int = WINDOW, divisor: int = DIVISOR, lo
     got = got.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), ends))
     first = lambda i: F.coalesce(F.get("ends", i - 1) + 1, F.lit(0))
     chunk = lambda e, i: F.struct(first(i).alias("first"), e.alias("last"), ((e > first(i)) | F.get("long", e)).alias("whole"))
-    return got.select("doc_id", "text_hash", "lines", F.transform("ends", chunk).alias("chunks"))
+    cut = got.select("doc_id", "text_hash", "lines", F.transform("ends", chunk).alias("chunks"))
+    return cut if not runs else cut.withColumn("before", _words_before(n_words)).withColumn("chunks", F.array_distinct(F.concat("chunks", _short_runs(long_words))))
+
+
+def _words_before(n_words: Callable[[Column], Column]) -> Column:
+    """For each line, and the end, the number of words before it."""
+    zero = F.array(F.lit(0))
+    return F.aggregate("lines", zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + n_words(x))))
+
+
+def _short_runs(long_words: int) -> Column:
+    """(first, last, whole) of the shortest runs of over long_words words from and to each line, and of all lines."""
+    n = F.size("before")
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double") + 1)).cast("int"))
+
+    def at_most(x: Column) -> Column:
+        """How many entries of ``before`` are x or less."""
+        mid = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+        halve = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get("before", mid(s)) <= x, F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid(s).alias("hi")))
+        return F.aggregate(halvings, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda s: s["lo"])
+
+    run = lambda first, last: F.struct(first.alias("first"), last.alias("last"), F.lit(True).alias("whole"))
+    lines = F.sequence(F.lit(0), F.size("lines") - 1)
+    starting = F.transform(lines, lambda i: run(i, at_most(F.get("before", i) + long_words) - 1))
+    ending = F.transform(lines, lambda i: run(at_most(F.get("before", i + 1) - long_words - 1) - 1, i))
+    inside = F.filter(F.concat(starting, ending), lambda r: (r["first"] >= 0) & (r["last"] < F.size("lines")))
+    return F.concat(inside, F.array(run(F.lit(0), F.size("lines") - 1)))
 
 
 def _text_of(lines: str, first: str, last: str) -> Column:
@@ -67,12 +101,17 @@ def removals(cut: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "first")
     kept = found.groupBy(F.col("chunk").alias("same")).agg(F.min(place).alias("kept"))
     rest = found.join(kept, F.col("chunk") == F.col("same")).where(~place.eqNullSafe(F.col("kept")))
+    # a run does not repeat one that it overlaps
+    overlaps = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash")) & (F.col("kept.first") + F.col("last") - F.col("first") >= F.col("first"))
+    rest = rest.where(~overlaps)
     return rest.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
     """docs with the removed chunks taken out of ``text``, and the columns n_lines,
-    n_removed_lines and n_removed_chunks in a struct ``line_dedup``.
+    n_removed_lines and n_removed_chunks in a struct ``line_dedup``. With runs, every run
+    of over long_words words that occurs earlier is taken out, and every copy of an
+    earlier document; n_removed_chunks then counts the candidates, which may overlap.
 
     A null text stays null, with no lines; an empty one is one empty line. A document
     whose every line goes has an empty text. Rows with equal id and text (a null id is
@@ -80,12 +119,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     empty table gives no rows; other columns pass through.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    gone = removals(chunked(plain, window=window, divisor=divisor, long_words=long_words)).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"), F.col("gone").alias("__gone"))
+    gone = removals(chunked(plain, window=window, divisor=divisor, long_words=long_words, runs=runs)).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"), F.col("gone").alias("__gone"))
     keyed = docs.withColumn("__hash", F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(text_col))))
     both = keyed.join(gone, (F.col("__hash") == F.col("__gone_hash")) & F.col(id_col).eqNullSafe(F.col("__gone_id")), "left")
     both = both.withColumn("__lines", F.split(text_col, "\n"))
     dropped = F.coalesce(F.flatten(F.transform("__gone", lambda g: F.sequence(g["first"], g["last"]))), F.array().cast("array<int>"))
-    both = both.withColumn("__dropped", dropped)
+    both = both.withColumn("__dropped", F.array_distinct(dropped) if runs else dropped)
     left = F.filter("__lines", lambda x, i: ~F.array_contains("__dropped", i))
     info = F.struct(
         F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),

@@ -545,9 +545,59 @@ def test_line_dedup_against_plain_python(spark, none):
     assert line_dedup.dedup_lines(none.drop("__hash")).count() == 0
 
 
+def test_line_dedup_removes_whole_runs(spark):
+    rnd = random.Random(22)
+    passages = [[prose(rnd, n) for n in ns] for ns in ((30, 30), (20, 20, 20), (15,) * 4, (10, 0, 10, 10, 25, 10), (6,) * 12)]
+    rows = []
+    for i in range(40):
+        own = [prose(rnd, rnd.randint(8, 30)) for _ in range(rnd.randint(1, 6))]
+        at = rnd.randrange(len(own) + 1)
+        rows.append((i, "\n".join([*own[:at], *passages[i % 5], *own[at:]])))
+    rows += [(90, "short\none"), (91, "short\none"), (92, "short\ntwo"), (93, "\n".join(["again and again"] * 40)), (95, rows[3][1]), (96, rows[4][1])]
+    want, earlier = {}, []  # by brute force: all runs of over 50 words
+    for i, t in rows:
+        lines, gone = t.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = lines[a : b + 1]
+                if sum(len(x.split()) for x in run) <= 50 and len(run) < len(lines):
+                    continue
+                if any(run == y[k : k + len(run)] for y in earlier for k in range(len(y))) and (sum(len(x.split()) for x in run) > 50 or lines in earlier) or any(run == lines[k : k + len(run)] for k in range(a - len(run) + 1)):
+                    gone.update(range(a, b + 1))
+        want[i] = gone
+        earlier.append(lines)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), runs=True).collect()}
+    plain = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    less = 0
+    for i, t in rows:
+        left, lines = got[i].text.split("\n"), t.split("\n")
+        kept = [x for k, x in enumerate(lines) if k not in want[i]]
+        assert Counter(left if got[i].text or kept else []) <= Counter(kept), i  # the runs are gone
+        assert got[i].line_dedup.n_removed_lines >= max(len(want[i]), plain[i].line_dedup.n_removed_lines)
+        less += plain[i].line_dedup.n_removed_lines < len(want[i])
+    assert less > 20
+    assert got[91].text == got[95].text == got[96].text == "" and got[92].text == "short\ntwo" and got[0].text == rows[0][1]
+
+
 # pipeline
 
 
+def test_pipeline_drops_copies_of_many_lines(spark, tmp_path, items):
+    import corpus_pipeline
+
+    rnd = random.Random(34)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    page = lambda: "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randint(8, 30))) for _ in range(12))
+    clean = [(i, page()) for i in range(60)]
+    near = [(400 + i, "\n".join([*t.split("\n")[:6], "quite another line " + " ".join(rnd.choice(words) for _ in range(60)), *t.split("\n")[6:]])) for i, t in clean[:20]]
+    rows = [*clean, *[(200 + i, t) for i, t in clean], *near]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.decoded for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {i: t for i, t in got.items() if i < 400} == dict(clean)
+    assert {i: t for i, t in got.items() if i >= 400} == {i: t.split("\n")[6] for i, t in near}  # only what is new
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path, items):
     import corpus_pipeline
 
