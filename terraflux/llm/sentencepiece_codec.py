@@ -19,11 +19,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 from struct import pack
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import bounded_batches, map_rows, table, texts
@@ -139,16 +141,19 @@ class Codec:
 
     # normalisation
 
-    def normalise(self, text: str) -> str:
-        """The normalised text, spaces as marks."""
-        if not self.chars.units and not self.squeeze:  # each character stands for itself
-            return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
-        return self.aligned(text)[0]
-
     def aligned(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and for each of its characters the byte of the source where its
         own began; one more entry holds the end."""
+        norm, origin = self.aligned_array(text)
+        return norm, origin.tolist()
+
+    def aligned_array(self, text: str) -> tuple[str, np.ndarray]:
+        """``aligned`` with the bytes as an array."""
         data = text.encode("utf-8", "surrogatepass")
+        if not self.chars.units and not self.squeeze and b"\xed" not in data:  # each character stands for itself; ED starts any surrogate
+            starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80).astype(np.int64)
+            prefix = self.dummy_prefix and bool(text)
+            return (MARK if prefix else "") + text.replace(" ", MARK), np.concatenate([starts[:1] if prefix else starts[:0], starts, [len(data)]])
         out: list[str] = []
         origin: list[int] = []
         at, space = 0, self.squeeze  # leading spaces go
@@ -171,7 +176,7 @@ class Codec:
         if self.dummy_prefix and out:
             out.insert(0, MARK)
             origin.insert(0, origin[0])
-        return "".join(out), [*origin, end]
+        return "".join(out), np.array([*origin, end], np.int64)
 
     # merging
 
@@ -294,19 +299,20 @@ def _lossy(raw: bytes) -> bytes:
 
 
 class _Chunks(dict):
-    """chunk -> (ids as little-endian 32-bit integers, decoded bytes)."""
+    """chunk -> (ids and characters of its pieces as little-endian 32-bit integers, decoded bytes)."""
 
     def __init__(self, codec: Codec):
         self.codec = codec
 
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+    def __missing__(self, chunk: str) -> tuple[bytes, bytes, bytes]:
         known = self.codec.ids
         pieces = self.codec._merge(chunk)
         try:  # ordinary pieces alone: they decode to the chunk itself
-            got = pack(f"<{len(pieces)}I", *[known[p] for p in pieces]), chunk.replace(MARK, " ").encode("utf-8", "surrogatepass")
+            form = f"<{len(pieces)}I"
+            got = pack(form, *[known[p] for p in pieces]), pack(form, *map(len, pieces)), chunk.replace(MARK, " ").encode("utf-8", "surrogatepass")
         except KeyError:
-            ids = [i for i, _ in self.codec.chunk_pieces(chunk)]
-            got = np.array(ids, "<u4").tobytes(), self.codec._decode(ids)
+            ids, sizes = zip(*self.codec.chunk_pieces(chunk), strict=True)
+            got = np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(), self.codec._decode(list(ids))
         if len(chunk) < 64:
             if len(self) >= _CACHE:
                 self.clear()
@@ -344,18 +350,22 @@ def encode(docs: DataFrame, *, model_path: str | None = None) -> DataFrame:
     model = Path(model_path or default_model()).read_bytes()
 
     def make():
-        codec = Codec.load(model)
+        known = _worker_chunks(model)
+        codec = known.codec
 
         def step(cols: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {"doc_id": cols["doc_id"], "ids": [], "begins": [], "ends": [], "decoded": []}
             for t in cols["text"]:
-                t = t or ""
-                got = codec.encode(t)
-                size = len(t.encode("utf-8", "surrogatepass"))
-                rows = [(codec.begin, 0, 0), *got, (codec.end, size, size)]
-                for k, name in enumerate(("ids", "begins", "ends")):
-                    out[name].append([r[k] for r in rows])
-                out["decoded"].append(codec.decode([r[0] for r in rows]))
+                norm, origin = codec.aligned_array(t or "")
+                got = [known[c] for c in codec.chunks(norm)]
+                sizes = np.frombuffer(b"".join([g[1] for g in got]), "<u4")
+                at = np.append(0, np.cumsum(sizes, dtype=np.int64))  # characters before each piece
+                span = origin[at].astype(np.int32)
+                size = np.int32(len((t or "").encode("utf-8", "surrogatepass")))
+                out["ids"].append(np.concatenate([[codec.begin], np.frombuffer(b"".join([g[0] for g in got]), "<u4"), [codec.end]]).astype(np.int32))
+                out["begins"].append(np.concatenate([[np.int32(0)], span[:-1], [size]]))
+                out["ends"].append(np.concatenate([[np.int32(0)], span[1:], [size]]))
+                out["decoded"].append(codec._trim(b"".join([g[2] for g in got])).decode("utf-8", "surrogatepass"))
             return out
 
         return step
@@ -365,31 +375,19 @@ def encode(docs: DataFrame, *, model_path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, *, model_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: what ``encode`` gives,
-    reduced to digests in the same pass. Null and empty texts, repeated rows and empty
-    tables as there."""
-    bounded_batches(docs.sparkSession)
-    model = Path(model_path or default_model()).read_bytes()
-
-    def make():
-        known = _worker_chunks(model)
-        codec = known.codec
-        begin, end = (np.array([i], "<u4").tobytes() for i in (codec.begin, codec.end))
-
-        def step(cols: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"doc_id": cols["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for t in cols["text"]:
-                got = [known[c] for c in codec.chunks(codec.normalise(t or ""))]
-                ids = b"".join([begin, *[g[0] for g in got], end])
-                out["n_tokens"].append(len(ids) // 4)
-                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(codec._trim(b"".join([g[1] for g in got]))).hexdigest())
-            return out
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``encode``'s output. Null
+    and empty texts, repeated rows and empty tables as there."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-        return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids")
+            cut, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+            hashed = [hashlib.sha256(flat[x:y].tobytes()).hexdigest() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            decoded = [hashlib.sha256(x).hexdigest() for x in b.column("decoded").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(cut), pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return encode(docs, model_path=model_path).mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

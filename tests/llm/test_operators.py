@@ -289,6 +289,19 @@ def test_sentencepiece_equals_the_library(spark, docs, none, codec, rows):
     assert some.decoded == "日本語 テキスト 😀" and some.ends[-2] == len("日本語 テキスト 😀".encode())
 
 
+def test_sentencepiece_digests_come_from_the_operator(spark, docs, codec, rows):
+    assert "begins" in sentencepiece_codec.digests(docs)._jdf.queryExecution().toString()  # spans are made, as in the pipeline
+    rnd = random.Random(7)
+    more = [(1000 + k, "".join(rnd.choice(" ab\né▁😀\t<>s/\x00") for _ in range(rnd.randint(0, 60)))) for k in range(200)]
+    d = spark.createDataFrame([*rows, *more], "doc_id long, text string")
+    want = Counter()
+    for i, t in [*rows, *more]:
+        size = len((t or "").encode())
+        got = [(codec.begin, 0, 0), *codec.encode(t or ""), (codec.end, size, size)]
+        want[i, tuple(got), codec.decode([x[0] for x in got])] += 1
+    assert Counter((r.doc_id, tuple(zip(r.ids, r.begins, r.ends)), r.decoded) for r in sentencepiece_codec.encode(d).collect()) == want
+
+
 def test_sentencepiece_spans_cover_the_text(codec):
     for t in ("Hello there, wörld", " two  spaces", "日本語 😀"):
         data, at = t.encode(), 0
