@@ -4,11 +4,15 @@ Patterns find spans of four kinds. They scan in linear time, whatever the text.
 The field then labels a document's tokens that carry digits or an "@" with one of
 the kinds or none. Pattern spans are evidence; neighbours in the text share a
 weak potential; tokens with the same key (their digits from four on, else the
-token itself), however far apart, share a strong one. The tokens of a key are
+token itself), however far apart, share a strong one. So do a telephone or card
+number and whole groups of digits elsewhere that join to a similar number: the same
+digits, those left without country or area code (seven at least), or these after
+zeros. The name part of an address found is a key too, with digits or without, unless
+it names an office (ROLES) rather than a person. The tokens of a key are
 tied through one hidden variable rather than pairwise, so a token that occurs n
 times costs n factors. Loopy message passing gives each token's most likely label,
-which makes labels consistent: a telephone number repeated without its "+1", or
-the name part of an address alone, is found too.
+which makes labels consistent: a telephone number repeated without its "+1" or in another
+form, or the name part of an address alone, is found too.
 
 The potentials are parameters set by hand; the tables hold no labels to learn them
 from. They are chosen so that a token can get a kind only through its key, so no
@@ -34,6 +38,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[^0-9]+")
+_GROUPS = re.compile(r"[0-9]++(?:[\x20().-]{1,2}[0-9]++)*+")
+_GROUP = re.compile(r"[0-9]+")
+#: Mailbox names of offices and functions (RFC 2142, and usual ones).
+ROLES = frozenset("abuse admin contact email ftp hello help hostmaster info mail marketing news newsletter noc noreply no-reply office postmaster press privacy sales security service support team trouble usenet uucp webmaster www".split())
+LEAST_DIGITS = 7  # of a telephone number without its codes
 _ENDS = ".,;:!?\"'()[]{}<>"
 
 
@@ -77,7 +86,7 @@ class Potentials:
     none: float = 0.5  # of a token without a partner for no kind
     shape: float = 0.3  # of a token for the kind it looks like
     chain: float = 0.4  # of neighbours for the same label
-    skip: float = 4.0  # of tokens with the same key for the same label
+    skip: float = 4.0  # of tokens with the same or a similar key for the same label
     hub_none: float = 0.1
     rounds: int = 12
     damping: float = 0.5
@@ -90,6 +99,53 @@ def _key(token: str) -> str | None:
     return token.lower() if len(token) >= 5 and digits and any(c.isalpha() for c in token) else None
 
 
+def _name_key(name: str) -> str | None:
+    """Key of the name part of an address."""
+    return _key(name) or (name.lower() if len(name) >= 5 and name.lower() not in ROLES else None)
+
+
+def repeated_numbers(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int, str]]]:
+    """Groups of digits outside base that are similar to a number of base, leftmost and longest, as
+    (start, end, form); and the numbers with that form, as (kind, start, end, form)."""
+    whole: dict[str, list[tuple[int, int, int]]] = {}
+    for k, a, b in base:
+        digits = _DIGITS.sub("", text[a:b]) if k >= 2 else ""
+        for cut in range(len(digits) - LEAST_DIGITS + 1 if k == 3 else k == 2):
+            whole.setdefault(digits[cut:], []).append((k, a, b))
+    if not whole:
+        return [], []
+    most, taken, at = max(map(len, whole)), sorted((a, b) for _, a, b in base), 0
+    found: list[tuple[int, int, str]] = []
+    for run in _GROUPS.finditer(text):
+        parts: list[list[tuple[int, int]]] = [[]]
+        for m in _GROUP.finditer(text, *run.span()):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at < len(taken) and taken[at][0] < m.end():
+                parts.append([])
+            else:
+                parts[-1].append(m.span())
+        for groups in parts:
+            i = 0
+            while i < len(groups):
+                joint, best = "", None
+                for j in range(i, len(groups)):
+                    joint += text[groups[j][0] : groups[j][1]]
+                    if len(form := joint.lstrip("0") if joint not in whole else joint) > most:
+                        break
+                    if form in whole:
+                        best = j, form
+                if best is None:
+                    i += 1
+                    continue
+                a, b = groups[i][0], groups[best[0]][1]
+                if text[a - 1 : a] == "(" and ")" in text[a:b]:
+                    a -= 1
+                found.append((a, b, best[1]))
+                i = best[0] + 1
+    return found, [(k, a, b, form) for form in dict.fromkeys(f for _, _, f in found) for k, a, b in whole[form]]
+
+
 def _shape(token: str, digits: int) -> int:
     """Label that a token's form suggests, 0 for none."""
     if "@" in token:
@@ -126,6 +182,7 @@ def consistent_spans(text: str, base: list[tuple[int, int, int]], p: Potentials
     if not base:
         return []
     by_start = sorted(base, key=lambda s: s[1])
+    names = {k for kind, a, b in base if kind == 0 and (k := _name_key(text[a : text.index("@", a)]))}
     tokens: list[tuple[int, int, int, str | None, int]] = []  # start, end, evidence, key, shape
     at = 0
     for m in _TOKEN.finditer(text):
@@ -134,14 +191,20 @@ def consistent_spans(text: str, base: list[tuple[int, int, int]], p: Potentials
             at += 1
         kind = by_start[at][0] + 1 if at < len(by_start) and by_start[at][1] < m.end() else 0
         token = raw.strip(_ENDS)
-        if not token or not kind and not any("0" <= c <= "9" for c in token) and "@" not in token:
+        if not token or not kind and not any("0" <= c <= "9" for c in token) and "@" not in token and token.lower() not in names:
             continue
         start = m.start() + raw.index(token)
-        tokens.append((start, start + len(token), kind, _key(token), _shape(token, len(_DIGITS.sub("", token)))))
+        key = token.lower() if token.lower() in names else _key(token)
+        tokens.append((start, start + len(token), kind, key, _shape(token, len(_DIGITS.sub("", token)))))
         if kind == 1 and "@" in token:  # the name part alone may recur
-            name = token.partition("@")[0]
-            if (k := _key(name)) is not None:
-                tokens.append((start, start + len(name), kind, k, 0))
+            a = by_start[at][1]
+            name = text[a : text.index("@", a)]
+            if (k := _name_key(name)) is not None:
+                tokens.append((a, a + len(name), kind, k, 0))
+    plain = len(tokens)
+    repeats, numbers = repeated_numbers(text, base)
+    tokens += [(a, b, 0, f"={form}", 0) for a, b, form in repeats]  # a token's key has no "=" and digits alone
+    tokens += [(a, b, k + 1, f"={form}", 0) for k, a, b, form in numbers]
     groups: dict[str, list[int]] = {}
     for i, t in enumerate(tokens):
         if t[3] is not None:
@@ -159,7 +222,7 @@ def consistent_spans(text: str, base: list[tuple[int, int, int]], p: Potentials
             unary[i, 0] = 0.0 if i in partnered else p.none
             if shape:
                 unary[i, shape] += p.shape if i not in partnered else 0.0
-        if i and start - tokens[i - 1][1] == 1:
+        if 0 < i < plain and start - tokens[i - 1][1] == 1:
             edges.append((i - 1, i))
             weight.append(p.chain)
     for h, g in enumerate(shared, len(tokens)):
@@ -168,15 +231,22 @@ def consistent_spans(text: str, base: list[tuple[int, int, int]], p: Potentials
             edges.append((i, h))
             weight.append(p.skip)
     label = message_passing(unary, np.array(edges), np.array(weight), p)[: len(tokens)].argmax(1)
+    labels = label.tolist()
+    whole = sorted((a, b, labels[i] - 1) for i, (a, b, *_) in enumerate(tokens[plain : plain + len(repeats)], plain) if labels[i])
     out: list[tuple[int, int, int]] = []
-    for (start, end, kind, _, _), k in zip(tokens, label.tolist(), strict=True):
+    at = 0
+    for (start, end, kind, _, _), k in zip(tokens[:plain], labels, strict=False):
         if kind or not k:
             continue
+        while at < len(whole) and whole[at][1] <= start:
+            at += 1
+        if at < len(whole) and whole[at][0] < end:  # part of a whole number
+            continue
         if out and out[-1][0] == k - 1 and start - out[-1][2] == 1:
             out[-1] = (k - 1, out[-1][1], end)
         else:
             out.append((k - 1, start, end))
-    return out
+    return out + [(k, a, b) for a, b, k in whole]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

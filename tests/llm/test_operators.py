@@ -195,6 +195,22 @@ def test_pii_repeats_become_consistent():
     assert pii.consistent_spans("no data 1234567 here 1234567", []) == []
 
 
+def test_pii_repeats_in_other_forms():
+    forms = ["743-555-3824", "7435553824", "743.555.3824", "(743) 555-3824", "743 555 3824", "1-743-555-3824", "001 743 555 3824", "0743 5553824", "555-3824", "5553824"]
+    for number in ("+1 (743) 555-3824", "+1-743-555-3824", "+17435553824"):
+        for form in forms:
+            for x in (f"Call {number}, or {form}. Not 743-555-3825, 3824 or 2024-01-15.", f"First {form} and 12 then {number}"):
+                more = pii.consistent_spans(x, pii.pattern_spans(x))
+                assert [(pii.KINDS[k], x[a:b]) for k, a, b in more] == [("phone", form)], (number, form, x)
+    x = "Write to john.smith@x.org or <jsmith@x.org>, contact@x.org; John.Smith and jsmith, contact us, smithy."
+    more = pii.consistent_spans(x, pii.pattern_spans(x))
+    assert [(pii.KINDS[k], x[a:b]) for k, a, b in more] == [("email", "John.Smith"), ("email", "jsmith")]
+    x = "4532 0151 1283 0366, again 4532.0151.1283.0366"
+    assert [(k, x[a:b]) for k, a, b in pii.consistent_spans(x, pii.pattern_spans(x))] == [(2, "4532.0151.1283.0366")]
+    x = "+1 743 555 3824 " * 3000 + "5553824 " * 3000  # linear
+    assert len(pii.consistent_spans(x, pii.pattern_spans(x))) >= 1
+
+
 def test_pii_rows(spark, docs, none, rows):
     got = pii.personal_data(docs)
     assert got.count() == len(rows) and pii.personal_data(none).count() == 0
