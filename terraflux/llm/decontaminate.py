@@ -6,7 +6,8 @@ stays, by a random bit of (j, word). Two sequences within d edits then agree at
 most steps, so edit distance becomes Hamming distance, and sampling a few steps
 of the embedding gives a locality-sensitive key. Several walks, each sampled many
 times, are compared by key; the number of samples is raised until simulated items
-with the largest allowed number of edits are found at the target recall. Items
+of every length, with exactly the largest allowed number of edits, are found at the
+target recall, and it is an error if that can't be reached. Items
 that share a key with a window are verified by exact edit distance, and only
 verified ones count.
 
@@ -34,6 +35,8 @@ from .common import bounded_batches, map_rows, table, texts, words_of
 
 U = np.uint64
 LEAST_WORDS = 5
+#: Simulated items of each length, and the samples of a walk beyond which recall counts as out of reach.
+TRIALS, LIMIT_SAMPLES = 40, 1536
 
 
 def allowed(n_words: int, similarity: float = 0.8) -> int:
@@ -75,7 +78,6 @@ class Index:
         # 0: past the end, 1: a word of no item
         self.bits = rng.integers(0, 2, (walks, 3 * longest, len(self.vocabulary) + 2), np.uint8)
         self.at = rng.random((walks, most_samples, sample))  # as a share of the walk
-        self.samples = most_samples
         self.samples = self._enough(rng, recall, most_samples) if items else 1
         keys, owner = self._item_keys(self.items)
         order = np.argsort(keys, kind="stable")
@@ -126,23 +128,41 @@ class Index:
         keys = self._keys(ids, start, length)
         return keys.ravel(), np.tile(order, len(keys))
 
+    def _edited(self, rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
+        """The item with exactly the allowed number of edits, at distinct words."""
+        d = self.limit[len(x)]
+        for attempt in range(20):
+            y: list[int] = []
+            kinds = dict(zip(rng.permutation(len(x))[:d].tolist(), rng.integers(0, 3, d).tolist() if attempt < 19 else [2] * d, strict=True))
+            for i, w in enumerate(x.tolist()):
+                what = kinds.get(i)
+                y += [w] if what is None else [1, w] if what == 0 else [] if what == 1 else [1]
+            got = np.array(y, np.int32)
+            if passage_distance(x, got)[0] == d:  # not fewer, as where a word goes beside one that comes
+                break
+        return got
+
     def _enough(self, rng: np.random.Generator, recall: float, most: int) -> int:
-        """Samples of each walk that find items with the largest allowed number of edits at the target recall."""
-        chosen = self.items[:: max(1, len(self.items) // 200)]
-        edited = []
-        for x in chosen:
-            y = x.tolist()
-            for _ in range(self.limit[len(x)]):
-                i, what = int(rng.integers(0, max(1, len(y)))), rng.integers(0, 3)
-                y[i : i + (what > 0)] = [] if what == 1 else [1]
-            edited.append(np.array([*y, *[1] * len(x)][: len(x)], np.int32))
+        """Samples of each walk that find items of every length with the largest allowed number of
+        edits at the target recall; more are drawn as long as they do not."""
+        by_length: dict[int, list[np.ndarray]] = {}
+        for x in self.items:
+            by_length.setdefault(len(x), []).append(x)
+        chosen = [of[k * len(of) // TRIALS if len(of) >= TRIALS else k % len(of)] for of in by_length.values() for k in range(TRIALS)]
+        edited = [np.append(self._edited(rng, x), np.ones(len(x), np.int32))[: len(x)] for x in chosen]
         order, ids, start, length = self._laid_out(chosen)
-        a = self._keys(ids, start, length)
-        b = self._keys(np.concatenate([*(edited[i] for i in order), np.zeros(max(self.lengths) + 1, np.int32)]), start, length)
-        same = (a == b).reshape(self.walks, most, -1).any(0)  # by sample and item
-        found = np.maximum.accumulate(same, axis=0).mean(1)
-        reached = np.flatnonzero(found >= recall)
-        return int(reached[0]) + 1 if len(reached) else most
+        other = np.concatenate([*(edited[i] for i in order), np.zeros(max(self.lengths) + 1, np.int32)])
+        edges = np.flatnonzero(np.append(True, length[1:] != length[:-1]))
+        while True:
+            self.samples = self.at.shape[1]
+            same = (self._keys(ids, start, length) == self._keys(other, start, length)).reshape(self.walks, self.samples, -1).any(0)  # by sample and item
+            found = np.add.reduceat(np.maximum.accumulate(same, axis=0).astype(np.int64), edges, axis=1) / TRIALS
+            reached = np.flatnonzero(found.min(1) >= recall)
+            if len(reached):
+                return int(reached[0]) + 1
+            if self.samples * 2 > max(most, LIMIT_SAMPLES):
+                raise ValueError(f"{self.samples} samples find only {found[-1].min():.3f} of the items of some length, not {recall}")
+            self.at = np.concatenate([self.at, rng.random(self.at.shape)], 1)
 
     def search(self, docs: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
         """For each document (item, distance, end word) of the items that are in it."""

@@ -165,6 +165,26 @@ def test_decontamination_recall_and_precision(spark, items):
     assert decontaminate.contamination(d, bench.limit(0)).count() == 0 and decontaminate.contamination(d.limit(0), bench).count() == 0
 
 
+def test_decontamination_samples_hold_for_every_length():
+    rnd = random.Random(12)
+    sizes = [5] * 6 + [10] * 30 + [24] * 30 + [60] * 6
+    items = [([k], [f"w{rnd.randrange(3000)}".encode() for _ in range(n)]) for k, n in enumerate(sizes)]
+    index, rng = decontaminate.Index(items, most_samples=2), np.random.default_rng(5)
+    assert index.samples > 2  # more are drawn where the first do not reach the target
+    for n in (5, 10, 24, 60):
+        some = [x for x in index.items if len(x) == n]
+        for x in some:
+            assert decontaminate.passage_distance(x, index._edited(rng, x))[0] == decontaminate.allowed(n)
+        found = 0
+        names = {i: w for w, i in index.vocabulary.items()}
+        for k in range(60):
+            y = [names.get(i, b"?") for i in index._edited(rng, some[k % len(some)]).tolist()]
+            found += any(index.items[i] is some[k % len(some)] for i, _, _ in index.search([[b"a"] * 5 + y + [b"b"] * 70])[0])
+        assert found >= 60 * 0.85, (n, found)
+    with pytest.raises(ValueError):
+        decontaminate.Index(items, sample=60, recall=1.0, most_samples=2)
+
+
 # 3
 
 
