@@ -550,82 +550,64 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 
 def naive_dedup(rows: list[tuple]) -> dict:
-    def ends(lines: list[str]) -> list[int]:
+    """By id and text the lines that stay: chunks, all runs of over 50 words and whole copies go."""
+
+    def chunks(lines: list[str]) -> list[tuple[int, int]]:
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
         long = [len(x.encode().split()) > 50 for x in lines]
-        return [i for i in range(len(lines)) if (h[i] + (31 * h[i - 1] if i else 0)) % 1_000_003 % 3 == 0 or long[i] or i + 1 == len(lines) or long[i + 1]]
+        ends = [i for i in range(len(lines)) if (h[i] + (31 * h[i - 1] if i else 0)) % 1_000_003 % 3 == 0 or long[i] or i + 1 == len(lines) or long[i + 1]]
+        cut = list(zip([0, *(e + 1 for e in ends)], ends))
+        return [(a, e) for a, e in cut if e > a or long[e]]
+
+    def all_runs(lines: list[str]) -> set[tuple[int, int]]:
+        words = [len(x.encode().split()) for x in lines]
+        return {(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if sum(words[a : b + 1]) > 50} | {(0, len(lines) - 1)}
 
-    seen, chunks = {}, {}
+    out, first = {}, {}
     order = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-    for i, t in order:
-        lines, start = t.split("\n"), 0
-        keep = list(range(len(lines)))
-        for e in ends(lines):
-            part = lines[start : e + 1]
-            if len(part) > 1 or len(part[0].encode().split()) > 50:
-                key = "\n".join(part)
-                if key in seen:
-                    keep = [k for k in keep if not start <= k <= e]
-                seen.setdefault(key, i)
-            start = e + 1
-        chunks[i, t] = "\n".join(lines[k] for k in keep)
-    return chunks
+    for d, (i, t) in enumerate(order):
+        lines, gone = t.split("\n"), set()
+        for a, b in sorted(all_runs(lines) | set(chunks(lines))):
+            known = first.setdefault("\n".join(lines[a : b + 1]) + f"/{b - a}", (d, a))
+            if known[0] < d or known[1] + b - a < a:
+                gone.update(range(a, b + 1))
+        out[i, t] = [x for k, x in enumerate(lines) if k not in gone]
+    return out
 
 
 def test_line_dedup_against_plain_python(spark, none):
     rnd = random.Random(21)
-    shared = ["\n".join(prose(rnd, rnd.randint(2, 12)) for _ in range(rnd.randint(4, 9))) for _ in range(4)] + [prose(rnd, 60)]
+    shared = [[prose(rnd, rnd.randint(2, 12)) for _ in range(rnd.randint(4, 9))] for _ in range(4)]
+    shared += [[prose(rnd, n) for n in ns] for ns in ((60,), (30, 30), (20, 20, 20), (15,) * 4, (10, 0, 10, 10, 25, 10), (6,) * 12)]
     rows = []
-    for i in range(40):
-        own = [prose(rnd, rnd.randint(1, 15)) for _ in range(rnd.randint(1, 8))]
-        own.insert(rnd.randrange(len(own) + 1), rnd.choice(shared))
-        rows.append((i, "\n".join(own)))
-    rows += [(100, rows[0][1]), (101, rows[0][1]), (102, None), (103, ""), (None, rows[1][1]), (104, "\n\n\n"), (7, rows[7][1])]
-    d = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, __gone string, chunk int").drop("__gone")
+    for i in range(80):
+        own = [prose(rnd, rnd.randint(1, 30)) for _ in range(rnd.randint(1, 8))]
+        at = rnd.randrange(len(own) + 1)
+        rows.append((i, "\n".join([*own[:at], *shared[i % 10], *own[at:]])))
+    rows += [(100, rows[0][1]), (101, rows[0][1]), (102, None), (103, ""), (None, rows[1][1]), (104, "\n\n\n"), (7, rows[7][1]), (105, "")]
+    rows += [(110, "short\none"), (111, "short\none"), (112, "short\ntwo"), (113, "\n".join(["again and again"] * 40)), (114, "a\n" * 700), (115, "b " * 200_000 + "\nb")]
+    d = spark.createDataFrame([(i, t, "x", 1, 2, "y") for i, t in rows], "doc_id long, text string, __gone string, claims int, line_dedup int, `a.b` string")
     got = line_dedup.dedup_lines(d).collect()
     want = naive_dedup(rows)
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and line_dedup.dedup_lines(d).columns == [*d.columns, "line_dedup_"]
     for r in got:
+        assert (r["__gone"], r.claims, r.line_dedup, r["a.b"]) == ("x", 1, 2, "y")
         source = [t for i, t in rows if i == r.doc_id]
-        assert r.text in {want[r.doc_id, t] if t is not None else None for t in source}
-    assert any(r.line_dedup.n_removed_chunks for r in got)
-    passage = shared[-1]
-    assert sum(passage in (r.text or "") for r in got if r.doc_id != 7) <= 1
-    assert line_dedup.dedup_lines(none.drop("__hash")).count() == 0
-
-
-def test_line_dedup_removes_whole_runs(spark):
-    rnd = random.Random(22)
-    passages = [[prose(rnd, n) for n in ns] for ns in ((30, 30), (20, 20, 20), (15,) * 4, (10, 0, 10, 10, 25, 10), (6,) * 12)]
-    rows = []
-    for i in range(40):
-        own = [prose(rnd, rnd.randint(8, 30)) for _ in range(rnd.randint(1, 6))]
-        at = rnd.randrange(len(own) + 1)
-        rows.append((i, "\n".join([*own[:at], *passages[i % 5], *own[at:]])))
-    rows += [(90, "short\none"), (91, "short\none"), (92, "short\ntwo"), (93, "\n".join(["again and again"] * 40)), (95, rows[3][1]), (96, rows[4][1])]
-    want, earlier = {}, []  # by brute force: all runs of over 50 words
-    for i, t in rows:
-        lines, gone = t.split("\n"), set()
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                run = lines[a : b + 1]
-                if sum(len(x.split()) for x in run) <= 50 and len(run) < len(lines):
-                    continue
-                if any(run == y[k : k + len(run)] for y in earlier for k in range(len(y))) and (sum(len(x.split()) for x in run) > 50 or lines in earlier) or any(run == lines[k : k + len(run)] for k in range(a - len(run) + 1)):
-                    gone.update(range(a, b + 1))
-        want[i] = gone
-        earlier.append(lines)
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), runs=True).collect()}
-    plain = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    less = 0
-    for i, t in rows:
-        left, lines = got[i].text.split("\n"), t.split("\n")
-        kept = [x for k, x in enumerate(lines) if k not in want[i]]
-        assert Counter(left if got[i].text or kept else []) <= Counter(kept), i  # the runs are gone
-        assert got[i].line_dedup.n_removed_lines >= max(len(want[i]), plain[i].line_dedup.n_removed_lines)
-        less += plain[i].line_dedup.n_removed_lines < len(want[i])
-    assert less > 20
-    assert got[91].text == got[95].text == got[96].text == "" and got[92].text == "short\ntwo" and got[0].text == rows[0][1]
+        assert r.text in {"\n".join(want[r.doc_id, t]) if t is not None else None for t in source}, r.doc_id
+        if r.doc_id != 7:
+            assert r.line_dedup_.n_removed_lines == (len(source[0].split("\n")) - len(want[r.doc_id, source[0]]) if source[0] is not None else 0)
+            assert (r.line_dedup_.n_removed_runs > 0) == (r.line_dedup_.n_removed_lines > 0)
+    for k, passage in enumerate(shared[4:]):  # nothing of a passage of over 50 words is left but once
+        assert sum(max(passage, key=len) in (r.text or "") for r in got if r.doc_id != 7) <= 1, k
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """Where all hashes of runs collide only what is equal goes."""
+    monkeypatch.setattr(line_dedup, "_run_hash", lambda c: F.lit(7).cast("long"))
+    rows = [(1, "a b c"), (2, "d e f"), (3, "a b c")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "a b c" and got[2] == "d e f" and got[3] == ""
 
 
 # pipeline
