@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraflux.llm.common import materialise, table
+from terraflux.llm.common import free_name, materialise, table
 from terraflux.llm.decontaminate import contaminated
 from terraflux.llm.line_dedup import dedup_lines
 from terraflux.llm.quality import judge
@@ -26,12 +26,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks and whole runs of lines that occur earlier, and with n_chars
-    to match; a document of which nothing is left, so any copy of an earlier one, goes."""
-    left = dedup_lines(docs, runs=True)
-    emptied = (F.col("line_dedup.n_removed_lines") > 0) & (F.col("line_dedup.n_removed_lines") == F.col("line_dedup.n_lines"))
-    changed = F.col("line_dedup.n_removed_lines") > 0
-    size = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    return left.where(~emptied).select(*[size if c == "n_chars" else F.col(c) for c in docs.columns])
+    to match, where docs has it; a document of which nothing is left, so any copy of an
+    earlier one, goes."""
+    info = free_name(docs, "line_dedup")
+    left = dedup_lines(docs, info=info)
+    removed = F.col(f"{info}.n_removed_lines")
+    left = left.where(~((removed > 0) & (removed == F.col(f"{info}.n_lines"))))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(removed > 0, size).otherwise(F.col("n_chars")))
+    return left.drop(info)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
