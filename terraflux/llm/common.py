@@ -56,9 +56,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """``name``, with underscores until docs has no such column."""
-    while name.lower() in {c.lower() for c in docs.columns}:
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
         name += "_"
     return name
 

@@ -5,11 +5,11 @@ random walk (CGK): at step j the walk emits the word it stands on and moves on o
 stays, by a random bit of (j, word). Two sequences within d edits then agree at
 most steps, so edit distance becomes Hamming distance, and sampling a few steps
 of the embedding gives a locality-sensitive key. Several walks, each sampled many
-times, are compared by key; the number of samples is raised until simulated items
-of every length, with exactly the largest allowed number of edits, are found at the
-target recall, and it is an error if that can't be reached. Items
-that share a key with a window are verified by exact edit distance, and only
-verified ones count.
+times, are compared by key; samples, then walks are added until simulated items of
+every length, with exactly the largest allowed number of edits, are found at the
+target recall, and it is an error if that can't be reached. Items that share a key with a window are verified by exact edit distance, and only
+verified ones count. Items of under five words allow no edit; they are looked up as
+they are.
 
 Windows start at every word of every text. Those that can't be within the allowed
 distance of any item are passed over first, by counts that no true match fails: if
@@ -17,26 +17,30 @@ item and passage differ by at most d edits, the item-long window at the passage'
 start has at least L - d words and L - 1 - 2d word pairs of the benchmark (each edit
 spoils two pairs at most), and some short block of it has its share of the pairs.
 
-The benchmark is the query set, taken in blocks of bounded size that are broadcast
-in turn; documents are read once for each block and nothing is shuffled.
+The benchmark is the query set, taken in blocks of bounded size (items and words)
+that are broadcast in turn; the random bits of a walk come from a product, not from a
+table that grows with the vocabulary; documents are read once for each block and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_rows, table, texts, words_of
+from .common import bounded_batches, free_name, map_rows, table, texts, words_of
 
 U = np.uint64
 LEAST_WORDS = 5
-#: Simulated items of each length, and the samples of a walk beyond which recall counts as out of reach.
-TRIALS, LIMIT_SAMPLES = 40, 1536
+#: Simulated items of each length, and the walks beyond which recall counts as out of reach.
+TRIALS, LIMIT_WALKS = 40, 64
 
 
 def allowed(n_words: int, similarity: float = 0.8) -> int:
@@ -60,29 +64,40 @@ def passage_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 class Index:
     """Keys of a block of benchmark items: (item ids, words) with distinct words."""
 
-    def __init__(self, items: list[tuple[list, list[bytes]]], *, similarity: float = 0.8, walks: int = 4, sample: int = 2, recall: float = 0.95, most_samples: int = 48, seed: int = 11):
+    def __init__(self, items: list[tuple[list, list[bytes]]], *, similarity: float = 0.8, walks: int = 4, sample: int = 2, recall: float = 0.95, most_samples: int = 24, seed: int = 11):
+        items = sorted(items, key=lambda x: len(x[1]) < LEAST_WORDS)  # the short ones last
         self.ids = [x[0] for x in items]
         self.vocabulary: dict[bytes, int] = {}
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words], np.int32) for _, words in items]
+        found = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words], np.int32) for _, words in items]
+        self.sizes = np.array([len(x) for x in found], np.int64)
+        self.items = [x for x in found if len(x) >= LEAST_WORDS]
+        self.short: dict[int, dict[tuple[int, ...], int]] = {}
+        for k, x in enumerate(found[len(self.items) :], len(self.items)):
+            self.short.setdefault(len(x), {})[tuple(x.tolist())] = k
+        self.short_first = {n: np.unique([x[0] for x in of]) for n, of in self.short.items()}
         self.similarity, self.walks, self.sample = similarity, walks, sample
         self.lengths = sorted({len(x) for x in self.items})
         self.limit = {n: allowed(n, similarity) for n in self.lengths}
-        longest = max(self.lengths, default=0)
         self.pairs = np.zeros(1 << 22, bool)  # hashed word pairs of the items
         for x in self.items:
             self.pairs[self._pair(x[:-1], x[1:])] = True
         # of the pairs of a match some block of this many has at least so many of an item's
-        self.block = min(12, self.lengths[0] - 1) if items else 1
+        self.block = min(12, self.lengths[0] - 1) if self.items else 1
         self.share = min((self.block - 2 * self.limit[n] // ((n - 1) // self.block) for n in self.lengths), default=0)
         rng = np.random.default_rng(seed)
-        # 0: past the end, 1: a word of no item
-        self.bits = rng.integers(0, 2, (walks, 3 * longest, len(self.vocabulary) + 2), np.uint8)
-        self.at = rng.random((walks, most_samples, sample))  # as a share of the walk
-        self.samples = self._enough(rng, recall, most_samples) if items else 1
+        # ids: 0 past the end, 1 a word of no item; the bit of a step and a word is the top bit of a product
+        self.salt = rng.integers(0, 1 << 63, len(self.vocabulary) + 2, U) << U(1) | U(1)
+        self._draw(rng, most_samples)
+        self.samples = self._enough(rng, recall, most_samples) if self.items else 1
+        self.marks = np.zeros(len(self.vocabulary) + 2, bool)
         keys, owner = self._item_keys(self.items)
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
 
+    def _draw(self, rng: np.random.Generator, samples: int) -> None:
+        self.turns = rng.integers(0, 1 << 63, (self.walks, 2 * max(self.lengths, default=0)), U) << U(1) | U(1)
+        self.at = rng.random((self.walks, samples, self.sample))  # as a share of the walk
+
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h = a.astype(U) * U(0x9E3779B97F4A7C15) + b.astype(U)
@@ -92,7 +107,7 @@ class Index:
         """(walks * samples, windows) keys of the windows, which must come with falling lengths.
         ids must go on past every start with zeros, for the longest walk."""
         out = np.empty((self.walks * self.samples, len(start)), U)
-        steps = 2 * int(length.max(initial=0))
+        steps = int(1.7 * length.max(initial=0)) + 1
         # a walk moves at half its steps; sampling ends before walks begin to run past the end
         places = (self.at[:, : self.samples, :, None] * (1.7 * np.array(self.lengths))).astype(np.int64)
         which = np.searchsorted(self.lengths, length)
@@ -100,11 +115,11 @@ class Index:
             emitted = np.zeros((steps, len(start)), np.int32)
             offset = np.zeros(len(start), np.int64)
             for j in range(steps):
-                n = int(np.searchsorted(-length, -(j // 2), "right"))  # windows with 2 * length > j, and a few
+                n = int(np.searchsorted(-length, -int(j / 1.7), "right"))  # windows with 1.7 * length > j, and a few
                 o = offset[:n]
                 word = np.where(o < length[:n], ids[start[:n] + o], 0)
                 emitted[j, :n] = word
-                offset[:n] += self.bits[w, j][word]
+                offset[:n] += (self.salt[word] * self.turns[w, j] >> U(63)).astype(np.int64)
             column = np.arange(len(start))
             for s in range(self.samples):
                 h = length.astype(U) * U(0x9E3779B97F4A7C15) + U(w * 1000 + s)
@@ -144,7 +159,7 @@ class Index:
 
     def _enough(self, rng: np.random.Generator, recall: float, most: int) -> int:
         """Samples of each walk that find items of every length with the largest allowed number of
-        edits at the target recall; more are drawn as long as they do not."""
+        edits at the target recall. Where ``most`` do not, there are twice as many walks."""
         by_length: dict[int, list[np.ndarray]] = {}
         for x in self.items:
             by_length.setdefault(len(x), []).append(x)
@@ -160,21 +175,31 @@ class Index:
             reached = np.flatnonzero(found.min(1) >= recall)
             if len(reached):
                 return int(reached[0]) + 1
-            if self.samples * 2 > max(most, LIMIT_SAMPLES):
-                raise ValueError(f"{self.samples} samples find only {found[-1].min():.3f} of the items of some length, not {recall}")
-            self.at = np.concatenate([self.at, rng.random(self.at.shape)], 1)
+            if self.walks * 2 > LIMIT_WALKS:
+                raise ValueError(f"{self.walks} walks find only {found[-1].min():.3f} of the items of some length, not {recall}")
+            self.walks *= 2
+            self._draw(rng, most)
 
     def search(self, docs: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
         """For each document (item, distance, end word) of the items that are in it."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in docs]
-        if not self.items:
+        if not self.ids:
             return out
-        pad = max(self.lengths) + 1
+        pad = int(self.sizes.max()) + 1
         lens = np.array([len(d) for d in docs], np.int64)
         first = np.append(0, np.cumsum(lens + pad)[:-1])
         ids = np.zeros(int((lens + pad).sum()), np.int32)
         for d, a in zip(docs, first.tolist(), strict=True):
             ids[a : a + len(d)] = np.fromiter(map(self.vocabulary.get, d, repeat(1)), np.int32, len(d))
+        for n, of in self.short.items():
+            held: set[tuple[int, int]] = set()
+            for p in np.flatnonzero(np.isin(ids, self.short_first[n])).tolist():
+                item = of.get(tuple(ids[p : p + n].tolist()))
+                if item is not None and (doc := int(np.searchsorted(first, p, "right")) - 1, item) not in held:
+                    held.add((doc, item))
+                    out[doc].append((item, 0, p + n - int(first[doc])))
+        if not self.items:
+            return out
         top = len(ids) - pad
         both = (ids[:-1] > 1) & (ids[1:] > 1)
         at = np.flatnonzero(both)
@@ -196,7 +221,6 @@ class Index:
             starts.append(at)
             lengths.append(np.full(len(at), n))
         start, length = np.concatenate(starts), np.concatenate(lengths)
-        tried: dict[tuple[int, int], int] = {}
         done: set[tuple[int, int]] = set()
         for a in range(0, len(start), 20_000):
             s, n = start[a : a + 20_000], length[a : a + 20_000]
@@ -207,21 +231,26 @@ class Index:
             where, low = np.nonzero(hit)[1], low[hit]
             count = high - low
             owner = self.owner[np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)]
-            for p, item in np.unique(np.stack([s[np.repeat(where, count)], owner], 1), axis=0).tolist():
-                doc = int(np.searchsorted(first, p, "right")) - 1
+            if not len(owner):
+                continue
+            p, item = np.unique(np.stack([owner, s[np.repeat(where, count)]]), axis=1)[::-1]
+            doc = np.searchsorted(first, p, "right") - 1
+            # windows of an item less than its length apart are verified together
+            apart = (np.diff(item) > 0) | (np.diff(doc) > 0) | (np.diff(p) > self.sizes[item[1:]])
+            cut = np.flatnonzero(np.concatenate([[True], apart, [True]]))
+            for item, doc, begin, end in zip(item[cut[:-1]].tolist(), doc[cut[:-1]].tolist(), p[cut[:-1]].tolist(), p[cut[1:] - 1].tolist(), strict=True):
                 if (doc, item) in done:
                     continue
-                x = self.items[item]
-                limit = self.limit[len(x)]
-                lo = max(int(first[doc]), p - limit)
-                hi = min(int(first[doc] + lens[doc]), p + len(x) + limit)
-                if tried.get((doc, item), -1) >= hi:
-                    continue
+                x, limit = self.items[item], self.limit[int(self.sizes[item])]
+                lo = max(int(first[doc]), begin - limit)
+                hi = min(int(first[doc] + lens[doc]), end + len(x) + limit)
                 region = ids[lo:hi]
-                if np.isin(x, region).sum() < len(x) - limit:
+                self.marks[region] = True
+                shared = np.count_nonzero(self.marks[x])
+                self.marks[region] = False
+                if shared < len(x) - limit:
                     continue
                 distance, end = passage_distance(x, region)
-                tried[doc, item] = hi
                 if distance <= limit:
                     done.add((doc, item))
                     out[doc].append((item, distance, lo + end - int(first[doc])))
@@ -229,54 +258,69 @@ class Index:
 
 
 def benchmark_items(benchmark: DataFrame) -> list[tuple[list, list[bytes]]]:
-    """(ids, words) of the distinct items that can be searched; the benchmark is the small query set."""
+    """(ids, words) of the distinct items that have words; the benchmark is the small query set."""
     grouped: dict[tuple[bytes, ...], list] = {}
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        w = tuple(words_of(r.text.encode()))
-        if len(w) >= LEAST_WORDS:
+        w = tuple(words_of(r.text.encode("utf-8", "surrogatepass")))
+        if w:
             grouped.setdefault(w, []).append(r.item_id)
     return sorted(((sorted(ids, key=lambda x: (x is None, x)), list(w)) for w, ids in grouped.items()), key=lambda x: x[1])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, want: bool = True, *, similarity: float = 0.8, block: int = 20_000) -> DataFrame:
+def indexes(benchmark: DataFrame, similarity: float, block: int, block_words: int) -> Iterator[Broadcast]:
+    """Broadcast indexes of the items, by blocks of at most ``block`` items and about block_words
+    words; one of no items where there are none."""
+    held, words = [], 0
+    for x in benchmark_items(benchmark):
+        if held and (len(held) == block or words + len(x[1]) > block_words):
+            yield benchmark.sparkSession.sparkContext.broadcast(Index(held, similarity=similarity))
+            held, words = [], 0
+        held.append(x)
+        words += len(x[1])
+    yield benchmark.sparkSession.sparkContext.broadcast(Index(held, similarity=similarity))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, want: bool = True, *, similarity: float = 0.8, block: int = 20_000, block_words: int = 1_000_000) -> DataFrame:
     """The rows of docs, with all their columns, in which ``contamination`` finds an item, or
-    (``want`` false) the rest. Cases as there; a null text holds none."""
+    (``want`` false) the rest. Cases as there; a null text holds none, and columns of any
+    other name play no part."""
     bounded_batches(docs.sparkSession)
-    items = benchmark_items(benchmark)
-    for a in range(0, max(1, len(items)), block):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(items[a : a + block], similarity=similarity))
+    mark = free_name(docs.columns, "found")
+    text_at = docs.columns.index("text")
+    out = docs
+    for sent in indexes(benchmark, similarity, block, block_words):
 
         def run(batches, sent=sent):
             index = sent.value
             for b in batches:
-                split = [words_of((t or "").encode("utf-8", "surrogatepass")) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+                split = [words_of((t or "").encode("utf-8", "surrogatepass")) for t in b.column(text_at).to_pylist()]
                 found = np.array([bool(x) for x in index.search(split)], bool)
-                if "__found" in b.schema.names:
-                    found |= b.column(b.schema.get_field_index("__found")).to_numpy(zero_copy_only=False)
-                    b = b.drop_columns(["__found"])
-                yield b.append_column("__found", pa.array(found))
+                if mark in b.schema.names:
+                    found |= b.column(b.schema.get_field_index(mark)).to_numpy(zero_copy_only=False)
+                    b = b.drop_columns([mark])
+                yield b.append_column(mark, pa.array(found))
 
-        docs = docs.mapInArrow(run, T.StructType([*(f for f in docs.schema if f.name != "__found"), T.StructField("__found", T.BooleanType())]))
-    return docs.where(F.col("__found") == want).drop("__found")
+        out = out.mapInArrow(run, T.StructType([*docs.schema, T.StructField(mark, T.BooleanType())]))
+    return out.where(F.col(mark) == want).drop(mark)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, block: int = 20_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, block: int = 20_000, block_words: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, distance, item_words, end_word) for each row of docs (doc_id, text) and
     each item of benchmark (item_id, text) that some passage of it matches.
 
     A match has a similarity, 1 - distance / words of the item, of 0.8 or more;
-    distances are in lower-cased words. Items of under five words, null and empty
-    ones included, match nothing; items with equal words are all reported. Null and
-    empty documents match nothing, repeated rows are each searched, empty tables
-    give no rows. distance is that of the first passage found, at most the limit.
+    distances are in lower-cased words. So items of under five words match only as they
+    are; null items and those without words match nothing; items with equal words are all
+    reported. Null and empty documents match nothing, repeated rows are each searched,
+    empty tables give no rows, texts of any length are searched whole. distance is the
+    least of the passages found beside each other, at most the limit; of several such
+    places the first counts.
     """
     bounded_batches(docs.sparkSession)
     kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind}, distance int, item_words int, end_word int"
-    items = benchmark_items(benchmark)
-    found = None
-    for a in range(0, max(1, len(items)), block):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(items[a : a + block], similarity=similarity))
+    parts = []
+    for sent in indexes(benchmark, similarity, block, block_words):
 
         def make(sent=sent):
             index = sent.value
@@ -287,15 +331,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, similarity: float =
                 for doc_id, got in zip(cols["doc_id"], index.search(split), strict=True):
                     for item, distance, end in sorted(got):
                         for item_id in index.ids[item]:
-                            for k, v in (("doc_id", doc_id), ("item_id", item_id), ("distance", distance), ("item_words", len(index.items[item])), ("end_word", end)):
+                            for k, v in (("doc_id", doc_id), ("item_id", item_id), ("distance", distance), ("item_words", int(index.sizes[item])), ("end_word", end)):
                                 out[k].append(v)
                 return out
 
             return step
 
-        part = map_rows(docs.select("doc_id", "text"), schema, make)
-        found = part if found is None else found.unionByName(part)
-    return found
+        parts.append(map_rows(docs.select("doc_id", "text"), schema, make))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
