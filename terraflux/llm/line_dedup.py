@@ -17,8 +17,9 @@ occurrence of each, combined before the shuffle; a second finds the later ones.
 Candidates of a document that lie at the same shift from the same earlier document
 are merged into the longest repeated runs, and only the text of these is fetched
 and compared byte for byte. Joins stand on a recurring hash or on a first
-occurrence, which may be very frequent: both sides of each are read from tables, so
-they are plain sort-merge joins whose heavy partitions adaptive execution splits.
+occurrence, which may be very frequent: both sides of each are read from tables, and
+at every size they are sort-merge joins, whose heavy partitions adaptive execution
+splits.
 Rows with equal id and text count as one document.
 """
 
@@ -115,7 +116,7 @@ def repeats(cut: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "first")
     kept = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1")
     kept = materialise(kept.select(F.col("h").alias("same"), F.col("kept.doc_id").alias("k_id"), F.col("kept.text_hash").alias("k_hash"), F.col("kept.first").alias("k_first")), "line-kept")
-    later = one.join(kept, F.col("h") == F.col("same"))
+    later = one.join(kept.hint("merge"), F.col("h") == F.col("same"))
     # a run does not repeat one that it overlaps, such as itself
     own = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
     later = later.where(~(own & (F.col("k_first") + F.col("last") - F.col("first") >= F.col("first"))))
@@ -150,15 +151,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return F.array_join(F.slice(lines, first + 1, n), "\n")
 
     spans = runs.groupBy("k_id", "k_hash").agg(F.collect_set(F.struct("k_first", "n")).alias("spans"))
-    sources = plain.withColumn("hash", F.xxhash64("text")).join(spans, (F.col("hash") == F.col("k_hash")) & F.col("doc_id").eqNullSafe(F.col("k_id")))
+    sources = plain.withColumn("hash", F.xxhash64("text")).join(spans.hint("merge"), (F.col("hash") == F.col("k_hash")) & F.col("doc_id").eqNullSafe(F.col("k_id")))
     sources = sources.select("k_id", "k_hash", F.split("text", "\n").alias("lines"), F.explode("spans").alias("s"))
     sources = sources.select("k_id", "k_hash", "s.k_first", "s.n", part("lines", F.col("s.k_first"), F.col("s.n")).alias("run"))
     sources = materialise(sources.groupBy("k_id", "k_hash", "k_first", "n").agg(F.first("run").alias("run")).toDF("s_id", "s_hash", "s_first", "s_n", "run"), "line-sources")
-    claims = runs.join(sources, F.col("k_id").eqNullSafe(F.col("s_id")) & (F.col("k_hash") == F.col("s_hash")) & (F.col("k_first") == F.col("s_first")) & (F.col("n") == F.col("s_n")))
+    claims = runs.join(sources.hint("merge"), F.col("k_id").eqNullSafe(F.col("s_id")) & (F.col("k_hash") == F.col("s_hash")) & (F.col("k_first") == F.col("s_first")) & (F.col("n") == F.col("s_n")))
     claims = claims.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("firsts", "n", "run")).alias("claims"))
 
     keyed = inner.withColumn("hash", F.when(own_text.isNotNull(), F.xxhash64(own_text)))
-    both = keyed.join(claims, (F.col("hash") == F.col("text_hash")) & own_id.eqNullSafe(F.col("doc_id")), "left")
+    both = keyed.join(claims.hint("merge"), (F.col("hash") == F.col("text_hash")) & own_id.eqNullSafe(F.col("doc_id")), "left")
     both = both.withColumn("lines", F.split(own_text, "\n"))
     # only runs whose bytes are those of the first occurrence go
     proven = lambda c: F.transform(F.filter(c["firsts"], lambda f: part("lines", f, c["n"]) == c["run"]), lambda f: F.sequence(f, f + c["n"] - 1))
@@ -172,7 +173,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.size(_runs_of("dropped")).cast("long").alias("n_removed_runs"),
     )
     out = both.select(*[text if c == text_col else F.col(n) for c, n in zip(docs.columns, names, strict=True)], counts)
-    return out.toDF(*docs.columns, free_name(docs, info))
+    return out.toDF(*docs.columns, free_name(docs.columns, info))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
