@@ -21,14 +21,15 @@ from terraflux.llm.simhash import first_of_each_class
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the outlier test keep."""
-    return judge(docs).where("quality.kept").select(*docs.columns)
+    info = free_name(docs.columns, "quality")
+    return judge(docs, info=info).where(f"{info}.kept").drop(info)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks and whole runs of lines that occur earlier, and with n_chars
     to match, where docs has it; a document of which nothing is left, so any copy of an
     earlier one, goes."""
-    info = free_name(docs, "line_dedup")
+    info = free_name(docs.columns, "line_dedup")
     left = dedup_lines(docs, info=info)
     removed = F.col(f"{info}.n_removed_lines")
     left = left.where(~((removed > 0) & (removed == F.col(f"{info}.n_lines"))))
