@@ -157,11 +157,13 @@ def test_decontamination_recall_and_precision(spark, items):
             best = decontaminate.passage_distance(w, np.array([hash(x) for x in split(text)]))[0]
             assert best <= r.distance <= decontaminate.allowed(len(w))
     assert sum(r.doc_id == 2001 and r.item_id == 0 for r in got) == 2  # repeated rows
-    kept = decontaminate.contaminated(d, bench, False).collect()
+    assert {r.doc_id for r in got if r.item_id == 91} == {i for i, t in rows if b" the of " in b" " + b" ".join(split(t)) + b" "}  # short items as they are
+    kept = decontaminate.contaminated(d.withColumn("__found", F.lit(True)).withColumn("found", F.lit(True)), bench, False).collect()
     assert {r.doc_id for r in kept} == {i for i, _ in rows} - {p[0] for p in pairs}
     blocks = decontaminate.contamination(d, bench, block=7)
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} >= exact
-    assert decontaminate.contaminated(d, bench, True, block=7).count() >= len(exact)
+    assert decontaminate.contaminated(d, bench, True, block_words=100).count() >= len(exact)
+    assert decontaminate.contamination(d, bench.where("item_id = 91")).count() == sum(r.item_id == 91 for r in got)
     assert decontaminate.contamination(d, bench.limit(0)).count() == 0 and decontaminate.contamination(d.limit(0), bench).count() == 0
 
 
@@ -170,7 +172,7 @@ def test_decontamination_samples_hold_for_every_length():
     sizes = [5] * 6 + [10] * 30 + [24] * 30 + [60] * 6
     items = [([k], [f"w{rnd.randrange(3000)}".encode() for _ in range(n)]) for k, n in enumerate(sizes)]
     index, rng = decontaminate.Index(items, most_samples=2), np.random.default_rng(5)
-    assert index.samples > 2  # more are drawn where the first do not reach the target
+    assert index.walks > 4  # there are more where the first do not reach the target
     for n in (5, 10, 24, 60):
         some = [x for x in index.items if len(x) == n]
         for x in some:
@@ -455,27 +457,82 @@ def test_quality_outliers_by_group(spark):
         rows.append((k, t, "en", f"s{k % 2}"))
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "quality.kept").collect()}
     assert not any(got[k] for k in range(0, 400, 20)) and sum(not v for k, v in got.items() if k % 20) <= 2
-    few = quality.judge(spark.createDataFrame(rows[:10], "doc_id long, text string, lang string, source string")).select("quality.*").collect()
-    assert all(r.distance is None and r.kept for r in few if not r.base_failed)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for n in (1, 10):  # a few rows alone say nothing about each other
+        few = quality.judge(d.limit(n)).select("quality.*").collect()
+        assert all(r.kept and r.distance < quality.CUTOFF for r in few if not r.base_failed)
+    salted = quality.judge(d, few_groups=0)  # the same without broadcast
+    plan = salted._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and not re.search("Python|Arrow|Pandas", plan)
+    assert {r.doc_id: r.kept for r in salted.select("doc_id", "quality.kept").collect()} == got
+    small = quality.judge(d.unionByName(d.where("doc_id in (1, 2, 20)").withColumn("source", F.lit("tiny")))).where("source = 'tiny'").select("doc_id", "quality.kept").collect()
+    assert {r.doc_id: r.kept for r in small} == {1: True, 2: True, 20: False}  # judged by their language
+
+
+def test_quality_passes_other_columns(spark):
+    d = spark.createDataFrame([(1, "a b " * 40, None, "s", 5, "x", 7)], "doc_id long, text string, lang string, source string, quality int, `group` string, `a.b` int")
+    got = quality.judge(d)
+    assert got.columns == [*d.columns, "quality_"] and got.drop("quality_").collect() == d.collect()
+    assert quality.judge(d.limit(0)).count() == 0
+
+
+def chol(c: np.ndarray) -> list[float]:
+    low = np.linalg.cholesky(c)
+    return [low[i, j] for i in range(5) for j in range(i + 1)]
 
 
 def test_quality_estimate_matches_numpy(spark):
-    """One step of the estimate, rows near the medians, against numpy."""
+    """Starts, one step and the leaning of one group against numpy; and what the steps lead to."""
     rng = np.random.default_rng(0)
-    xs = list(quality.FLOORS)
-    data = rng.normal(0, 1, (300, 5)) @ rng.normal(0, 1, (5, 5))
-    df = spark.createDataFrame([("g", *map(float, r)) for r in data], "group string, " + ", ".join(f"{x} double" for x in xs))
-    m = quality.outlier_model(df, steps=1).first()
-    floor = np.array(list(quality.FLOORS.values()))
+    xs = quality.XS
+    data = rng.normal(0, 1, (400, 5)) @ rng.normal(0, 1, (5, 5))
+    data[:60] += 25  # outliers together
+    df = spark.createDataFrame([("g", "en", k % 32, *map(float, r)) for k, r in enumerate(data)], "group string, lang string, salt int, " + ", ".join(f"{x} double" for x in xs))
+    floor = np.diag(np.array(list(quality.FLOORS.values())) ** 2)
     lower = lambda a: np.sort(a, axis=0)[(len(a) - 1) // 2]
     mid = lower(data)
-    scale = 1.4826 * lower(np.abs(data - mid)) + floor
-    d2 = (((data - mid) / scale) ** 2).sum(1)
-    near = data[d2 <= np.sort(d2)[int(math.ceil(0.75 * len(data))) - 1]]
-    cov = np.cov(near.T, bias=True) * quality.CONSISTENCY + np.diag(floor**2)
-    chol = np.linalg.cholesky(cov)
-    assert [m[f"m_{x}"] for x in xs] == pytest.approx(near.mean(0).tolist(), rel=1e-6, abs=1e-9)
-    assert [m[f"f_{x}_{y}"] for i, x in enumerate(xs) for y in xs[: i + 1]] == pytest.approx([chol[i, j] for i in range(5) for j in range(i + 1)], rel=1e-6)
+    scale = np.sqrt((1.4826 * lower(np.abs(data - mid))) ** 2 + np.diag(floor))
+
+    def near(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+        d2 = np.einsum("ij,jk,ik->i", data - m, np.linalg.inv(c), data - m)
+        bins = np.floor(np.log2(np.clip(d2, 0.25, 2.0**14)) * 16)
+        return np.array([min(1, max(0, (0.75 * len(data) - (bins < b).sum()) / (bins == b).sum())) for b in bins])
+
+    def moments(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = np.average(data, axis=0, weights=w)
+        return m, np.cov(data.T, bias=True, aweights=w) * quality.CONSISTENCY + floor
+
+    begun = quality.starts(df, True)
+    assert sorted(r.start for r in begun.collect())[:1] == [0] and begun.count() > 1
+    m, c = moments(near(mid, np.diag(scale**2)))
+    for few in (True, False):
+        got = quality.step(df, begun.where("start = 0"), few).first()
+        assert [got[f"m_{x}"] for x in xs] == pytest.approx(m.tolist(), rel=1e-6, abs=1e-9)
+        assert [got[f"f_{x}_{y}"] for x, y in quality.PAIRS] == pytest.approx(chol(c), rel=1e-6)
+        assert got.log_det == pytest.approx(np.linalg.slogdet(c)[1], rel=1e-6)
+    for _ in range(20):  # where steps from the medians lead to
+        m, c = moments(near(m, c))
+    best = quality.least_determinant(df).first()
+    assert best.log_det <= np.linalg.slogdet(c)[1] + 1e-3
+    low = np.zeros((5, 5))
+    for x, y in quality.PAIRS:
+        low[xs.index(x), xs.index(y)] = best[f"f_{x}_{y}"]
+    m, c = np.array([best[f"m_{x}"] for x in xs]), low @ low.T
+    assert moments(near(m, c))[0] == pytest.approx(m, abs=0.02)  # further steps change little
+    assert (np.abs(m) < 1).all()  # far from the outliers
+    n, c = best.n, c - floor
+    prior = np.diag(np.array(list(quality.BROAD.values())) ** 2)
+    for _ in range(2):  # of all rows, then of the language: here the group's own
+        prior = (n * c + 50 * prior) / (n + 50)
+    want = (n * c + 50 * prior) / (n + 50) + floor
+    got = quality.outlier_model(df).first()
+    assert [got[f"m_{x}"] for x in xs] == pytest.approx(m.tolist(), rel=1e-6, abs=1e-9)
+    assert [got[f"f_{x}_{y}"] for x, y in quality.PAIRS] == pytest.approx(chol(want), rel=1e-6)
+    inverse = np.linalg.inv(want)
+    assert min(np.einsum("ij,jk,ik->i", data[:60] - m, inverse, data[:60] - m)) > quality.CUTOFF
+    same = spark.createDataFrame([("g", "", 0, 1.0, 2.0, 3.0, 0.0, 0.0)] * 30, df.schema)  # ties
+    tied = quality.outlier_model(same).first()
+    assert [tied[f"m_{x}"] for x in xs] == pytest.approx([1, 2, 3, 0, 0]) and all(tied[f"f_{x}_{x}"] >= quality.FLOORS[x] for x in xs)
 
 
 # 9
