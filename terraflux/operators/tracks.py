@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import native
+from ..sources.shared import materialise
 
 
 def segments(df: DataFrame, track: str, time: str, lon: str, lat: str, tie: str, *, min_points: int = 2, break_on_day: bool = False, filter_singular: bool = True) -> DataFrame:
@@ -42,16 +43,17 @@ def every_nth(df: DataFrame, share: float, order: list[str], by: str | None = No
     if n < 2:
         return df
     if by is None:
-        # places by range partition and within it, rather than one window over all rows
-        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-        split = ranged.withColumns({"__p": F.shiftright("__id", 33), "__k": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
-        sizes = {r["__p"]: r["n"] for r in split.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
-        before, total = {}, 0
-        for p in sorted(sizes):
-            before[p], total = total, total + sizes[p]
-        start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else None
-        place = (F.element_at(start, F.col("__p")) if start is not None else F.lit(0)) + F.col("__k")
-        return split.where(place % n == 0).select(*df.columns)
+        # places by range partition and within it, rather than one window over all rows; written
+        # once, since a second run may draw the ranges elsewhere
+        ids = [f"c{i}" for i in range(len(df.columns))]
+        keys = [ids[df.columns.index(c)] for c in order]
+        ranged = df.toDF(*ids).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id())
+        placed = ranged.select(*ids, F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+        placed = materialise(placed, "ranged")
+        sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = F.broadcast(sizes.select(F.col("part").alias("of"), before.alias("before")))
+        return placed.join(starts, F.col("part") == F.col("of")).where((F.col("before") + F.col("place")) % n == 0).select(*ids).toDF(*df.columns)
     w = Window.partitionBy(F.coalesce(F.col(by).cast("string"), F.lit(""))).orderBy(*order)
     return df.withColumn("__k", F.row_number().over(w) - 1).where(F.col("__k") % n == 0).drop("__k")
 

@@ -1,14 +1,21 @@
-"""Directory layouts by date, attribute and place; writing, pruning, updates and compaction."""
+"""Directory layouts by date, attribute and place; writing, pruning, updates and compaction, by versions."""
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import native
+from .shared import filesystem
 
 #: Date patterns of the named layouts.
 DATE_LAYOUTS = {"minute": "yyyy/MM/dd/HH/mm", "hourly": "yyyy/MM/dd/HH", "daily": "yyyy/MM/dd", "monthly": "yyyy/MM", "yearly": "yyyy", "julian-minute": "yyyy/DDD/HH/mm", "julian-hourly": "yyyy/DDD/HH", "julian-daily": "yyyy/DDD"}
@@ -52,51 +59,156 @@ def z2_cells(bounds: tuple[float, float, float, float], bits: int) -> list[str]:
     return out
 
 
+#: Of a stored table: path/gen=<write>/partition=<value>/ has the files, path/_manifest/<version>.json says
+#: for each partition in which gens its current files are. A change writes a new gen and then a new version.
+_MANIFEST = "_manifest"
+
+
+@dataclass
+class Manifest:
+    """The current state of a stored table. partitions: folder name to gens, schema: Spark's, as JSON."""
+
+    version: int = 0
+    schema: str | None = None
+    partitions: dict[str, list[str]] = field(default_factory=dict)
+
+
+def manifest(spark: SparkSession, path: str) -> Manifest | None:
+    """The newest version, None where there is no table."""
+    fs, make = filesystem(spark, path)
+    where = make(f"{path}/{_MANIFEST}")
+    if not fs.exists(where):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(where)]
+    version = max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+    if not version:
+        return None
+    text = spark.read.text(f"{path}/{_MANIFEST}/{version}.json", wholetext=True).first()[0]
+    return Manifest(version, **json.loads(text))
+
+
+def _switch(spark: SparkSession, path: str, old: Manifest | None, new: Manifest) -> None:
+    """Make ``new`` the newest version, in one rename; an error if another writer was first."""
+    fs, make = filesystem(spark, path)
+    version = (old.version if old else 0) + 1
+    draft, final = make(f"{path}/{_MANIFEST}/.{uuid.uuid4().hex}"), make(f"{path}/{_MANIFEST}/{version}.json")
+    out = fs.create(draft, False)
+    out.write(json.dumps({"schema": new.schema, "partitions": new.partitions}).encode())
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        raise RuntimeError(f"{path} has been changed by another writer")
+
+
+def _written(df: DataFrame, path: str, records: int = 0) -> tuple[str, list[str]]:
+    """Write rows with a column ``partition`` as a new gen; its name and the folders it has."""
+    gen = uuid.uuid4().hex
+    w = df.write.partitionBy("partition")
+    (w.option("maxRecordsPerFile", records) if records else w).parquet(f"{path}/gen={gen}")
+    fs, make = filesystem(df.sparkSession, path)
+    return gen, sorted(n for f in fs.listStatus(make(f"{path}/gen={gen}")) if (n := f.getPath().getName()).startswith("partition="))
+
+
 def write(df: DataFrame, path: str, scheme: str, *, time: str | None = None, lon: str | None = None, lat: str | None = None, records: int = 0, mode: str = "append", sort: bool = True) -> None:
-    """Write by layout, rows of a partition in z-order, files of at most ``records`` rows."""
+    """Write by layout, rows of a partition in z-order, files of at most ``records`` rows. mode:
+    append, or overwrite for a table of these rows only."""
+    spark, path = df.sparkSession, path.rstrip("/")
     out = df.withColumn("partition", F.replace(partition_value(scheme, time=time, lon=lon, lat=lat), F.lit("/"), F.lit("_")))
     if lon and lat and sort:
         # partitions in parallel by place too: a hot partition is cut by its z-order
         out = out.withColumn("__z", native.z2(lon, lat)).repartitionByRange("partition", "__z").sortWithinPartitions("partition", "__z").drop("__z")
-    w = out.write.mode(mode).partitionBy("partition")
-    (w.option("maxRecordsPerFile", records) if records else w).parquet(path)
+    old = manifest(spark, path)
+    gen, folders = _written(out, path, records)
+    partitions = {} if mode == "overwrite" or old is None else {k: list(v) for k, v in old.partitions.items()}
+    for f in folders:
+        partitions.setdefault(f, []).append(gen)
+    _switch(spark, path, old, Manifest(schema=out.schema.json(), partitions=partitions))
+
+
+def _folder_value(folder: str) -> str | None:
+    value = unquote(folder.partition("=")[2])
+    return None if value == "__HIVE_DEFAULT_PARTITION__" else value
+
+
+def _read(spark: SparkSession, path: str, at: Manifest, keep: Callable[[str | None], bool] | None = None) -> DataFrame:
+    folders = [f"{path}/gen={g}/{p}" for p, gens in at.partitions.items() if keep is None or keep(_folder_value(p)) for g in gens]
+    schema = T.StructType.fromJson(json.loads(at.schema))
+    if not folders:
+        return spark.createDataFrame([], schema)
+    fields = T.StructType([*schema, T.StructField("gen", T.StringType())])
+    return spark.read.schema(fields).option("basePath", path).parquet(*folders).select(*schema.names)
 
 
 def read(spark: SparkSession, path: str, *, days: tuple[datetime, datetime] | None = None, box: tuple[tuple, int] | None = None, partitions: list[str] | None = None) -> DataFrame:
-    """Read back; ``days`` (of a daily layout), ``box`` (bounds, bits; of a z2 layout) or a list
-    of partitions prune the directories."""
-    df = spark.read.option("recursiveFileLookup", "false").option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
-    p = F.col("partition").cast("string")
+    """Read back the newest version; ``days`` (of a daily layout), ``box`` (bounds, bits; of a z2 layout)
+    or a list of partitions prune the folders that are listed and read."""
+    path = path.rstrip("/")
+    at = manifest(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"no stored table at {path}")
+    tests: list[Callable[[str], bool]] = []
     if days:
-        df = df.where(p.between(*(d.strftime("%Y_%m_%d") for d in days)))
+        low, high = (d.strftime("%Y_%m_%d") for d in days)
+        tests.append(lambda v: low <= v <= high)
     if box:
-        cells = z2_cells(*box)
-        df = df.where(F.lpad(p, len(cells[0]), "0").isin(cells))
-    return df if partitions is None else df.where(p.isin(partitions))
+        cells = set(z2_cells(*box))
+        tests.append(cells.__contains__)
+    if partitions is not None:
+        tests.append(set(partitions).__contains__)
+    return _read(spark, path, at, (lambda v: v is not None and all(t(v) for t in tests)) if tests else None)
 
 
 def update(spark: SparkSession, path: str, changes: DataFrame, key: str, *, delete: bool = False) -> None:
-    """Replace (or delete) rows by key, rewriting only the partitions that hold them."""
-    old = read(spark, path)
-    touched = [r[0] for r in old.join(changes.select(key).distinct(), key, "left_semi").select("partition").distinct().collect()]
-    kept = old.where(F.col("partition").isin(touched)).join(changes.select(key), key, "left_anti")
-    new = kept if delete else kept.unionByName(changes.select(*[c for c in old.columns]), allowMissingColumns=True)
-    staging = f"{path.rstrip('/')}__update"
-    new.write.mode("overwrite").parquet(staging)
-    previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        spark.read.parquet(staging).write.mode("overwrite").partitionBy("partition").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
-
-
-def compact(spark: SparkSession, path: str, partition: str, files: int = 1) -> None:
-    """Merge a partition's small files."""
-    part = spark.read.parquet(f"{path}/partition={partition}")
-    staging = f"{path.rstrip('/')}__compact"
-    part.coalesce(files).write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).coalesce(files).write.mode("overwrite").parquet(f"{path}/partition={partition}")
+    """Replace or insert (or delete) rows by key. Changes have the table's columns, with ``partition``,
+    and a key once; of them only the key is needed to delete. Rewritten are the partitions that hold
+    a key and those that the changes go to; readers see the old version until all is written."""
+    path = path.rstrip("/")
+    old = manifest(spark, path)
+    rows = _read(spark, path, old)
+    keys = changes.select(key).distinct()
+    held = rows.join(keys, key, "left_semi").select("partition")
+    touched = {r[0] for r in (held if delete else held.unionByName(changes.select("partition"))).distinct().collect()}  # folders, few beside rows
+    inside = lambda v: v in touched
+    kept = _read(spark, path, old, inside).join(keys, key, "left_anti")
+    new = kept if delete else kept.unionByName(changes.select(*rows.columns))
+    gen, folders = _written(new, path)
+    partitions = {k: v for k, v in old.partitions.items() if not inside(_folder_value(k))} | {f: [gen] for f in folders}
+    _switch(spark, path, old, Manifest(schema=old.schema, partitions=partitions))
+
+
+def compact(spark: SparkSession, path: str, partition: str | None = None, *, files: int | None = None, file_bytes: int = 128 << 20) -> None:
+    """Merge the files of a partition, or of each, to ``files``, by default to about file_bytes each."""
+    path = path.rstrip("/")
+    old = manifest(spark, path)
+    fs, make = filesystem(spark, path)
+    partitions = dict(old.partitions)
+    for folder, gens in old.partitions.items():
+        if partition is not None and _folder_value(folder) != partition:
+            continue
+        size = sum(fs.getContentSummary(make(f"{path}/gen={g}/{folder}")).getLength() for g in gens)
+        n = files or max(1, -(-size // file_bytes))
+        rows = _read(spark, path, old, lambda v, of=_folder_value(folder): v == of)
+        gen, folders = _written(rows.coalesce(n), path)
+        partitions[folder] = [gen] if folders else []
+    _switch(spark, path, old, Manifest(schema=old.schema, partitions={k: v for k, v in partitions.items() if v}))
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete the files that the newest version doesn't have, once nobody reads an older one; how many folders went."""
+    path = path.rstrip("/")
+    at = manifest(spark, path)
+    fs, make = filesystem(spark, path)
+    live = {f"gen={g}/{p}" for p, gens in at.partitions.items() for g in gens}
+    gone = 0
+    for gen in (f.getPath().getName() for f in fs.listStatus(make(path))):
+        if not gen.startswith("gen="):
+            continue
+        inside = [f.getPath().getName() for f in fs.listStatus(make(f"{path}/{gen}"))]
+        dead = [p for p in inside if p.startswith("partition=") and f"{gen}/{p}" not in live]
+        gone += len(dead)
+        for p in [""] if len(dead) == sum(p.startswith("partition=") for p in inside) else dead:
+            fs.delete(make(f"{path}/{gen}/{p}".rstrip("/")), True)
+    return gone
 
 
 def metadata(spark: SparkSession, path: str, lon: str, lat: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +123,20 @@ def test_sampling_over_a_half_keeps_all(spark):
     assert tracks.every_nth(spark.range(0), 0.1, ["id"]).count() == 0
 
 
+def test_sampling_counts_over_many_partitions(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        df = spark.range(0, 100_000, 1, 9).withColumn("__p", F.lit(1)).withColumn("k", (F.col("id") * 7919) % 100_003)
+        got = tracks.every_nth(df, 0.1, ["k"])
+        assert got.columns == df.columns
+        assert sorted(r.k for r in got.collect()) == sorted((i * 7919) % 100_003 for i in range(100_000))[::10]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_converter_of_delimited_text(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_text('ID,Name,Age,LastSeen,Friends,Talents,Lon,Lat\n23623,Harry,20,2015-05-06,"Will, Mark, Suzan","patronus->10,expelliarmus->9",-100.2,23\n26236,Hermione,25,2015-06-07,"Edward, Bill","accio->10",40.2,-53.2\nbad,,x,,,,,\n')
@@ -181,6 +195,42 @@ def test_storage_round_trip(spark, tmp_path):
     assert storage.metadata(spark, d, "lon", "lat").where("n > 0").count() == 5
 
 
+def test_storage_changes_lose_no_rows(spark, tmp_path):
+    row = "id long, ts timestamp, v string"
+    day = lambda i, n, v="a": (i, datetime(2024, 1, n, 12), v)
+    p = str(tmp_path / "t")
+    storage.write(spark.createDataFrame([day(i, 1 + i % 3) for i in range(30)], row), p, "daily", time="ts")
+    changes = lambda *rows: spark.createDataFrame(list(rows), row).withColumn("partition", F.replace(storage.partition_value("daily", time="ts"), F.lit("/"), F.lit("_")))
+    state = lambda: {r.id: (r.ts.day, r.v) for r in storage.read(spark, p).collect()}
+    want = {i: (1 + i % 3, "a") for i in range(30)}
+    assert state() == want
+    storage.update(spark, p, changes(day(100, 2, "new")), "id")  # insert into a partition that is there
+    want[100] = (2, "new")
+    assert state() == want
+    storage.update(spark, p, changes(day(0, 3, "moved"), day(101, 9, "far")), "id")  # move, and a new partition
+    want |= {0: (3, "moved"), 101: (9, "far")}
+    assert state() == want
+    for _ in range(2):  # again is no change
+        storage.update(spark, p, changes(day(5, 3, "x")), "id")
+        want[5] = (3, "x")
+        assert state() == want
+    storage.update(spark, p, spark.createDataFrame([(i,) for i, v in want.items() if v[0] == 1], "id long"), "id", delete=True)  # a whole partition
+    want = {i: v for i, v in want.items() if v[0] != 1}
+    assert state() == want and "2024_01_01" not in {r.partition for r in storage.read(spark, p).collect()}
+    before = storage.read(spark, p)
+    storage.compact(spark, p, file_bytes=1 << 20)
+    assert state() == want and before.count() == len(want)  # a reader keeps its version
+    assert storage.vacuum(spark, p) > 0 and state() == want and storage.vacuum(spark, p) == 0
+    got = storage.read(spark, p, days=(datetime(2024, 1, 3), datetime(2024, 1, 9)))
+    assert all("2024_01_02" not in f for f in got.inputFiles()) and {r.id for r in got.collect()} == {i for i, v in want.items() if v[0] >= 3}
+    assert storage.read(spark, p, partitions=["none"]).count() == 0
+    storage.update(spark, p, spark.createDataFrame([(i,) for i in want], "id long"), "id", delete=True)
+    assert storage.read(spark, p).count() == 0 and storage.read(spark, p).columns == ["id", "ts", "v", "partition"]
+    assert dict(spark.sparkContext.getConf().getAll()).get("spark.sql.sources.partitionOverwriteMode") is None
+    with pytest.raises(FileNotFoundError):
+        storage.read(spark, str(tmp_path / "none"))
+
+
 def test_exports(spark):
     df = spark.createDataFrame([(1, "t", 10.0, 20.0, "2024-01-01 00:00:10")], "id long, track string, lon double, lat double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     rec = export.bin_records(df, "track", "lon", "lat", "ts", "id").first().record
