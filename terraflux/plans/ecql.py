@@ -9,9 +9,11 @@ the exact one.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions import native
 from ..functions.st import column_function
 from ..geom import model as G
+from ..geom.relate import tolerance
 from ..types import FID
 
 _TOKEN = re.compile(
@@ -358,12 +361,20 @@ class Parser:
         at = self.layout.points.get(name)
         if at:
             lon, lat = map(F.col, at)
-            inside = native.in_box(lon, lat, x0, y0, x1, y1)
+            # the world has one longitude for those beyond the antimeridian
+            shifts = [0.0, *([360.0] if x1 > 180 else []), *([-360.0] if x0 < -180 else [])]
+            any_of = lambda f: reduce(Column.__or__, map(f, shifts))
+            inside = any_of(lambda s: native.in_box(lon, lat, x0 - s, y0, x1 - s, y1))
             if rectangle and op == "INTERSECTS":
                 return inside
             if rectangle and op in ("WITHIN", "DISJOINT"):
-                return (lon > x0) & (lon < x1) & (lat > y0) & (lat < y1) if op == "WITHIN" else ~inside
-            exact = column_function(f"st_{op.lower()}")(column_function("st_makepoint")(lon, lat), F.lit(G.to_wkb(value)))
+                return any_of(lambda s: (lon > x0 - s) & (lon < x1 - s) & (lat > y0) & (lat < y1)) if op == "WITHIN" else ~inside
+            areas = [p.coords for p in value.parts() if p.kind == "Polygon" and p.coords]
+            if areas and len(areas) == len(value.parts()) and op in ("INTERSECTS", "WITHIN", "DISJOINT", "TOUCHES"):
+                found = [native.polygon_location(lon, lat, areas, tolerance(value), s) for s in shifts]
+                found = found[0] if len(found) == 1 else F.greatest(*found)
+                return ~(inside & (found >= 0)) if op == "DISJOINT" else inside & {"INTERSECTS": found >= 0, "WITHIN": found == 1, "TOUCHES": found == 0}[op]
+            exact = any_of(lambda s: column_function(f"st_{op.lower()}")(column_function("st_makepoint")(lon + s, lat), F.lit(G.to_wkb(value)))) if op != "DISJOINT" else ~any_of(lambda s: column_function("st_intersects")(column_function("st_makepoint")(lon + s, lat), F.lit(G.to_wkb(value))))
             return exact if op == "DISJOINT" else inside & exact
         exact = column_function(f"st_{op.lower()}")(F.col(name), F.lit(G.to_wkb(value)))
         bounds = self.layout.bounds.get(name)
@@ -389,7 +400,11 @@ class Parser:
             lon, lat = map(F.col, at)
             x, y = value.coords[:2]
             high = metres / native.EARTH_RADIUS * 180 / 3.141592653589793 * 1.000001
-            near = (lat >= y - high) & (lat <= y + high) & (native.distance_sphere(lon, lat, x, y) <= metres)
+            near = (lat >= y - high) & (lat <= y + high)
+            if abs(y) + high < 90:  # no pole is within reach, so longitudes have bounds
+                wide = math.degrees(math.asin(min(1.0, math.sin(math.radians(high)) / math.cos(math.radians(y))))) * 1.000001
+                near = near & reduce(Column.__or__, [(lon >= x - wide + s) & (lon <= x + wide + s) for s in (0.0, *([-360.0] if x + wide > 180 else []), *([360.0] if x - wide < -180 else []))])
+            near = near & (native.distance_sphere(lon, lat, x, y) <= metres)
         else:
             g = column_function("st_makepoint")(*map(F.col, at)) if at else F.col(name)
             nearest = column_function("st_closestpoint")

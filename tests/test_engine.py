@@ -264,3 +264,68 @@ def test_convex_hull_by_key(spark):
     df = spark.createDataFrame([(1, float(x), float(y)) for x in range(5) for y in range(5)] + [(2, 0.0, 0.0)], "k long, x double, y double").withColumn("g", st.st_makepoint("x", "y"))
     got = {r.k: r.w for r in st.convex_hull(df, "g", "k").select("k", st.st_astext("convexHull").alias("w")).collect()}
     assert got == {1: "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", 2: "POINT (0 0)"}
+
+
+def test_points_in_polygons_natively(spark):
+    import random
+
+    from terraflux.functions import native
+    from terraflux.geom import relate as R
+    from terraflux.geom.model import from_wkt, point
+
+    rnd = random.Random(4)
+    pts = [(rnd.randint(-40, 40) / 4, rnd.randint(-40, 40) / 4) for _ in range(300)] + [(None, 1.0)]
+    shapes = [
+        "POLYGON ((-8 -8, 8 -8, 8 8, -8 8, -8 -8), (-4 -4, 4 -4, 4 4, -4 4, -4 -4))", "POLYGON ((0 0, 9 1, 3 9, -5 4, -2 -7, 0 0))",
+        "MULTIPOLYGON (((0 0, 5 0, 5 5, 0 5, 0 0)), ((5 5, 9 5, 9 9, 5 5)))", "POLYGON ((0 0, 0 4, 4 4, 4 2, 2 2, 2 0, 0 0))",
+    ]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "i int, x double, y double")
+    for wkt in shapes:
+        g = from_wkt(wkt)
+        at = R.Locator(g, R.tolerance(g))
+        want = {i: {0: 1, 1: 0, 2: -1}[at(p)] if p[0] is not None else None for i, p in enumerate(pts)}
+        got = {r.i: r.v for r in df.select("i", native.polygon_location("x", "y", [p.coords for p in g.parts()], R.tolerance(g)).alias("v")).collect()}
+        assert got == want, wkt
+        lay = Layout(df.schema, points={"geom": ("x", "y")})
+        for op, f in (("INTERSECTS", R.intersects), ("WITHIN", R.within), ("TOUCHES", R.touches), ("DISJOINT", R.disjoint)):
+            found = df.where(ecql(f"{op}(geom, {wkt})", lay))
+            assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+            assert {r.i for r in found.collect()} == {i for i, p in enumerate(pts) if p[0] is not None and f(point(*p), g)}, (op, wkt)
+
+
+def test_filters_beyond_the_antimeridian(spark):
+    df = spark.createDataFrame([(1, 175.0, 0.0), (2, -175.0, 0.0), (3, 165.0, 0.0), (4, -165.0, 0.0), (5, 180.0, 5.0)], "i int, x double, y double")
+    lay = Layout(df.schema, points={"geom": ("x", "y")})
+    ids = lambda text: {r.i for r in df.where(ecql(text, lay)).collect()}
+    wide, slanted = "POLYGON ((170 -10, 190 -10, 190 10, 170 10, 170 -10))", "POLYGON ((170 -10, 192 -10, 190 10, 170 10, 170 -10))"
+    for shape in (wide, slanted):
+        assert ids(f"INTERSECTS(geom, {shape})") == ids(f"WITHIN(geom, {shape})") == {1, 2, 5}
+        assert ids(f"DISJOINT(geom, {shape})") == {3, 4}
+    assert ids("DWITHIN(geom, POINT (179 0), 700, kilometers)") == {1, 2, 5}
+    assert ids("DWITHIN(geom, POINT (0 89), 20000, kilometers)") == {1, 2, 3, 4, 5}
+
+
+def test_curve_ranges_and_cells(spark):
+    import random
+
+    from terraflux.functions import native
+
+    rnd = random.Random(6)
+    pts = [(rnd.uniform(-180, 180), rnd.uniform(-90, 90), rnd.uniform(0, 604800)) for _ in range(2000)]
+    df = spark.createDataFrame(pts, "x double, y double, t double").withColumns({"z": native.z2("x", "y", 12), "w": native.z3("x", "y", F.col("t"), 604800.0, 10)})
+    cx, cy = native.z2_cell("z", 12)
+    dx, dy, dt = native.z3_cell("w", 604800.0, 10)
+    for r in df.select("x", "y", "t", cx.alias("cx"), cy.alias("cy"), dx.alias("dx"), dy.alias("dy"), dt.alias("dt")).collect():
+        assert abs(r.x - r.cx) <= 180 / 4096 and abs(r.y - r.cy) <= 90 / 4096
+        assert abs(r.x - r.dx) <= 180 / 1024 and abs(r.y - r.dy) <= 90 / 1024 and abs(r.t - r.dt) <= 302400 / 1024
+    box = (-20.0, 10.0, 35.0, 50.0)
+    rows = df.collect()
+    stored = spark.createDataFrame(rows, df.schema)  # z as a column of a table
+    inside = [r for r in rows if box[0] <= r.x <= box[2] and box[1] <= r.y <= box[3]]
+    for most in (4, 50, 200):
+        ranges = native.z2_ranges(box, 12, most)
+        assert len(ranges) <= most + 4 and all(any(a <= r.z <= b for a, b in ranges) for r in inside)
+        assert len(inside) <= stored.where(native.in_ranges("z", ranges)).count() < 2000
+    ranges = native.z3_ranges(box, (1e5, 2e5), 604800.0, 10)
+    assert all(any(a <= r.w <= b for a, b in ranges) for r in inside if 1e5 <= r.t <= 2e5)
+    assert native.z2_ranges((-180, -90, 180, 90), 12) == [(0, 4**12 - 1)]

@@ -112,3 +112,16 @@ def test_accessors():
     assert f("st_exteriorring", line) is None and f("st_interiorringn", BOX, 1) is None
     with pytest.raises(ValueError):
         f("st_casttopoint", line)
+
+
+def test_points_in_the_middle_of_edges():
+    from terraflux.geom import relate as R
+    from terraflux.geom.model import from_wkt
+
+    box = from_wkt("POLYGON ((0 0, 8 0, 8 6, 0 6, 0 0))")
+    for x, y in ((4, 0), (8, 3), (2, 6), (0, 1.5), (4, 6)):
+        p = from_wkt(f"POINT ({x} {y})")
+        assert R.relate(box, p) == "FF20F1FF2" and R.relate(p, box) == "F0FFFF212"
+    line = from_wkt("LINESTRING (0 0, 4 0)")
+    assert R.relate(line, from_wkt("POINT (2 0)")) == "0F1FF0FF2"
+    assert R.relate(line, from_wkt("MULTIPOINT ((2 0), (1 0), (9 9))")) == "0F1FF00F2"
