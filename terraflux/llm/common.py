@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialise
+
+__all__ = ["discard", "materialise"]
+
 #: A word is a run of characters other than space and U+0009..U+000D; bytes.split()
 #: breaks at exactly these, and bytes.lower() folds exactly A-Z.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -30,30 +32,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Let Arrow batches hold few rows, since one text may have a megabyte."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = jsc.getCheckpointDir()
-        where = found.get() if found.isDefined() else None
-    if not where:
-        where = tempfile.mkdtemp(prefix="terraflux-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later passes neither
-    recompute it nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Let Arrow batches hold few rows and few bytes, since one text may have megabytes; a session
+    that allows less keeps its setting."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def free_name(columns: list[str], name: str) -> str:
@@ -111,7 +96,8 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         small = large.join(small_low, F.col("a") == F.col("n")).select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
         )
-        cur = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        before, cur = cur, materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        discard(before)
         state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, free_name, materialise, table
+from .common import SPACE_CLASS, SPACES, discard, free_name, materialise, table
 
 SYMBOLS = "#*$%&|<>"
 #: Least standard deviation of each statistic.
@@ -193,13 +193,15 @@ def least_determinant(rows: DataFrame, few: bool = True, *, share: float = SHARE
     when no group's log determinant falls by more than least_fall, or after most_steps."""
     models = materialise(starts(rows, few), "model")
     for _ in range(2):
-        models = materialise(step(rows, models, few, share), "model")
+        old, models = models, materialise(step(rows, models, few, share), "model")
+        discard(old)
     columns = [c for c in models.columns if c not in ("group", "start")]
     best = materialise(models.groupBy("group").agg(F.min_by(F.struct("start", *columns), F.struct("log_det", "start")).alias("b")).select("group", "b.*"), "model")
     for _ in range(most_steps - 2):
         new = materialise(step(rows, best, few, share), "model")
         old = best.select(F.col("group").alias("__group"), F.col("log_det").alias("__log_det"))
         fall = new.join(old, F.col("group") == F.col("__group")).agg(F.max(F.col("__log_det") - F.col("log_det"))).first()[0]
+        discard(best)
         best = new
         if fall is None or fall <= least_fall:
             break
