@@ -30,13 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bucket_of, map_rows, materialise, shuffle_partitions, table, texts, words_of
+from .common import SPACES, bounded_batches, bucket_of, map_rows, materialise, shuffle_partitions, table, texts, words_of
 
 #: The end token; a word cannot be white space.
 END = b"\n"
@@ -51,25 +50,69 @@ SEGMENT_TOKENS = 4_000_000
 MARK = b"terraflux-filter"
 
 
-class Hashes(dict):
-    """word -> 64-bit hash; emptied when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
 
 
+#: A random number for each byte, 0 for white space, and the multiplier of a byte's place in its word.
+_BYTES = np.random.default_rng(SEED).integers(1, 1 << 63, 256, U) * U(2) + U(1)
+_BYTES[list(SPACES.encode())] = 0
+_PLACE = U(0x9FB21C651E98DF25)
+END_HASH = U(0x2545F4914F6CDD1D)
+#: Bytes that are hashed at a time.
+HASHED_BYTES = 1 << 20
+
+
+class Words:
+    """The words of lower-cased texts in one buffer, by start and end, and the number of each text's.
+    No word is an object of its own."""
+
+    def __init__(self, texts: list[bytes]):
+        self.buffer = b" ".join(texts).lower() + b" "
+        self.data = np.frombuffer(self.buffer, np.uint8)
+        inside = np.empty(len(self.data) + 1, bool)
+        inside[0] = False
+        np.not_equal(_BYTES[self.data], 0, out=inside[1:])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        cut = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
+        self.counts = np.diff(np.searchsorted(self.starts, cut), prepend=0)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word: the sum of its bytes' numbers, each times a power by its place."""
+        out = np.zeros(len(self.starts), U)
+        powers = np.cumprod(np.full(int((self.ends - self.starts).max(initial=0)), _PLACE, U))
+        a = 0
+        while a < len(out):
+            begin = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.starts, begin + HASHED_BYTES)))
+            part = self.starts[a:b] - begin
+            end = int(self.ends[b - 1] - begin)
+            place = np.arange(end) - np.repeat(part, np.diff(part, append=end))
+            np.minimum(place, len(powers) - 1, out=place)  # white space after a word counts 0 anyway
+            out[a:b] = np.add.reduceat(_BYTES[self.data[begin : begin + end]] * powers[place], part)
+            a = b
+        return mix(out + (self.ends - self.starts).astype(U))
+
+    def with_ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes with END_HASH after each text's, and the index of each text's first token."""
+        first = np.append(0, np.cumsum(self.counts + 1)[:-1])
+        h = np.empty(len(self.starts) + len(self.counts), U)
+        last = first + self.counts
+        h[last] = END_HASH
+        h[np.delete(np.arange(len(h)), last)] = self.hashes()
+        return h, first
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """Hashes of single words, END among them."""
+    h, _ = Words([b"" if w == END else w for w in words]).with_ends()
+    counts = np.array([w != END for w in words], np.int64)
+    return h[np.cumsum(counts + 1) - counts - 1] if len(words) else np.zeros(0, U)
+
+
 def pair_hashes(h: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(before * U(0x9E3779B97F4A7C15) + h + U(1))
 
@@ -83,8 +126,9 @@ def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
 
 
 def bit_key(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    key = mix(h + U(level * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
-    return key & U(0xFFFFFFFF), (key >> U(32)) | U(1)
+    """First place and distance of an event's bits, from the n-gram's mixed hash and a factor of the level."""
+    key = (h ^ (h >> U(31))) * U((level * 0xD1342543DE82EF95 | 1) & 0xFFFFFFFFFFFFFFFF)
+    return key >> U(32), (key * U(0x94D049BB133111EB) >> U(32)) | U(1)
 
 
 def bit_position(a: np.ndarray, b: np.ndarray, i: int, bits: int) -> np.ndarray:
@@ -205,8 +249,8 @@ def pair_blocks(docs: DataFrame, segments: int) -> DataFrame:
     """Counts of adjacent word pairs of the training documents, as blocks by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
-        end = U(xxhash.xxh64_intdigest(END, SEED))
+        held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -214,13 +258,14 @@ def pair_blocks(docs: DataFrame, segments: int) -> DataFrame:
             return _batch(_blocks(h, c, 2, segments), _BLOCK)
 
         for b in batches:
-            for text in b.column("text").cast(pa.binary()).to_pylist():
-                h = np.append(hashes.of(words_of(text)), end)
-                held.append(pair_hashes(h, np.append(end, h[:-1])))
-                size += len(h)
-                if size > 3_000_000:
-                    yield flush()
-                    size = 0
+            h, first = Words(b.column("text").cast(pa.binary()).to_pylist()).with_ends()
+            before = np.append(END_HASH, h[:-1])
+            before[first] = END_HASH
+            held.append(pair_hashes(h, before))
+            size += len(h)
+            if size > 3_000_000:
+                yield flush()
+                size = 0
         if held:
             yield flush()
 
@@ -241,7 +286,7 @@ def word_blocks(counts: DataFrame, segments: int) -> DataFrame:
 
         for b in batches:
             w = b.column("word").to_pylist()
-            held.append((np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in w), U, len(w)), b.column("n_train").to_numpy()))
+            held.append((hashes_of(w), b.column("n_train").to_numpy()))
             if sum(len(x[0]) for x in held) > 1_000_000:
                 yield flush()
         if held:
@@ -336,7 +381,7 @@ def score(docs: DataFrame, *, filter_bits: int = 1 << 28, hashes: int = 4, base:
     counts = materialise(frequent_words(materialise(word_counts(docs), "words"), frequent), "counts")
     n_all, n_distinct = counts.where("n_train > 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where("frequent").select("word", "n_train").toArrow()
-    top_h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in top.column("word").to_pylist()), U, len(top))
+    top_h = hashes_of(top.column("word").to_pylist())
     order = np.argsort(top_h)
 
     segments = max(shuffle_partitions(spark), -(-n_all // SEGMENT_TOKENS))
@@ -366,20 +411,13 @@ def score(docs: DataFrame, *, filter_bits: int = 1 << 28, hashes: int = 4, base:
 
     def make():
         known_h, known_n = sent.value
-        model, cache = BlockFilter([_mapped(x) for x in blocks], block_of, sizes, starts, hashes), Hashes()
-        end = U(xxhash.xxh64_intdigest(END, SEED))
+        model = BlockFilter([_mapped(x) for x in blocks], block_of, sizes, starts, hashes)
         task, serial = TaskContext.get().partitionId() << 36, [0]
 
         def step(cols: dict[str, list]) -> dict[str, list]:
-            flat: list[bytes] = []
-            lens = []
-            for t in cols["text"]:
-                w = words_of(t.encode("utf-8", "surrogatepass"))
-                lens.append(len(w) + 1)
-                flat += w
-                flat.append(END)
-            h = cache.of(flat)
-            first = np.append(0, np.cumsum(lens)[:-1])
+            words = Words([t.encode("utf-8", "surrogatepass") for t in cols["text"]])
+            h, first = words.with_ends()
+            lens = (words.counts + 1).tolist()
             uniq, inv = np.unique(h, return_inverse=True)
             # exact counts of frequent words
             at = np.minimum(np.searchsorted(known_h, uniq), max(0, len(known_h) - 1))
@@ -390,20 +428,24 @@ def score(docs: DataFrame, *, filter_bits: int = 1 << 28, hashes: int = 4, base:
             # the model
             c1_uniq = mean["word"][model.levels(uniq)]
             c1 = c1_uniq[inv]
-            before = np.append(end, h[:-1])
-            before[first] = end
+            before = np.append(END_HASH, h[:-1])
+            before[first] = END_HASH
             c_before = np.append(0.0, c1[:-1])
-            c_before[first] = c1_uniq[np.searchsorted(uniq, end)]
+            c_before[first] = c1_uniq[np.searchsorted(uniq, END_HASH)]
             seen = np.flatnonzero((c_before > 0) & (c1 > 0))  # a pair of the corpus has two of its words
             c2 = np.zeros(len(h))
-            c2[seen] = mean["pair"][model.levels(pair_hashes(h[seen], before[seen]))]
+            pairs, at_pair = np.unique(pair_hashes(h[seen], before[seen]), return_inverse=True)
+            c2[seen] = mean["pair"][model.levels(pairs)][at_pair]
             p = (c1 + 1) / denominator
             p = np.where(c_before > 0, pair_weight * np.minimum(1, c2 / np.maximum(c_before, 1)) + (1 - pair_weight) * p, p)
             total = np.add.reduceat(np.log10(p), first).tolist()
             # the rest of the words go to the join, once for each document
             rare = np.flatnonzero(~exact[inv])
             cut = np.searchsorted(rare, np.append(first, len(h))).tolist()
-            rare_words = [flat[i] for i in rare.tolist()]
+            doc = np.repeat(np.arange(len(lens)), np.diff(cut))
+            at = np.minimum(rare - doc, max(0, len(words.starts) - 1))  # among words; END is one too where even it is rare
+            is_end = h[rare] == END_HASH
+            rare_words = [END if e else words.buffer[a:b] for e, a, b in zip(is_end.tolist(), words.starts[at].tolist(), words.ends[at].tolist())] if len(words.starts) else [END] * len(rare)
             out: dict[str, list] = {k: [] for k in ("row", "doc_id", "train", "word", "tf", "n_tokens", "n_known", "base", "score")}
             for i, size in enumerate(lens):
                 serial[0] += 1
