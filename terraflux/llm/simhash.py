@@ -32,6 +32,8 @@ from .common import bounded_batches, connected_components, map_rows, materialise
 U = np.uint64
 SEED = 42
 RADIUS = 3
+#: Variants that meet in one bucket, on average at most, and of one fingerprint.
+BUCKET_VARIANTS, MEAN_VARIANTS = 4_000_000, 561
 
 
 def fingerprint(text: str | bytes, shingle: int = 3) -> int:
@@ -83,10 +85,12 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (fp) within the radius: each link
-    joins two at distance 1 to 3, and any two at such a distance are joined by some path of links."""
+    joins two at distance 1 to 3, and any two at such a distance are joined by some path of links.
+    prints is read twice: its count says how many buckets there must be for one to stay small."""
     spark = prints.sparkSession
     parts = shuffle_partitions(spark)
-    buckets = min(4096, 8 * parts) if parts <= 4096 else min(65536, parts)
+    buckets = max(8 * parts, -(-prints.count() * MEAN_VARIANTS // BUCKET_VARIANTS))
+    together = 4096 if buckets <= 1 << 16 else 16384  # fingerprints whose variants are dealt at a time
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, code = _masks()
@@ -95,20 +99,21 @@ def links(prints: DataFrame) -> DataFrame:
             odd = _popcount(fp) % 2 == 1
             keys = np.concatenate([(fp[:, None] ^ mask[None, :65]).ravel(), (fp[odd, None] ^ mask[None, 65:]).ravel()])
             codes = np.concatenate([np.tile(code[:65], len(fp)), np.tile(code[65:], int(odd.sum()))])
-            at = ((_mixed(keys) >> U(40)) % U(buckets)).astype(np.uint16)
+            at = ((_mixed(keys) >> U(24)) % U(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
-            keys, codes = keys[order], codes[order]
-            cut = np.append(0, np.cumsum(np.bincount(at, minlength=buckets)))
-            some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            keys, codes, at = keys[order], codes[order], at[order]
+            some, cut = np.unique(at, return_index=True)
+            ends = np.append(cut[1:], len(at))
+            pairs = list(zip(cut.tolist(), ends.tolist()))
             return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()), pa.array([codes[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())],
+                [pa.array(some, pa.int64()), pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([codes[a:b].tobytes() for a, b in pairs], pa.binary())],
                 ["bucket", "keys", "codes"],
             )
 
         held: list[np.ndarray] = []
         for b in batches:
             held.append(b.column("fp").to_numpy().view(U))
-            if sum(map(len, held)) >= 4096:
+            if sum(map(len, held)) >= together:
                 yield blocks(np.concatenate(held))
                 held = []
         if held:
@@ -146,7 +151,7 @@ def links(prints: DataFrame) -> DataFrame:
         if now is not None:
             yield found()
 
-    variants = prints.select("fp").mapInArrow(emit, "bucket int, keys binary, codes binary")
+    variants = prints.select("fp").mapInArrow(emit, "bucket long, keys binary, codes binary")
     return variants.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -176,15 +181,18 @@ def _classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
 def first_of_each_class(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     """One row of each class of near-duplicates, with all its columns: that of the smallest
     doc_id (a null one only where the class has no other), of its rows the one whose text's
-    hash is the least. Nulls, empty texts and tables as in near_duplicates."""
+    hash is the least. Nulls, empty texts and tables as in near_duplicates; columns of any
+    name pass through."""
     fp, named = _classes(docs, shingle)
     rooted = fp.join(named.select(F.col("fp").alias("class_fp"), "root"), fp.fp == F.col("class_fp"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     first = rooted.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.id").alias("__first_id"), F.col("r.hash").alias("__first_hash"))
-    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("__first_id")) & (F.col("__hash") == F.col("__first_hash")), "left_semi")
-    same = Window.partitionBy("doc_id", "__hash").orderBy("doc_id", "__hash")
-    return left.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    hashed = docs.toDF(*names).withColumn("hash", F.xxhash64(F.coalesce(own_text, F.lit(""))))
+    left = hashed.join(first, own_id.eqNullSafe(F.col("__first_id")) & (F.col("hash") == F.col("__first_hash")), "left_semi")
+    same = Window.partitionBy(own_id, "hash").orderBy(own_id)
+    return left.withColumn("n", F.row_number().over(same)).where("n = 1").select(*names).toDF(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,15 +176,21 @@ def fit(rows: list[tuple[str, int]], *, buckets: int = 1 << 16, dim: int = 4, wi
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, longest: int = 20_000) -> list[tuple[str, int]]:
-    """Texts and labels to train on: of each class at most ``per_class`` documents of at most
-    ``longest`` characters, those first by a hash of the id. Only these few come to the driver."""
+    """Texts and labels to train on: of each class at most ``per_class`` of the documents with at
+    most ``longest`` characters, those first by a hash of the id. Only these few come to the driver.
+
+    A label or id that is null counts as none; of several labels of an id the highest counts, of
+    several texts the one whose hash is the least. Without labelled documents it is empty."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # numbers only: texts are read again for the few that are picked
+    sizes = docs.select("doc_id", F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("n")).alias("t")).groupBy("doc_id").agg(F.min("t").alias("t"))
+    fit = known.join(sizes.where(F.col("t.n") <= longest), "doc_id").select(F.col("doc_id").alias("p_id"), "toxic", F.col("t.hash").alias("p_hash"))
     picked = None
     for k in (0, 1):
-        some = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        some = fit.where(F.col("toxic") == k).orderBy(F.xxhash64("p_id"), "p_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    # at most 2 * per_class rows of two numbers
-    joined = docs.join(F.broadcast(picked), "doc_id").where(F.length("text") <= longest)
+    # at most 2 * per_class rows of three numbers
+    joined = docs.join(F.broadcast(picked), (F.col("doc_id") == F.col("p_id")) & (F.xxhash64("text") == F.col("p_hash")))
     return [(r.text, int(r.toxic)) for r in joined.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()]
 
 

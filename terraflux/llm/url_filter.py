@@ -3,8 +3,8 @@
 The regression works on hashed character n-grams of host and path. Features are
 made by the same SQL expressions for training and for scoring; scoring is an
 expression over the url alone, with the weights as one array literal of fixed
-size. The model learns from a small labelled URL table: by default the urls that
-a rule decides, reduced to at most ``max_labelled`` distinct ones.
+size. The model learns from a small labelled URL table: a given one, or the urls that
+a rule decides, of which at most ``max_labelled`` distinct ones by hash.
 """
 
 from __future__ import annotations
@@ -95,11 +95,12 @@ def fit(labelled: DataFrame, *, max_labelled: int = 3000, buckets: int = 4096, r
     return UrlModel(tuple(map(float, w)), float(b))
 
 
-def judge(pages: DataFrame, model: UrlModel | None = None, *, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, model: UrlModel | None = None, *, labelled: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for each row of pages (page_id, url).
 
     verdict is the longest fitting rule's, else "block" where the model's probability
-    reaches the threshold, else "allow". A null url, or one without "://", has an empty
+    reaches the threshold, else "allow". The model is the given one, else it is trained from
+    ``labelled`` (url, block boolean), else from the urls of pages that a rule decides. A null url, or one without "://", has an empty
     host and path, fits no rule, and is judged by the model. Repeated rows are each
     returned, an empty table gives no rows, and other columns play no part.
     """
@@ -107,6 +108,8 @@ def judge(pages: DataFrame, model: UrlModel | None = None, *, rules: tuple[tuple
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, says = rule_of(host, path, rules)
     ruled = split.withColumns({"rule": rule, "says": says})
+    if model is None and labelled is not None:
+        model = fit(labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "block"))
     if model is None:
         model = fit(ruled.where("says is not null").select("host", "path", (F.col("says") == "block").alias("block")))
     scored = ruled.withColumn("__f", features(host, path, buckets=len(model.weights)))

@@ -71,6 +71,21 @@ def test_lm_scoring_base_is_exact(spark, docs):
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_lm_words_and_hashes(monkeypatch):
+    rnd, known = random.Random(1), {}
+    for k in range(300):
+        monkeypatch.setattr(lm_scoring, "HASHED_BYTES", (1, 7, 1 << 20)[k % 3])
+        some = ["".join(rnd.choice("aB cé\n\t\x0b\x85\x1c d") for _ in range(rnd.randint(0, 40))).encode() for _ in range(rnd.randint(1, 6))]
+        w = lm_scoring.Words(some)
+        assert [w.buffer[a:b] for a, b in zip(w.starts, w.ends)] == [x for t in some for x in t.lower().split()]
+        flat = [x for t in some for x in [*t.lower().split(), b"\n"]]
+        h, first = w.with_ends()
+        assert h.tolist() == lm_scoring.hashes_of(flat).tolist() and all(known.setdefault(x, y) == y for x, y in zip(flat, h.tolist()))
+        assert [flat[i - 1] for i in first[1:].tolist()] == [b"\n"] * (len(some) - 1)
+    words = [f"{a}{b}{i}".encode() for a in "abcdefgh" for b in "xyzä" for i in range(3000)]
+    assert len(set(lm_scoring.hashes_of(words).tolist()) | set(known.values())) == len(set(words) | set(known))
+
+
 def test_lm_filter_levels(spark):
     h = lm_scoring.mix(np.arange(5000, dtype=np.uint64))
     c = np.arange(1, 5001)
@@ -233,6 +248,24 @@ def test_pii_repeats_in_other_forms():
     assert len(pii.consistent_spans(x, pii.pattern_spans(x))) >= 1
 
 
+def test_pii_message_passing_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    p = pii.Potentials(rounds=200)
+    for edges in ([(0, 1), (1, 2), (1, 3)], [(0, 1), (1, 2), (2, 3), (3, 0)]):  # a tree, where it is exact, and a loop
+        unary, weight = rng.normal(0, 1, (4, 3)), rng.uniform(0.1, 1.0, len(edges))
+        exact = np.zeros((4, 3))
+        for labels in itertools.product(range(3), repeat=4):
+            mass = np.exp(sum(unary[i, x] for i, x in enumerate(labels)) + sum(w for (a, b), w in zip(edges, weight) if labels[a] == labels[b]))
+            for i, x in enumerate(labels):
+                exact[i, x] += mass
+        exact /= exact.sum(1, keepdims=True)
+        got = np.exp(pii.message_passing(unary, np.array(edges), weight, p))
+        got /= got.sum(1, keepdims=True)
+        assert np.abs(got - exact).max() < (1e-6 if len(edges) == 3 else 0.05)
+
+
 def test_pii_rows(spark, docs, none, rows):
     got = pii.personal_data(docs)
     assert got.count() == len(rows) and pii.personal_data(none).count() == 0
@@ -271,9 +304,47 @@ def test_toxicity_sample_is_bounded_and_repeatable(spark):
     assert len(a) == 40 and a == toxicity.labelled_sample(d.repartition(7), y.repartition(5), per_class=20)
 
 
+def test_toxicity_sample_is_refilled_and_definite(spark):
+    d = spark.createDataFrame([(i, ("long " * 9000 if i % 3 else "short ") + str(i)) for i in range(90)] + [(0, "other"), (0, "other")], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int")
+    a = toxicity.labelled_sample(d, y, per_class=12)
+    assert len(a) == 24 and all(len(t) < 20_000 for t, _ in a)  # long texts leave no gap
+    assert {t for t, _ in toxicity.labelled_sample(d, y) if t in ("other", "short 0")} == {t for t, _ in toxicity.labelled_sample(d.repartition(5), y) if t in ("other", "short 0")}
+    assert toxicity.labelled_sample(d.limit(0), y) == []
+
+
+def test_toxicity_odd_rows(spark, docs, none, rows):
+    model = toxicity.fit([("vileword " + prose(random.Random(i), 9), 1) if i % 2 else (prose(random.Random(i), 9), 0) for i in range(40)])
+    got = toxicity.score(docs, model)
+    assert got.count() == len(rows) and all(0 <= r.score <= 1 for r in got.collect()) and toxicity.score(none, model).count() == 0
+
+
 # 5
 
 
+def test_url_host_path_and_rule_in_sql(spark):
+    import duckdb
+
+    data = "/root/testdata/sf0.01"
+    got = {(r.page_id, r.host, r.path, r.rule) for r in url_filter.judge(spark.read.parquet(f"{data}/pages.parquet")).collect()}
+    fits = lambda host, path: f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+    sql = f"""
+      WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM '{data}/pages.parquet'),
+      s AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM u),
+      p AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM s)
+      SELECT page_id, host, path, CASE WHEN {fits('example.net', '/en/')} THEN 'example.net/en/' WHEN {fits('example.com', '/de/')} THEN 'example.com/de/' WHEN {fits('org', '/fr/')} THEN 'org/fr/' WHEN {fits('net', '/')} THEN 'net/' END FROM p"""
+    assert got == set(duckdb.sql(sql).fetchall())
+
+
+def test_url_labelled_table_decides_other_hosts(spark):
+    rnd = random.Random(5)
+    url = lambda bad: f"http://{rnd.choice(['casino', 'slots', 'betting'] if bad else ['library', 'museum', 'school'])}{rnd.randint(1, 999)}.{rnd.choice(['info', 'biz'])}/{'win' if bad else 'read'}/{rnd.randint(1, 99)}"
+    labelled = spark.createDataFrame([(url(k % 2), bool(k % 2)) for k in range(120)], "url string, block boolean")
+    pages = [(k, url(k % 2)) for k in range(200)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), labelled=labelled).collect()}
+    assert all(r.rule is None for r in got.values()) and sum((got[k].verdict == "block") == bool(k % 2) for k, _ in pages) >= 195
+
+
 def test_url_rules_and_verdicts(spark):
     urls = ["https://a.example.net/en/1", "http://example.net/de/1", "https://NET/x", "https://net", "https://m.example.com/de/2?x=/en/", "http://q.org/fr/", "http://borg/fr/", "no scheme", None, "", "x://example.org/fr", "https://fakenet/a", "a://b://c/d#e"]
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string")).collect()}
@@ -596,6 +667,15 @@ def test_simhash_links_are_complete(spark):
     assert len(set(zip(ours, want))) == len(set(ours)) == len(set(want))
 
 
+def test_simhash_many_buckets_and_other_columns(spark, docs, monkeypatch):
+    want = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    monkeypatch.setattr(simhash, "BUCKET_VARIANTS", 1)  # so over 65536 / 561 fingerprints' buckets
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want
+    d = docs.withColumn("n", F.lit(3)).withColumn("hash", F.lit("x")).withColumn("__n", F.lit(9)).withColumn("a.b", F.lit(1))
+    got = simhash.first_of_each_class(d).collect()
+    assert len(got) == simhash.first_of_each_class(docs).count() and all((r.n, r.hash, r["__n"], r["__hash"], r["a.b"]) == (3, "x", 9, "clash", 1) for r in got)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
