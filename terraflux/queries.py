@@ -583,4 +583,4 @@ _relational(
     lambda s, d: read(s, d, "orders").select("o_orderkey", F.row_number().over(_w()).alias("rn"), F.rank().over(_w()).alias("rk"), F.ntile(3).over(_w()).alias("nt"), F.lag("o_orderkey").over(_w()).alias("before"), F.first("o_orderkey").over(_w()).alias("first"), F.round(F.sum("o_totalprice").over(_w().rowsBetween(-1, 0)), 2).alias("moving")),
 )
 
-from . import function_queries  # noqa: E402, F401  registers its queries here
+from . import function_queries, source_queries  # noqa: E402, F401  register their queries here

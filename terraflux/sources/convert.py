@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import native
@@ -167,11 +167,28 @@ def register_function(name: str, f: Callable[..., Column]) -> None:
     FUNCTIONS[name.lower()] = f
 
 
+#: The name under which text files give the number of a row's line, for lineNo().
+LINE = "\x00line"
+
+
+def _numbered(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows of spark.read.text with their line's number in the file, from 1: places within a
+    block of a file, and the sizes of the blocks before it."""
+    block = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    placed = lines.select("*", *block, F.monotonically_increasing_id().alias("__id"))
+    blocks = placed.groupBy("__file", "__block").agg(F.min("__id").alias("__low"), F.count(F.lit(1)).alias("__n"))  # a row for each block
+    before = F.sum("__n").over(Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select(F.col("__file").alias("__of"), F.col("__block").alias("__at"), "__low", F.coalesce(before, F.lit(0)).alias("__before"))
+    joined = placed.join(starts, (F.col("__file") == F.col("__of")) & (F.col("__block") == F.col("__at")))
+    return joined, F.col("__id") - F.col("__low") + F.col("__before") + 1
+
+
 class Expression:
     """Compiles one expression. columns: by position from 0, names: fields so far."""
 
     def __init__(self, text: str, columns: list[Column], names: dict[str, Column], caches: dict[str, tuple[str, dict]] | None = None):
         self.text, self.columns, self.names, self.caches, self.i = text, columns, names, caches or {}, 0
+        self.special = {"line": names[LINE]} if LINE in names else {}
         self.toks: list[tuple[str, str]] = []
         at = 0
         while text[at:].strip():
@@ -290,7 +307,9 @@ class Expression:
             pairs = [F.lit(x) for k, row in table.items() for x in (k, row.get(what))]
             return F.try_element_at(F.create_map(*pairs), args[1].cast("string")) if pairs else F.lit(None)
         if low == "lineno":
-            return F.monotonically_increasing_id() + 1
+            if "line" not in self.special:
+                raise ValueError("only text files have line numbers")
+            return self.special["line"]
         if low in ("and", "or"):
             out = args[0]
             for a in args[1:]:
@@ -324,16 +343,14 @@ def _rows(spark: SparkSession, conv: Converter, path: str) -> tuple[DataFrame, l
     opt = conv.options
     if conv.type == "delimited-text":
         sep = {"csv": ",", "default": ",", "tsv": "\t", "tdf": "\t", "excel": ",", "quoted": ","}.get(opt.get("format", "csv").lower(), opt.get("delimiter", ","))
-        lines = spark.read.text(path).withColumn("__n", F.monotonically_increasing_id())
-        skip = int(opt.get("skip-lines", "0"))
-        if skip:  # the first lines of each file
-            head = F.col("_metadata.file_block_start") == 0
-            lines = spark.read.text(path).select("value", head.alias("__first"), F.monotonically_increasing_id().alias("__n"))
-            lines = lines.where(~(F.col("__first") & (F.col("__n").bitwiseAND(F.lit((1 << 33) - 1)) < skip)))
+        lines, skip, named = spark.read.text(path), int(opt.get("skip-lines", "0")), {}
+        if skip or any("lineno(" in e.lower().replace(" ", "") for e in (conv.id or "", conv.filter or "", *(f[1] for f in conv.fields))):
+            lines, number = _numbered(lines)
+            lines, named = lines.where(number > skip), {LINE: number}  # the first lines of each file
         n = int(opt.get("columns", "64"))
         names = [f"_c{i}" for i in range(n)]
-        parsed = lines.select("value", F.from_csv("value", ", ".join(f"{c} string" for c in names), {"sep": sep, "quote": opt.get("quote", '"'), "escape": opt.get("escape", '"'), "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"}).alias("r"))
-        return parsed, [F.col("value"), *[F.col(f"r.{c}") for c in names]], {}
+        parsed = lines.withColumn("r", F.from_csv("value", ", ".join(f"{c} string" for c in names), {"sep": sep, "quote": opt.get("quote", '"'), "escape": opt.get("escape", '"'), "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"}))
+        return parsed, [F.col("value"), *[F.col(f"r.{c}") for c in names]], named
     if conv.type == "fixed-width":
         df = spark.read.text(path)
         return df, [F.col("value"), *[F.substring("value", a + 1, n) for a, n in conv.widths]], {}
