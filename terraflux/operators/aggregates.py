@@ -240,11 +240,53 @@ def _one(df: DataFrame, name: str, args: list, lon: str | None, lat: str | None)
     if name == "DescriptiveStats":
         return {k: _plain(v) for k, v in descriptive(df, args).first().asDict().items()}
     if name == "GroupBy":
-        keys = sorted((r[0] for r in df.select(args[0]).distinct().where(F.col(args[0]).isNotNull()).collect()), key=str)
-        return {str(_plain(k)): [_one(df.where(F.col(args[0]) == F.lit(k)), n, a, lon, lat) for n, a in args[1]] for k in keys}
+        return _by_group(df, args[0], args[1], lon, lat)
     raise ValueError(f"no such statistic: {name}")
 
 
+def _by_group(df: DataFrame, key: str, stats: list[tuple[str, list]], lon: str | None, lat: str | None) -> dict:
+    """Plain values of each group, for an export: one aggregation for each statistic over all groups.
+    Histograms have the range of all rows."""
+    rows = df.where(F.col(key).isNotNull())
+    per_key: dict = {r[0]: [] for r in rows.groupBy(key).agg(F.count(F.lit(1))).collect()}
+
+    def put(make, found: dict) -> None:
+        for k, v in per_key.items():
+            v.append(make(found.get(k)))
+
+    for name, args in stats:
+        if name == "Count":
+            put(lambda n: {"count": n or 0}, {r[0]: r[1] for r in rows.groupBy(key).agg(F.count(F.lit(1))).collect()})
+        elif name == "MinMax":
+            got = rows.groupBy(key).agg(F.min(args[0]), F.max(args[0]), F.approx_count_distinct(args[0])).collect()
+            put(lambda r: {"min": _plain(r[1]), "max": _plain(r[2]), "cardinality": r[3]}, {r[0]: r for r in got})
+        elif name == "Enumeration":
+            values: dict = {}
+            for k, v, n in rows.where(F.col(args[0]).isNotNull()).groupBy(key, args[0]).count().collect():
+                values.setdefault(k, []).append((str(_plain(v)), n))
+            put(lambda x: dict(sorted(x or [])), values)
+        elif name == "TopK":
+            best: dict = {}
+            for r in sorted(top_k(rows, args[0], keys=[key]).collect(), key=lambda r: (-r["n"], str(r[args[0]]))):
+                best.setdefault(r[key], []).append({"value": _plain(r[args[0]]), "count": r["n"]})
+            put(lambda x: {str(i): v for i, v in enumerate(x or [])}, best)
+        elif name == "Histogram":
+            bins, (low, high) = int(args[1]), widened(rows, args[0], *map(float, args[2:4]))
+            counts: dict = {}
+            for r in histogram(rows, args[0], bins, low, high, [key]).collect():
+                counts.setdefault(r[key], {})[r["bin"]] = r["n"]
+            put(lambda c: {"lower-bound": low, "upper-bound": high, "bins": [(c or {}).get(i, 0) for i in range(bins)]}, counts)
+        elif name == "DescriptiveStats":
+            got = descriptive(rows, args, [key]).collect()
+            put(lambda r: {k: _plain(v) for k, v in r.asDict().items() if k != key} if r else {}, {r[key]: r for r in got})
+        elif name == "GroupBy":
+            raise ValueError("groups within groups are not supported")
+        else:  # sketches, one for each of the few keys of an export
+            for k, v in per_key.items():
+                v.append(_one(rows.where(F.col(key) == F.lit(k)), name, args, lon, lat))
+    return {str(_plain(k)): v for k, v in sorted(per_key.items(), key=lambda x: str(x[0]))}
+
+
 def grouped_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """Count, MinMax and DescriptiveStats of each group, in one aggregation."""
     out: list[Column] = []

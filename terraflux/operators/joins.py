@@ -95,8 +95,10 @@ def spatial_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box:
     return a.join(b, on).where(predicate).drop("__a", "__b")
 
 
-def _near(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], metres: float) -> DataFrame:
-    """All pairs within the distance, with column ``distance_m``; both sides' names must differ."""
+def _near(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], metres: float, times: tuple[str, str, float] | None = None) -> DataFrame:
+    """All pairs within the distance, with column ``distance_m``; both sides' names must differ. With
+    times (column of queries, of data, reach in the same unit) also within the reach in time, by
+    bins of time beside the cells."""
     half_h = math.degrees(metres / native.EARTH_RADIUS) * (1 + 1e-9)
     size = max(half_h * 2, 1e-6)
     rows = F.floor(F.col(d[1]) / size).cast("int")
@@ -116,9 +118,16 @@ def _near(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str,
     near_rows = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(q[1]) / size).cast("int") + k)
     cells = F.flatten(F.transform(near_rows, lambda r: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.struct(r.alias("r"), F.pmod(column(F.col(q[0]), r) + k, count(r)).cast("int").alias("c"))))))
     queries = queries.withColumn("__q", F.explode(cells))
+    when = F.lit(True)
+    if times:
+        a, b, reach = times
+        of = lambda c: F.floor(F.col(c) / max(reach, 1e-9)).cast("long")
+        queries = queries.withColumn("__bin", F.explode(F.sequence(of(a) - 1, of(a) + 1)))
+        data = data.withColumn("__at", of(b))
+        when = (queries["__bin"] == data["__at"]) & (F.abs(data[b] - queries[a]) < reach)
     dist = native.distance_sphere(queries[q[0]], queries[q[1]], data[d[0]], data[d[1]])
-    pairs = queries.join(data, (queries["__q.r"] == data["__row"]) & (queries["__q.c"] == data["__col"]))
-    return pairs.withColumn("distance_m", dist).where(F.col("distance_m") <= metres).drop("__q", "__row", "__col")
+    pairs = queries.join(data, (queries["__q.r"] == data["__row"]) & (queries["__q.c"] == data["__col"]) & when)
+    return pairs.withColumn("distance_m", dist).where(F.col("distance_m") <= metres).drop("__q", "__row", "__col", "__bin", "__at")
 
 
 def within_distance(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], metres: float) -> DataFrame:
@@ -180,8 +189,7 @@ def tube_select(data: DataFrame, track: DataFrame, key: str, d: tuple[str, str,
         at = lambda a, b: F.col(a) + F.coalesce((F.col(b) - F.col(a)) * F.col("__s"), F.lit(0.0))
         pts = gaps.withColumn("__s", F.explode(share)).select(at("__x", "__x1").alias("__x"), at("__y", "__y1").alias("__y"), at("__t", "__t1").cast("long").alias("__t"))
     rows = data.select(key, F.col(d[0]).alias("__dx"), F.col(d[1]).alias("__dy"), F.unix_millis(F.col(d[2]).cast("timestamp")).alias("__dt"))
-    near = _near(pts, rows, ("__x", "__y"), ("__dx", "__dy"), metres)
-    hit = near.where(F.abs(F.col("__dt") - F.col("__t")) < 1000.0 * max_time_s).select(key).distinct()
+    hit = _near(pts, rows, ("__x", "__y"), ("__dx", "__dy"), metres, ("__t", "__dt", 1000.0 * max_time_s)).select(key).distinct()
     return data.join(hit, key, "left_semi")
 
 

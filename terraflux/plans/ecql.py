@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -494,7 +495,21 @@ def visible(label: str | None, auths: set[str]) -> bool:
     return any_of()
 
 
-def visibility(df, column: str, auths: set[str]) -> Column:
-    """Rows whose label the authorisations meet. Labels are few: the distinct ones are judged on the driver."""
-    labels = [r[0] for r in df.select(column).distinct().collect()]
-    return F.col(column).isNull() | F.col(column).isin([x for x in labels if x is not None and visible(x, auths)])
+def visibility(column: str, auths: set[str]) -> Column:
+    """Rows whose label the authorisations meet; a null label is visible. Each distinct label of a task
+    is judged once."""
+    allowed = frozenset(auths)
+    judged: dict[str, bool] = {}
+
+    @F.arrow_udf(T.BooleanType())
+    def met(labels: pa.Array) -> pa.Array:
+        plain = labels.dictionary_encode()
+        names = plain.dictionary.to_pylist()
+        for x in names:
+            if x not in judged:
+                if len(judged) > 100_000:
+                    judged.clear()
+                judged[x] = visible(x, allowed)
+        return pa.array([judged[x] for x in names], pa.bool_()).take(plain.indices)
+
+    return F.col(column).isNull() | F.coalesce(met(F.col(column)), F.lit(True))

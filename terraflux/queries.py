@@ -128,7 +128,7 @@ def filter_visibility(spark: SparkSession, d: str) -> DataFrame:
     from .plans.ecql import visibility
 
     ev = _ev(spark, d).withColumn("vis", F.when(F.col("event_type") == "click", "user&(admin|ops)").when(F.col("event_type") == "view", "user").otherwise("secret&user"))
-    return ev.where(visibility(ev, "vis", {"user", "ops"})).select("event_id")
+    return ev.where(visibility("vis", {"user", "ops"})).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import native
+from .functions import native, sql
 from .functions.st import column_function as st
 from .functions.st import register
 from .operators import aggregates, joins, tracks
 from .plans.query import Query, routed, run
-from .queries import _EV, _cust, _ev, _messages, _MSG, query
+from .queries import _cust, _ev, _EV, _hav, _messages, _MSG, query
 from .sources import convert as conv
-from .sources import export, storage
+from .sources import export, relation, storage
 from .sources.shared import shared_dir
 from .sources.tables import layout, nation_boxes, read
 from .streaming import live
@@ -197,6 +197,22 @@ def st_in_sql(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT c_custkey, st_asText(p) AS wkt, st_covers(st_makeBBOX(10d, 0d, 20d, 10d), p) AS inside FROM (SELECT c_custkey, st_makePoint(double(c_custkey % 60), 5d) AS p FROM terraflux_customer)")
 
 
+@query("SELECT c_custkey FROM {CU} WHERE lon BETWEEN -90 AND 90 AND lat BETWEEN -45 AND 45 AND " + _hav("10.0", "lat", "lon - 20.0") + " <= 5000000")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark)
+    _cust(spark, d).createOrReplaceTempView("terraflux_points")
+    return spark.sql("SELECT c_custkey FROM terraflux_points WHERE tf_in_box(lon, lat, -90, -45, 90, 45) AND tf_within(lon, lat, 20, 10, 5000000) AND tf_distance(lon, lat, 20, 10) <= 5000000 AND tf_heading(lon, lat, 20, 10) < 360")
+
+
+@query("SELECT event_id, user_id, NULL::VARCHAR AS note, least(floor((lon + 180) * 4 / 360), 3)::INT * 4 + least(floor((lat + 90) * 4 / 180), 3)::INT AS cell FROM {EV} WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -30 AND 30 AND user_id < 700")
+def relation_load(spark: SparkSession, d: str) -> DataFrame:
+    """Saved and loaded by options."""
+    path = _folder(spark, "relation")
+    relation.save(_ev(spark, d).select("event_id", "user_id", "ts", "lon", "lat"), path, scheme="daily", time="ts")
+    schema = "event_id bigint, user_id bigint, note string, lon double, lat double"
+    return relation.load(spark, path, schema, lon="lon", lat="lat", query="BBOX(geom, -60, -30, 60, 30) AND user_id < 700", spatial="true", strategy="earth", cells="16").select("event_id", "user_id", "note", "cell")
+
+
 @query("SELECT event_id FROM events WHERE user_id < 20 AND value > 10")
 def query_interceptor(spark: SparkSession, d: str) -> DataFrame:
     ev = _ev(spark, d)

@@ -329,3 +329,24 @@ def test_curve_ranges_and_cells(spark):
     ranges = native.z3_ranges(box, (1e5, 2e5), 604800.0, 10)
     assert all(any(a <= r.w <= b for a, b in ranges) for r in inside if 1e5 <= r.t <= 2e5)
     assert native.z2_ranges((-180, -90, 180, 90), 12) == [(0, 4**12 - 1)]
+
+
+def test_sql_functions_reach_the_scan(spark, tmp_path):
+    from terraflux.functions import sql
+
+    spark.range(50).select(F.col("id").cast("double").alias("lon"), F.col("id").cast("double").alias("lat")).write.parquet(str(tmp_path / "p"))
+    sql.register(spark)
+    spark.read.parquet(str(tmp_path / "p")).createOrReplaceTempView("tf_points")
+    for text, n in (("tf_in_box(lon, lat, 3, 3, 7, 9)", 5), ("tf_within(lon, lat, 10, 10, 200000)", 3)):
+        df = spark.sql(f"SELECT * FROM tf_points WHERE {text}")
+        assert "GreaterThanOrEqual(lat" in explain(df) and df.count() == n
+
+
+def test_grouped_statistics_equal_those_of_each_group(spark):
+    df = spark.createDataFrame([(k % 3, float(k), f"v{k % 2}") for k in range(60)] + [(None, 1.0, "x"), (2, None, None)], "g int, v double, s string")
+    stats = "Count();MinMax(v);Enumeration(s);TopK(s);DescriptiveStats(v)"
+    got = aggregates.statistics(df, f"GroupBy(g,{stats})")
+    for k in range(3):
+        one = aggregates.statistics(df.where(F.col("g") == k), stats)
+        for a, b in zip(got[str(k)], one, strict=True):
+            assert a == b or all(v == pytest.approx(b[n]) for n, v in a.items())
