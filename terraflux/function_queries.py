@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.st import column_function as st
 from .queries import query
-from .sources.convert import Converter, convert_rows
+from .sources.convert import Converter, convert_features
 from .sources.tables import read
 
 
@@ -26,7 +26,6 @@ def _keys(spark: SparkSession, d: str, table: str = "supplier", key: str = "s_su
 
 
 _K = "(SELECT s_suppkey AS k, s_suppkey % 60 AS a, s_suppkey % 25 AS b FROM supplier)"
-A, B = F.col("a"), F.col("b")
 _wkt = lambda g: st("st_astext")(g)
 _of = lambda *parts: st("st_geomfromwkt")(_text(*parts))
 _box = lambda x0, y0, x1, y1: st("st_makebbox")(*[(c if isinstance(c, Column) else F.lit(c)).cast("double") for c in (x0, y0, x1, y1)])
@@ -42,6 +41,7 @@ _RING = "0 0, {a} 0, {a} 10, 0 10, 0 0"
     "((a + 1.0) * (b + 1.0))::DOUBLE AS bbox_area, ((a + 1.0) * (b + 1.0))::DOUBLE AS box2d_area, 3 AS m_dim FROM " + _K
 )
 def st_constructors(spark: SparkSession, d: str) -> DataFrame:
+    A, B = F.col("a"), F.col("b")
     p, t = _text("POINT (", A, " ", B, ")"), _text("POLYGON ((0 0, ", A + 1, " 0, ", A + 1, " 10, 0 0))")
     line = _text("LINESTRING (0 0, ", A, " ", B, ")")
     point = _point(A, B)
@@ -63,6 +63,7 @@ def st_constructors(spark: SparkSession, d: str) -> DataFrame:
     "CASE WHEN b % 4 = 0 THEN NULL WHEN b % 4 = 3 THEN 'POINT (5 6)' ELSE 'POINT (' || CASE b % 4 WHEN 1 THEN a || ' ' || b ELSE '3 4' END || ')' END AS point_n, a::FLOAT AS x, b::FLOAT AS y FROM " + _K
 )
 def st_accessors(spark: SparkSession, d: str) -> DataFrame:
+    A, B = F.col("a"), F.col("b")
     tri = _of("POLYGON ((0 0, ", A + 1, " 0, ", A + 1, " 10, 0 0))")
     holed = _of("POLYGON ((0 0, 90 0, 90 90, 0 90, 0 0), (1 1, ", A + 2, " 1, ", A + 2, " 30, 1 1))")
     line = _of("LINESTRING (", A, " ", B, ", 3 4, 5 6)")
@@ -86,6 +87,7 @@ def st_accessors(spark: SparkSession, d: str) -> DataFrame:
     "'{{\"type\":\"Point\",\"coordinates\":[' || a || ',' || b || ']}}' AS json, b || '°30''0.000\"N ' || a || '°15''0.000\"E' AS lat_lon, (360.0 * 180.0 / 1024)::DOUBLE AS cell_area, true AS inside, true AS near FROM " + _K
 )
 def st_casts_and_outputs(spark: SparkSession, d: str) -> DataFrame:
+    A, B = F.col("a"), F.col("b")
     p = _point(A, B)
     short = st("st_geohash")(p, F.lit(10))
     json = F.regexp_replace(F.regexp_replace(st("st_asgeojson")(p), r"\s", ""), r"\.0+(?=[,\]])", "")
@@ -102,6 +104,7 @@ def st_casts_and_outputs(spark: SparkSession, d: str) -> DataFrame:
     "round(ln(tan(pi() / 4 + radians(b) / 2)) * 6378137.0, 2) AS my, round((a + 2.0) * 10, 6)::DOUBLE AS safe_area, true AS split, true AS disc FROM " + _K
 )
 def st_processing(spark: SparkSession, d: str) -> DataFrame:
+    A, B = F.col("a"), F.col("b")
     a, b = _box(0, 0, A + 1, B + 1), _box(0, 0, 30, 10)
     merc = st("st_transform")(_point(A, B), F.lit("EPSG:4326"), F.lit("EPSG:3857"))
     safe = st("st_antimeridiansafegeom")(_of("POLYGON ((179 0, ", A + 181, " 0, ", A + 181, " 10, 179 10, 179 0))"))
@@ -119,7 +122,7 @@ def st_processing(spark: SparkSession, d: str) -> DataFrame:
     "x > -10 AND x < 10 AND true AS box_meets FROM (SELECT k, a % 25 - 12 AS x FROM " + _K + ")"
 )
 def st_relations(spark: SparkSession, d: str) -> DataFrame:
-    x = A % 25 - 12
+    x = F.col("a") % 25 - 12
     box, p = _box(0, 0, 10, 10), _point(x, 5)
     line = _of("LINESTRING (", x, " -5, ", x + 10, " 5, ", x + 10, " -5)")  # goes into the box by its upper part
     moved = _box(x, 0, x + 10, 10)
@@ -135,6 +138,7 @@ def st_relations(spark: SparkSession, d: str) -> DataFrame:
     "'POINT (10 ' || least(b, 10) || ')' AS closest, (10.0 * (b + 1))::DOUBLE AS area, 5.0::DOUBLE AS cx, ((b + 1) / 2.0)::DOUBLE AS cy, sqrt(pow(greatest(b - 10, 0), 2) + pow(a + 1, 2)) AS distance FROM " + _K
 )
 def st_lengths(spark: SparkSession, d: str) -> DataFrame:
+    A, B = F.col("a"), F.col("b")
     equator = _of("LINESTRING (0 0, ", A, " 0)")
     ends = F.array(_point(0, 0), _point(A, 0))
     box, p = _box(0, 0, 10, 10), _point(A + 11, B)
@@ -151,7 +155,7 @@ def st_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 #: Columns that the expressions need beside those of the tables.
 MORE = {
-    "supplier": {"s_parity": "s_suppkey % 2", "s_seven": "s_suppkey % 7", "s_a": "s_suppkey % 60", "s_a1": "s_suppkey % 60 + 1", "s_b": "s_suppkey % 25"},
+    "supplier": {"s_parity": "s_suppkey % 2", "s_seven": "s_suppkey % 7", "s_a": "s_suppkey % 60", "s_a1": "s_suppkey % 60 + 1", "s_b": "s_suppkey % 25", "s_xy": "struct(array(0, s_suppkey % 60) AS x, array(0, s_suppkey % 25) AS y)", "s_pt": "struct(s_suppkey % 60 AS x, s_suppkey % 25 AS y)", "s_rings": "struct(array(array(0, s_suppkey % 60 + 1, s_suppkey % 60 + 1, 0)) AS x, array(array(0, 0, 10, 0)) AS y)", "s_parts": "struct(array(array(array(0, s_suppkey % 60 + 1, s_suppkey % 60 + 1, 0))) AS x, array(array(array(0, 0, 10, 0))) AS y)", "s_when": "timestamp'2024-01-05 10:00:00'"},
     "part": {"p_odd": "p_size % 2"},
 }
 
@@ -164,7 +168,7 @@ def _convert(name: str, table: str, sql: str, fields: list[tuple[str, str]], fin
         df = read(spark, d, table).withColumns({k: F.expr(v) for k, v in MORE.get(table, {}).items()})
         caches = {"names": ("k", {"1": {"k": "1", "name": "one"}})}
         conv = Converter("parquet", fields, id=f"toString(${fields[0][0]})", caches=caches)
-        good, _ = convert_rows(df, [F.to_json(F.struct(*df.columns)), *[F.col(c) for c in df.columns]], {c: F.col(c) for c in df.columns}, conv)
+        good, _ = convert_features(df, conv)
         got = good.select(*[n for n, _ in fields])
         return finish(got) if finish else got
 
@@ -232,14 +236,15 @@ _convert(
     "convert_geometries",
     "supplier",
     "SELECT s_suppkey, 'POINT (' || a || ' ' || b || ')' AS point, 'POINT (' || a || ' ' || b || ')' AS point2, 3 AS m, 2 AS multipoint, 'LINESTRING (0 0, ' || a || ' ' || b || ')' AS line, 2 AS lines, (a + 1.0) * 5 AS polygon, (a + 1.0) * 5 AS polygons, 'POINT (' || a || ' ' || b || ')' AS geometry, 2 AS collection, "
-    "round(degrees(a * 1000.0 / 6378137.0), 6) AS projected, (a + b)::DOUBLE AS cql FROM (SELECT s_suppkey, s_suppkey % 60 AS a, s_suppkey % 25 AS b FROM supplier)".replace("(a + 1.0) * 5 AS", "((a + 1.0) * 5)::DOUBLE AS"),
+    "round(degrees(a * 1000.0 / 6378137.0), 6) AS projected, (a + b)::DOUBLE AS cql, 'LINESTRING (0 0, ' || a || ' ' || b || ')' AS p_line, 'POINT (' || a || ' ' || b || ')' AS p_point, 2 AS p_points, ((a + 1.0) * 5)::DOUBLE AS p_area, 1 AS p_lines, ((a + 1.0) * 5)::DOUBLE AS p_areas, 72 AS uuids FROM (SELECT s_suppkey, s_suppkey % 60 AS a, s_suppkey % 25 AS b FROM supplier)".replace("(a + 1.0) * 5 AS", "((a + 1.0) * 5)::DOUBLE AS"),
     [
         ("s_suppkey", "$s_suppkey"), ("p", "point($s_a, $s_b)"), ("p2", "point(mkstring('', 'POINT (', $s_a, ' ', $s_b, ')'))"), ("pm", "pointM($s_a, $s_b, 5)"), ("mp", "multipoint(mkstring('', 'MULTIPOINT (0 0, ', $s_a, ' ', $s_b, ')'))"), ("ls", "linestring(mkstring('', 'LINESTRING (0 0, ', $s_a, ' ', $s_b, ')'))"),
         ("mls", "multilinestring(mkstring('', 'MULTILINESTRING ((0 0, 1 1), (2 2, ', $s_a, ' ', $s_b, '))'))"), ("pg", "polygon(mkstring('', 'POLYGON ((0 0, ', $s_a1, ' 0, ', $s_a1, ' 10, 0 0))'))"), ("mpg", "multipolygon(mkstring('', 'MULTIPOLYGON (((0 0, ', $s_a1, ' 0, ', $s_a1, ' 10, 0 0)))'))"),
-        ("g", "geometry(mkstring('', 'POINT (', $s_a, ' ', $s_b, ')'))"), ("gc", "geometrycollection(mkstring('', 'GEOMETRYCOLLECTION (POINT (', $s_a, ' ', $s_b, '), LINESTRING (0 0, 1 1))'))"), ("pr", "projectFrom('EPSG:3857', point(multiply($s_a, 1000), 0))"), ("cq", "cql:length(linestring(mkstring('', 'LINESTRING (0 0, ', $s_a, ' 0, ', $s_a, ' ', $s_b, ')')))"),
+        ("g", "geometry(mkstring('', 'POINT (', $s_a, ' ', $s_b, ')'))"), ("gc", "geometrycollection(mkstring('', 'GEOMETRYCOLLECTION (POINT (', $s_a, ' ', $s_b, '), LINESTRING (0 0, 1 1))'))"), ("pr", "projectFrom('EPSG:3857', point(multiply($s_a, 1000), 0))"), ("pl", "parquetLineString($s_xy)"), ("pp", "parquetPoint($s_pt)"), ("pmp", "parquetMultiPoint($s_xy)"), ("ppg", "parquetPolygon($s_rings)"), ("pml", "parquetMultiLineString($s_rings)"), ("pmg", "parquetMultiPolygon($s_parts)"), ("uz", "strlen(uuidZ3($p, $s_when, 'week'))"), ("uc", "strlen(uuidZ3Centroid($ls, $s_when, 'week'))"), ("cq", "cql:length(linestring(mkstring('', 'LINESTRING (0 0, ', $s_a, ' 0, ', $s_a, ' ', $s_b, ')')))"),
     ],
     lambda df: df.select(
         "s_suppkey", _wkt(F.col("p")).alias("point"), _wkt(F.col("p2")).alias("point2"), st("st_coorddim")("pm").alias("m"), st("st_numgeometries")("mp").alias("multipoint"), _wkt(F.col("ls")).alias("line"), st("st_numgeometries")("mls").alias("lines"), st("st_area")("pg").alias("polygon"), st("st_area")("mpg").alias("polygons"),
         _wkt(F.col("g")).alias("geometry"), st("st_numgeometries")("gc").alias("collection"), F.round(st("st_xd")("pr"), 6).alias("projected"), F.col("cq").alias("cql"),
+        _wkt(F.col("pl")).alias("p_line"), _wkt(F.col("pp")).alias("p_point"), st("st_numgeometries")("pmp").alias("p_points"), st("st_area")("ppg").alias("p_area"), st("st_numgeometries")("pml").alias("p_lines"), st("st_area")("pmg").alias("p_areas"), (F.col("uz") + F.col("uc")).alias("uuids"),
     ),
 )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import native
+from ..functions.hashes import attribute_hash
 from ..sources.shared import materialise
 
 
@@ -73,9 +74,14 @@ def date_offset(df: DataFrame, column: str, period: str) -> DataFrame:
     return df.withColumn(column, F.col(column) - move if m[1] else F.col(column) + move)
 
 
+def _hashed(column: str, modulus: int) -> Column:
+    """murmur3 of the value's text, its size modulo; a null value counts as empty text."""
+    return (F.abs(attribute_hash(F.coalesce(F.col(column).cast("string"), F.lit(""))).cast("long")) % modulus).cast("int")
+
+
 def hash_attribute(df: DataFrame, column: str, modulus: int, name: str = "hash") -> DataFrame:
     """A column with the hash of another, 0 to modulus - 1."""
-    return df.withColumn(name, F.pmod(F.hash(F.col(column).cast("string")), F.lit(modulus)))
+    return df.withColumn(name, _hashed(column, modulus))
 
 
 #: Seven colours for hashed attributes.
@@ -83,7 +89,7 @@ COLOURS = ("#6495ED", "#B0C4DE", "#00FFFF", "#9ACD32", "#00FA9A", "#FFF8DC", "#F
 
 
 def hash_colour(df: DataFrame, column: str, name: str = "colour") -> DataFrame:
-    return df.withColumn(name, F.element_at(F.array(*map(F.lit, COLOURS)), F.pmod(F.hash(F.col(column).cast("string")), F.lit(len(COLOURS))) + 1))
+    return df.withColumn(name, F.element_at(F.array(*map(F.lit, COLOURS)), _hashed(column, len(COLOURS)) + 1))
 
 
 def age_off(df: DataFrame, time: str, now: Column, ttl: str) -> DataFrame:

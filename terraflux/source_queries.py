@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import native, sql
+from .functions import native, s2, sql
 from .functions.st import column_function as st
 from .functions.st import register
 from .operators import aggregates, joins, tracks
@@ -363,3 +363,47 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{path}/out").groupBy("start", "event_type").agg(F.max_by("n", "epoch").alias("n"))
     return last.select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
+
+
+_LIFE = "SELECT id, seq FROM (SELECT user_id AS id, event_id AS seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND "
+
+
+def _with_ingest(spark: SparkSession, d: str) -> DataFrame:
+    late = F.make_dt_interval((F.col("event_id") % 5).cast("int"))
+    return _ev(spark, d).select(F.col("user_id").alias("id"), F.lit("change").alias("op"), "ts", F.col("event_id").alias("seq"), (F.col("ts") + late).alias("came"))
+
+
+@query(_LIFE + "epoch_ms(ts) + (seq % 5) * 86400000 + 432000000 > epoch_ms(TIMESTAMP '2024-01-30')")
+def live_ingest_expiry(spark: SparkSession, d: str) -> DataFrame:
+    return live.latest_state(_with_ingest(spark, d), now=F.lit("2024-01-30").cast("timestamp"), ttl=F.lit(432_000_000).cast("long"), since="came").select("id", "seq")
+
+
+@query(_LIFE + "NOT epoch_ms(ts) + 604800000 > epoch_ms(TIMESTAMP '2024-02-06')")
+def live_expired_rows(spark: SparkSession, d: str) -> DataFrame:
+    return live.latest_state(_with_ingest(spark, d), now=F.lit("2024-02-06").cast("timestamp"), ttl=F.lit(604_800_000).cast("long"), expired=True).select("id", "seq")
+
+
+@query("SELECT a.event_id, b.event_id AS near_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts AND a.ts <= b.ts + INTERVAL 2 HOUR WHERE a.event_type = 'click' AND b.event_type = 'view'")
+def stream_join(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "join")
+    ev = _ev(spark, d)
+    ev.where("event_type = 'click'").select("user_id", "event_id", "ts").write.parquet(f"{path}/a")
+    ev.where("event_type = 'view'").select("user_id", F.col("event_id").alias("near_id"), F.col("ts").alias("seen")).write.parquet(f"{path}/b")
+    a, b = (spark.readStream.schema(spark.read.parquet(f"{path}/{x}").schema).parquet(f"{path}/{x}") for x in "ab")
+    both = live.stream_join(a, b, "user_id", "ts", "seen", within="2 hours", late="60 days").select("event_id", "near_id")
+    both.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, near_id long").parquet(f"{path}/out")
+
+
+_XYZ = "(SELECT c_custkey, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM {CU})"
+
+
+@query(
+    "WITH f AS (SELECT *, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN CASE WHEN x < 0 THEN 3 ELSE 0 END WHEN abs(y) >= abs(z) THEN CASE WHEN y < 0 THEN 4 ELSE 1 END ELSE CASE WHEN z < 0 THEN 5 ELSE 2 END END AS face FROM " + _XYZ + "), "
+    "q AS (SELECT *, CASE face WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END >= -1e-16 AS i, CASE face WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END >= -1e-16 AS j FROM f), "
+    "p AS (SELECT *, CASE WHEN face % 2 = 0 THEN CASE WHEN NOT i AND NOT j THEN 0 WHEN NOT i THEN 1 WHEN j THEN 2 ELSE 3 END ELSE CASE WHEN NOT i AND NOT j THEN 0 WHEN NOT j THEN 1 WHEN i THEN 2 ELSE 3 END END AS place FROM q) "
+    "SELECT c_custkey, ((face % 4)::HUGEINT * 2305843009213693952 + place::HUGEINT * 576460752303423488 + 288230376151711744 - CASE WHEN face >= 4 THEN 9223372036854775808::HUGEINT ELSE 0 END)::BIGINT AS cell FROM p"
+)
+def curve_s2(spark: SparkSession, d: str) -> DataFrame:
+    """The quarter of a cube's face that holds each point."""
+    return _cust(spark, d).select("c_custkey", s2.s2("lon", "lat", 1).alias("cell"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import native
+from ..functions import hashes, native
 from ..functions.st import column_function
 
 _TOKEN = re.compile(r"""\s*(?:(?P<num>-?\d+\.?\d*(?:[eE][-+]?\d+)?[lLfFdD]?)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<ref>\$\{[^}]*\}|\$\w+)|(?P<name>[A-Za-z_][\w.:-]*?(?=::|[^\w.:-]|$))|(?P<op>::|==|!=|<=|>=|&&|\|\||[<>!(),-]))""")
@@ -77,6 +77,18 @@ def _st(name: str) -> Callable[..., Column]:
     return lambda *a: column_function(name)(*a)
 
 
+def _coordinates(kind: str, x: Column, y: Column, depth: int) -> Column:
+    """WKT of coordinates that are held as two arrays, nested to a depth."""
+
+    def text(a: Column, b: Column, depth: int) -> Column:
+        if not depth:
+            return F.concat(a.cast("string"), F.lit(" "), b.cast("string"))
+        inner = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: text(z["a"], z["b"], depth - 1))
+        return F.concat(F.lit("("), F.array_join(inner, ", "), F.lit(")"))
+
+    return F.concat(F.lit(kind + " "), text(x, y, depth))
+
+
 def _point(*a: Column) -> Column:
     return _st("st_makepoint")(*_numbers(a)) if len(a) == 2 else _st("st_pointfromtext")(a[0])
 
@@ -146,6 +158,16 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "projectfrom": lambda epsg, g: _st("st_transform")(g, epsg, F.lit("EPSG:4326")),
     "stringtobytes": lambda s: F.encode(s, "UTF-8"),
     "uuid": F.uuid,
+    "uuidz3": lambda g, d, period: uuid_z3(_st("st_xd")(g), _st("st_yd")(g), d, _literal(period, "the period")),
+    "uuidz3centroid": lambda g, d, period: uuid_z3(_st("st_xd")(_st("st_centroid")(g)), _st("st_yd")(_st("st_centroid")(g)), d, _literal(period, "the period")),
+    "murmur3_32": lambda s: hashes.hex_32(s.cast("string")),
+    "murmur3_128": lambda s: hashes.long_128(s.cast("string")),
+    "parquetpoint": lambda c: _st("st_makepoint")(c["x"].cast("double"), c["y"].cast("double")),
+    "parquetlinestring": lambda c: _st("st_linefromtext")(_coordinates("LINESTRING", c["x"], c["y"], 1)),
+    "parquetmultipoint": lambda c: _st("st_mpointfromtext")(_coordinates("MULTIPOINT", c["x"], c["y"], 1)),
+    "parquetpolygon": lambda c: _st("st_polygonfromtext")(_coordinates("POLYGON", c["x"], c["y"], 2)),
+    "parquetmultilinestring": lambda c: _st("st_mlinefromtext")(_coordinates("MULTILINESTRING", c["x"], c["y"], 2)),
+    "parquetmultipolygon": lambda c: _st("st_mpolyfromtext")(_coordinates("MULTIPOLYGON", c["x"], c["y"], 3)),
     "base64": lambda b: F.regexp_replace(F.translate(F.base64(b), "+/", "-_"), "[=\\s]", ""),
     "md5": F.md5,
     "withdefault": F.coalesce,
@@ -159,7 +181,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "xpath": lambda path, c: F.xpath_string(c, path),
     "transformlistitems": lambda c, f: F.transform(c, f),
 }
-for _name, _of in {"concatenate": "concat", "substring": "substr", "length": "strlen", "stringlength": "strlen", "basicdate": "basicisodate", "tointeger": "toint", "stringtoint": "toint", "tobool": "toboolean", "string2bytes": "stringtobytes", "map2json": "maptojson"}.items():
+for _name, _of in {"concatenate": "concat", "substring": "substr", "length": "strlen", "stringlength": "strlen", "basicdate": "basicisodate", "tointeger": "toint", "stringtoint": "toint", "tobool": "toboolean", "string2bytes": "stringtobytes", "map2json": "maptojson", "murmur3_64": "murmur3_128"}.items():
     FUNCTIONS[_name] = FUNCTIONS[_of]
 
 
@@ -369,9 +391,17 @@ def _rows(spark: SparkSession, conv: Converter, path: str) -> tuple[DataFrame, l
     if conv.type in ("parquet", "orc"):
         df = getattr(spark.read, conv.type)(path)
         return df, [F.to_json(F.struct(*df.columns)), *[F.col(c) for c in df.columns]], {c: F.col(c) for c in df.columns}
+    if conv.type == "jdbc":  # path: a query
+        df = spark.read.format("jdbc").option("url", opt["connection"]).option("query", path).load()
+        return df, [F.to_json(F.struct(*df.columns)), *[F.col(c) for c in df.columns]], {c: F.col(c) for c in df.columns}
     raise ValueError(f"no such converter: {conv.type}")
 
 
+def convert_features(df: DataFrame, conv: Converter) -> tuple[DataFrame, DataFrame]:
+    """As convert, from features to features: $name is an attribute, $n the n-th, $0 the row as JSON."""
+    return convert_rows(df, [F.to_json(F.struct(*df.columns)), *[F.col(c) for c in df.columns]], {c: F.col(c) for c in df.columns}, conv)
+
+
 def convert(spark: SparkSession, conv: Converter, path: str) -> tuple[DataFrame, DataFrame]:
     """(features, refused rows with the reason)."""
     rows, columns, names = _rows(spark, conv, path)

@@ -8,6 +8,7 @@ id; a clear removes all that came before it.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -26,9 +27,10 @@ class Names:
     seq: str = "seq"
 
 
-def latest_state(messages: DataFrame, names: Names = Names(), *, now: Column | None = None, ttl: Column | None = None) -> DataFrame:
-    """The live rows after all messages. ttl: milliseconds of a row's life from its event time
-    (null: for ever), judged at ``now``."""
+def latest_state(messages: DataFrame, names: Names = Names(), *, now: Column | None = None, ttl: Column | None = None, since: str | None = None, expired: bool = False) -> DataFrame:
+    """The live rows after all messages. ttl: milliseconds of a row's life (null: for ever) from its
+    event time, or from the time in the column ``since``, such as that of its ingest, judged at
+    ``now``. With expired, the rows whose life has ended instead, to be stored elsewhere."""
     n = names
     cleared = messages.agg(F.max(F.when(F.col(n.op) == "clear", F.col(n.seq))).alias("__cleared"))
     after = messages.crossJoin(F.broadcast(cleared))  # an aggregate of one row
@@ -38,9 +40,8 @@ def latest_state(messages: DataFrame, names: Names = Names(), *, now: Column | N
     changes = after.where(F.col(n.op) == "change").join(gone, n.id, "left").where("__gone is null or " + f"{n.seq} > __gone").drop("__gone")
     best = changes.groupBy(n.id).agg(F.max_by(F.struct(*rest), F.struct(n.time, n.seq)).alias("r"))
     out = best.select(*[F.col(n.id) if c == n.id else F.col(f"r.{c}").alias(c) for c in messages.columns])
-    if ttl is not None:
-        out = out.where(ttl.isNull() | (F.unix_millis(F.col(n.time)) + ttl > F.unix_millis(now)))
-    return out.drop(n.op)
+    alive = F.lit(True) if ttl is None else ttl.isNull() | (F.unix_millis(F.col(since or n.time)) + ttl > F.unix_millis(now))
+    return out.where(~alive if expired else alive).drop(n.op)
 
 
 def filtered_ttl(rules: list[tuple[str, int | None]], layout: Layout) -> Column:
@@ -56,8 +57,11 @@ def filtered_ttl(rules: list[tuple[str, int | None]], layout: Layout) -> Column:
 class LiveTable:
     """The state kept as a table that each micro-batch replaces; queries read the last one."""
 
-    def __init__(self, spark: SparkSession, path: str, names: Names = Names(), *, ttl: Callable[[], Column] | None = None, listeners: list[Callable[[str, DataFrame], None]] | None = None):
+    def __init__(self, spark: SparkSession, path: str, names: Names = Names(), *, ttl: Callable[[], Column] | None = None, since: str | None = None, immediate: bool = False, persist: Callable[[DataFrame], None] | None = None, listeners: list[Callable[[str, DataFrame], None]] | None = None):
+        """immediate: rows expire as they come, so listeners are told and nothing is held. persist: gets
+        the rows that expire with a batch."""
         self.spark, self.path, self.names, self.ttl, self.listeners = spark, path.rstrip("/"), names, ttl, listeners or []
+        self.since, self.immediate, self.persist = since, immediate, persist
         self.current: str | None = None
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
@@ -68,7 +72,13 @@ class LiveTable:
             old = self.spark.read.parquet(self.current).withColumn(n.op, F.lit("change")) if self.current else None
             both = batch if old is None else old.select(*batch.columns).unionByName(batch)
             now = F.lit(batch.agg(F.max(n.time)).first()[0]).cast("timestamp")
-            state = latest_state(both, n, now=now, ttl=self.ttl() if self.ttl else None)
+            if self.immediate:
+                state, gone = both.drop(n.op).limit(0), batch.where(F.col(n.op) == "change").drop(n.op)
+            else:
+                life = {"now": now, "ttl": self.ttl() if self.ttl else None, "since": self.since}
+                state, gone = latest_state(both, n, **life), latest_state(both, n, **life, expired=True)
+            if self.persist:
+                self.persist(gone)
             where = f"{self.path}/state-{epoch}-{uuid.uuid4().hex}"
             state.write.parquet(where)
             self.current = where
@@ -119,3 +129,38 @@ def playback(df: DataFrame, time: str, start: str, end: str, step_s: float) -> l
         out.append(df.where((F.col(time) >= F.lit(a)) & (F.col(time) < F.lit(nxt))).orderBy(time))
         a = nxt
     return out
+
+
+COMMIT, CONTINUE, PAUSE = "commit", "continue", "pause"
+
+
+def process(stream: DataFrame, handler: Callable[[DataFrame], str], path: str, *, pause_s: float = 1.0, most_pauses: int = 1000, **trigger):
+    """Hand rows to a handler in batches. It says COMMIT when it is done with them, CONTINUE to get
+    them again with those of the next batch, PAUSE to get them again after a while. What it
+    has not committed is kept under ``path``, with the stream's progress."""
+    spark, path = stream.sparkSession, path.rstrip("/")
+    held: list[str] = []
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        where = f"{path}/held/{epoch}-{uuid.uuid4().hex}"
+        batch.write.parquet(where)
+        held.append(where)
+        for _ in range(most_pauses):
+            said = handler(spark.read.schema(batch.schema).parquet(*held))
+            if said == COMMIT:
+                held.clear()
+            if said != PAUSE:
+                return
+            time.sleep(pause_s)
+        raise TimeoutError("the handler has paused too often")
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, *, within: str, late: str) -> DataFrame:
+    """Rows of two streams with equal keys where left's time is at or up to ``within`` after right's;
+    their columns but for the key must differ. State is kept no longer than ``late`` and ``within`` ask for."""
+    a = left.withWatermark(left_time, late)
+    b = right.withColumnRenamed(key, "__key").withWatermark(right_time, late)
+    near = (F.col(key) == F.col("__key")) & (F.col(left_time) >= F.col(right_time)) & (F.col(left_time) <= F.col(right_time) + F.expr(f"interval {within}"))
+    return a.join(b, near).drop("__key")

@@ -350,3 +350,28 @@ def test_grouped_statistics_equal_those_of_each_group(spark):
         one = aggregates.statistics(df.where(F.col("g") == k), stats)
         for a, b in zip(got[str(k)], one, strict=True):
             assert a == b or all(v == pytest.approx(b[n]) for n, v in a.items())
+
+
+def test_live_table_expires_and_processes(spark, tmp_path):
+    from terraflux.streaming import live
+
+    rows = spark.createDataFrame([(k % 4, "change", datetime(2024, 1, 1 + k), k) for k in range(8)], "id int, op string, ts timestamp, seq int")
+    kept: list = []
+    table = LiveTable(spark, str(tmp_path / "now"), immediate=True, persist=lambda df: kept.extend(df.collect()))
+    table.apply(rows, 0)
+    assert table.query().count() == 0 and len(kept) == 8
+    kept.clear()
+    table = LiveTable(spark, str(tmp_path / "ttl"), ttl=lambda: F.lit(86_400_000 * 2).cast("long"), persist=lambda df: kept.extend(df.collect()))
+    table.apply(rows, 0)
+    assert {r.id for r in table.query().collect()} == {2, 3} and {r.id for r in kept} == {0, 1}
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    says, seen = iter([live.CONTINUE, live.PAUSE, live.COMMIT, *[live.COMMIT] * 9]), []
+
+    def handler(df):
+        seen.append(df.count())
+        return next(says)
+
+    live.process(stream, handler, str(tmp_path / "p"), pause_s=0.01).awaitTermination()
+    n = len(spark.read.parquet(str(tmp_path / "in")).inputFiles())
+    assert len(seen) == n + (1 if n > 1 else 0) and seen[-1] <= 8 and (n < 2 or seen[1] > seen[0])

@@ -125,3 +125,40 @@ def test_points_in_the_middle_of_edges():
     line = from_wkt("LINESTRING (0 0, 4 0)")
     assert R.relate(line, from_wkt("POINT (2 0)")) == "0F1FF0FF2"
     assert R.relate(line, from_wkt("MULTIPOINT ((2 0), (1 0), (9 9))")) == "0F1FF00F2"
+
+
+def test_british_grid():
+    from terraflux.geom.measure import transform
+    from terraflux.geom.model import point
+
+    x, y = transform(point(-0.871722, 52.023636), "EPSG:4326", "EPSG:27700").coords[:2]
+    assert abs(x - 477514.0081191745) < 0.1 and abs(y - 236736.03179982008) < 0.1
+    back = transform(point(x, y), "EPSG:27700", "EPSG:4326").coords
+    assert abs(back[0] + 0.871722) < 1e-9 and abs(back[1] - 52.023636) < 1e-9
+
+
+def test_murmur_hashes():
+    from terraflux.functions.hashes import murmur3_32, murmur3_128
+
+    assert [murmur3_32(x) for x in (b"", b"hello", b"hello, world")] == [0, 0x248BFA47, 0x149BBB7F]
+    assert murmur3_128(b"hello") == (0xCBD8A7B341BD9B02, 0x5B1E906A48AE1D19) and murmur3_128(b"") == (0, 0)
+    assert murmur3_128(b"The quick brown fox jumps over the lazy dog")[0] == 0xE34BBC7BBC071B6C
+
+
+def test_s2_cells():
+    import numpy as np
+
+    from terraflux.functions import s2
+
+    rng = np.random.default_rng(1)
+    assert int(s2.cell_ids(np.zeros(1), np.zeros(1))[0]) == 0x1000000000000001
+    lon, lat = rng.uniform(-180, 180, 2000), np.degrees(np.arcsin(rng.uniform(-1, 1, 2000)))
+    ids = s2.cell_ids(lon, lat)
+    faces = np.bincount((ids >> np.uint64(61)).astype(int), minlength=6)
+    assert faces.min() > 200 and len(faces) == 6  # about equally many on each face
+    near = s2.cell_ids(lon + 1e-9, lat)
+    same = [int(a ^ b).bit_length() for a, b in zip(ids, near)]
+    assert np.median(same) < 20  # neighbours share most of the curve
+    order = np.argsort(ids)
+    steps = np.hypot((np.diff(lon[order]) + 180) % 360 - 180, np.diff(lat[order]))
+    assert np.median(steps) < 6  # the curve has no leaps within a face
