@@ -131,6 +131,23 @@ def parse_stats(text: str) -> list[tuple[str, list]]:
     return out
 
 
+def property_names(text: str) -> list[str]:
+    """The attributes that a list of statistics uses, in order, each once."""
+    out: list[str] = []
+    for name, args in parse_stats(text):
+        if name == "GroupBy":
+            out.append(args[0])
+            out += [a for n, inner in args[1] for a in _attributes(n, inner)]
+        else:
+            out += _attributes(name, args)
+    return list(dict.fromkeys(out))
+
+
+def _attributes(name: str, args: list) -> list[str]:
+    used = {"Count": 0, "IteratorStackCount": 0, "DescriptiveStats": len(args), "Z3Histogram": 2, "Z3Frequency": 2}.get(name, 1)
+    return [a for a in args[:used] if isinstance(a, str)]
+
+
 def _number(c: str, kind: T.DataType) -> Column:
     return F.unix_millis(F.col(c).cast("timestamp")).cast("double") if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType) else F.col(c).cast("double")
 
@@ -203,6 +220,16 @@ def statistics(df: DataFrame, text: str, *, lon: str | None = None, lat: str | N
     return got[0] if len(got) == 1 else got
 
 
+def merged_statistics(stores: list[DataFrame], text: str, **place: str) -> dict | list:
+    """The statistics of several tables together; of each only the attributes that are used."""
+    names = [*property_names(text), *place.values()]
+    parts = [df.select(*[c for c in dict.fromkeys(names) if c in df.columns] or [F.lit(1).alias("one")]) for df in stores]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return statistics(out, text, **place)
+
+
 def _z_bins(df: DataFrame, args: list, lon: str | None, lat: str | None) -> DataFrame:
     part, offset, whole = native.time_bin(F.col(args[1]), args[2])
     return df.select(part.alias("bin"), native.z3(lon, lat, offset, whole).alias("z")).where("z is not null")

@@ -49,6 +49,21 @@ def grid_partition(df: DataFrame, lon: str, lat: str, n: int, strategy: str = "e
     return df.withColumn("cell", cell.cast("int")).repartition("cell"), None
 
 
+def grid_boxes(bounds: tuple[float, float, float, float], side: int) -> list[tuple[float, float, float, float]]:
+    """The cells of an equal or earth grid, in the order of their numbers."""
+    x0, y0, x1, y1 = bounds
+    w, h = (x1 - x0) / side, (y1 - y0) / side
+    return [(x0 + i * w, y0 + j * h, x0 + (i + 1) * w, y0 + (j + 1) * h) for i in range(side) for j in range(side)]
+
+
+def cover(df: DataFrame, box: tuple[str, str, str, str], cells: list[tuple[float, float, float, float]]) -> DataFrame:
+    """df dealt out by the cells of another table (fixed boxes): a row for each that its box meets, in a
+    column ``cell``, -1 where it meets none. For joins with the table that has these cells."""
+    boxes = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), b)]) for k, b in enumerate(cells)])
+    met = F.transform(F.filter(boxes, lambda b: native.boxes_meet(tuple(map(F.col, box)), (b["x0"], b["y0"], b["x1"], b["y1"]))), lambda b: b["k"])
+    return df.withColumn("cell", F.explode(F.when(F.size(met) > 0, met).otherwise(F.array(F.lit(-1))))).repartition("cell")
+
+
 def rtree_boxes(points: list[tuple[float, float]], n: int) -> list[tuple[float, float, float, float]]:
     """Envelopes of about equally many points: slices by x, cut by y."""
     if not points:
@@ -83,16 +98,17 @@ def box_point_join(boxes: DataFrame, points: DataFrame, box: tuple[str, str, str
     return left.join(right, on, how).drop("__cell", "__salt")
 
 
-def spatial_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box: tuple, predicate: Column, *, size: float = 10.0) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box: tuple, predicate: Column, *, size: float = 10.0, salt: int = 1) -> DataFrame:
     """Inner join of two tables with bounds columns by any predicate that implies that the bounds
     meet. Both sides are dealt to the cells they touch; a pair is kept in the cell of the upper
-    of the two lower corners only, so once."""
-    a = left.withColumn("__a", F.explode(cells_of(*map(F.col, left_box), size)))
-    b = right.withColumn("__b", F.explode(cells_of(*map(F.col, right_box), size)))
+    of the two lower corners only, so once. ``salt`` splits the left rows of a cell among so many
+    partitions, at the cost of as many copies of the right ones."""
+    a = left.withColumn("__a", F.explode(cells_of(*map(F.col, left_box), size))).withColumn("__sa", F.pmod(F.xxhash64(*left_box), F.lit(salt)).cast("int"))
+    b = right.withColumn("__b", F.explode(cells_of(*map(F.col, right_box), size))).withColumn("__sb", F.explode(F.array(*[F.lit(k) for k in range(salt)])))
     home_i = F.floor(F.greatest(a[left_box[0]], b[right_box[0]]) / size).cast("int")
     home_j = F.floor(F.greatest(a[left_box[1]], b[right_box[1]]) / size).cast("int")
-    on = (a["__a"] == b["__b"]) & native.boxes_meet(tuple(a[c] for c in left_box), tuple(b[c] for c in right_box)) & (a["__a.i"] == home_i) & (a["__a.j"] == home_j)
-    return a.join(b, on).where(predicate).drop("__a", "__b")
+    on = (a["__a"] == b["__b"]) & (a["__sa"] == b["__sb"]) & native.boxes_meet(tuple(a[c] for c in left_box), tuple(b[c] for c in right_box)) & (a["__a.i"] == home_i) & (a["__a.j"] == home_j)
+    return a.join(b, on).where(predicate).drop("__a", "__b", "__sa", "__sb")
 
 
 def _near(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], metres: float, times: tuple[str, str, float] | None = None) -> DataFrame:

@@ -44,6 +44,7 @@ class Layout:
     points: dict[str, tuple[str, str]] = field(default_factory=dict)
     bounds: dict[str, tuple[str, str, str, str]] = field(default_factory=dict)
     fid: str = FID
+    loose: bool = False  # predicates of points and boxes by bounds alone
     functions: dict = field(default_factory=dict)
 
 
@@ -366,7 +367,7 @@ class Parser:
             shifts = [0.0, *([360.0] if x1 > 180 else []), *([-360.0] if x0 < -180 else [])]
             any_of = lambda f: reduce(Column.__or__, map(f, shifts))
             inside = any_of(lambda s: native.in_box(lon, lat, x0 - s, y0, x1 - s, y1))
-            if rectangle and op == "INTERSECTS":
+            if (rectangle and op == "INTERSECTS") or (self.layout.loose and op != "DISJOINT"):
                 return inside
             if rectangle and op in ("WITHIN", "DISJOINT"):
                 return any_of(lambda s: (lon > x0 - s) & (lon < x1 - s) & (lat > y0) & (lat < y1)) if op == "WITHIN" else ~inside
@@ -379,6 +380,8 @@ class Parser:
             return exact if op == "DISJOINT" else inside & exact
         exact = column_function(f"st_{op.lower()}")(F.col(name), F.lit(G.to_wkb(value)))
         bounds = self.layout.bounds.get(name)
+        if self.layout.loose and bounds and op != "DISJOINT":
+            return native.boxes_meet(bounds, (x0, y0, x1, y1))
         return exact if op == "DISJOINT" or not bounds else native.boxes_meet(bounds, (x0, y0, x1, y1)) & exact
 
     def dwithin(self) -> Column:

@@ -13,7 +13,7 @@ from .functions import native, s2, sql
 from .functions.st import column_function as st
 from .functions.st import register
 from .operators import aggregates, joins, tracks
-from .plans.query import Query, routed, run
+from .plans.query import merged, Query, routed, run
 from .queries import _cust, _ev, _EV, _hav, _messages, _MSG, query
 from .sources import convert as conv
 from .sources import export, relation, storage
@@ -63,6 +63,39 @@ def storage_z2(spark: SparkSession, d: str) -> DataFrame:
     return storage.read(spark, path, box=((-20.0, -10.0, 40.0, 30.0), 6)).where(native.in_box("lon", "lat", -20.0, -10.0, 40.0, 30.0)).select("event_id")
 
 
+@query("SELECT n_nationkey FROM (SELECT n_nationkey, -180.0 + (n_nationkey % 5) * 72.0 AS x0, -90.0 + (n_nationkey // 5) * 36.0 AS y0 FROM nation) WHERE x0 <= 10 AND x0 + 72 >= -10 AND y0 <= 60 AND y0 + 36 >= 20")
+def storage_xz2(spark: SparkSession, d: str) -> DataFrame:
+    path, box = _folder(spark, "xz2"), (-10.0, 20.0, 10.0, 60.0)
+    storage.write(nation_boxes(spark, d), path, "xz2-8bits", bounds=("x0", "y0", "x1", "y1"))
+    return storage.read(spark, path, meets=(box, 8)).where(native.boxes_meet(("x0", "y0", "x1", "y1"), box)).select("n_nationkey")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id < 200 OR event_type = 'click' ORDER BY user_id DESC, event_id LIMIT 50")
+def merged_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """Two stores that share rows, each row once, in one order."""
+    ev = _ev(spark, d).select("event_id", "user_id", "event_type", "fid")
+    return merged([(ev, "user_id < 200"), (ev, "event_type = 'click'")], layout(ev), fid="event_id", sort=[("user_id", True), ("event_id", False)], limit=50).select("event_id", "user_id")
+
+
+@query("SELECT n_nationkey, count(*) AS n FROM {CU} JOIN (SELECT n_nationkey, -180.0 + (n_nationkey % 5) * 72.0 AS x0, -90.0 + (n_nationkey // 5) * 36.0 AS y0 FROM nation) ON lon BETWEEN x0 AND x0 + 72 AND lat BETWEEN y0 AND y0 + 36 GROUP BY 1")
+def join_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes dealt out by the cells of the points' grid."""
+    points = joins.grid_partition(_cust(spark, d), "lon", "lat", 16, "earth")[0]
+    boxes = joins.cover(nation_boxes(spark, d), ("x0", "y0", "x1", "y1"), joins.grid_boxes((-180.0, -90.0, 180.0, 90.0), 4))
+    return points.join(boxes, "cell").where(native.in_box("lon", "lat", "x0", "y0", "x1", "y1")).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id FROM {EV} WHERE lon BETWEEN 0 AND 60 AND lat BETWEEN 0 AND 60")
+def query_loose(spark: SparkSession, d: str) -> DataFrame:
+    ev = _ev(spark, d)
+    return run(ev, Query("INTERSECTS(geom, POLYGON((0 0, 60 0, 0 60, 0 0)))", loose=True), layout(ev)).select("event_id")
+
+
+@query("SELECT 'count' AS key, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n")
+def stats_merged(spark: SparkSession, d: str) -> DataFrame:
+    return _as_rows(spark, aggregates.merged_statistics([read(spark, d, "customer"), read(spark, d, "supplier")], "Count()"))
+
+
 @query("SELECT event_type AS partition, count(*) AS n, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM {EV} GROUP BY 1")
 def storage_metadata(spark: SparkSession, d: str) -> DataFrame:
     return storage.metadata(spark, _stored(spark, d, "attribute:event_type"), "lon", "lat")

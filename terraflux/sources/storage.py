@@ -15,15 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import native
+from ..functions.xz import XZ
 from .shared import filesystem
 
 #: Date patterns of the named layouts.
 DATE_LAYOUTS = {"minute": "yyyy/MM/dd/HH/mm", "hourly": "yyyy/MM/dd/HH", "daily": "yyyy/MM/dd", "monthly": "yyyy/MM", "yearly": "yyyy", "julian-minute": "yyyy/DDD/HH/mm", "julian-hourly": "yyyy/DDD/HH", "julian-daily": "yyyy/DDD"}
 
 
-def partition_value(scheme: str, *, time: str | None = None, lon: str | None = None, lat: str | None = None) -> Column:
-    """Column of a layout: a date layout, ``weekly``, ``z2-8bits``, ``attribute:name``, ``flat``, or
-    several of them joined by commas."""
+#: Layouts of one's own: name to a function of the names of the time, lon and lat columns.
+LAYOUTS: dict[str, Callable[[str | None, str | None, str | None], Column]] = {}
+
+
+def partition_value(scheme: str, *, time: str | None = None, lon: str | None = None, lat: str | None = None, bounds: tuple[str, str, str, str] | None = None) -> Column:
+    """Column of a layout: a date layout, ``weekly``, ``z2-8bits``, ``xz2-8bits`` (of the bounds columns of
+    extended shapes), ``attribute:name``, ``flat``, one of LAYOUTS, or several of them joined by commas."""
     parts = []
     for s in scheme.split(","):
         if s == "flat":
@@ -38,6 +43,10 @@ def partition_value(scheme: str, *, time: str | None = None, lon: str | None = N
             bits = int(s[3:-4])
             width = len(str(4 ** (bits // 2) - 1))
             parts.append(F.lpad(native.z2(lon, lat, bits // 2).cast("string"), width, "0"))
+        elif s.startswith("xz2-") and s.endswith("bits"):
+            parts.append(XZ.two(int(s[4:-4]) // 2).column(*map(F.col, bounds)).cast("string"))
+        elif s in LAYOUTS:
+            parts.append(LAYOUTS[s](time, lon, lat))
         elif s.startswith("attribute:"):
             parts.append(F.coalesce(F.col(s.partition(":")[2]).cast("string"), F.lit("")))
         else:
@@ -109,11 +118,11 @@ def _written(df: DataFrame, path: str, records: int = 0) -> tuple[str, list[str]
     return gen, sorted(n for f in fs.listStatus(make(f"{path}/gen={gen}")) if (n := f.getPath().getName()).startswith("partition="))
 
 
-def write(df: DataFrame, path: str, scheme: str, *, time: str | None = None, lon: str | None = None, lat: str | None = None, records: int = 0, mode: str = "append", sort: bool = True) -> None:
+def write(df: DataFrame, path: str, scheme: str, *, time: str | None = None, lon: str | None = None, lat: str | None = None, bounds: tuple[str, str, str, str] | None = None, records: int = 0, mode: str = "append", sort: bool = True) -> None:
     """Write by layout, rows of a partition in z-order, files of at most ``records`` rows. mode:
     append, or overwrite for a table of these rows only."""
     spark, path = df.sparkSession, path.rstrip("/")
-    out = df.withColumn("partition", F.replace(partition_value(scheme, time=time, lon=lon, lat=lat), F.lit("/"), F.lit("_")))
+    out = df.withColumn("partition", F.replace(partition_value(scheme, time=time, lon=lon, lat=lat, bounds=bounds), F.lit("/"), F.lit("_")))
     if lon and lat and sort:
         # partitions in parallel by place too: a hot partition is cut by its z-order
         out = out.withColumn("__z", native.z2(lon, lat)).repartitionByRange("partition", "__z").sortWithinPartitions("partition", "__z").drop("__z")
@@ -139,9 +148,9 @@ def _read(spark: SparkSession, path: str, at: Manifest, keep: Callable[[str | No
     return spark.read.schema(fields).option("basePath", path).parquet(*folders).select(*schema.names)
 
 
-def read(spark: SparkSession, path: str, *, days: tuple[datetime, datetime] | None = None, box: tuple[tuple, int] | None = None, partitions: list[str] | None = None) -> DataFrame:
-    """Read back the newest version; ``days`` (of a daily layout), ``box`` (bounds, bits; of a z2 layout)
-    or a list of partitions prune the folders that are listed and read."""
+def read(spark: SparkSession, path: str, *, days: tuple[datetime, datetime] | None = None, box: tuple[tuple, int] | None = None, meets: tuple[tuple, int] | None = None, partitions: list[str] | None = None) -> DataFrame:
+    """Read back the newest version; ``days`` (of a daily layout), ``box`` (bounds, bits; of a z2 layout),
+    ``meets`` (the same of an xz2 layout) or a list of partitions prune the folders that are listed and read."""
     path = path.rstrip("/")
     at = manifest(spark, path)
     if at is None:
@@ -153,6 +162,10 @@ def read(spark: SparkSession, path: str, *, days: tuple[datetime, datetime] | No
     if box:
         cells = set(z2_cells(*box))
         tests.append(cells.__contains__)
+    if meets:
+        (x0, y0, x1, y1), bits = meets
+        ranges = XZ.two(bits // 2).ranges((x0, y0), (x1, y1))
+        tests.append(lambda v: any(a <= int(v) <= b for a, b in ranges))
     if partitions is not None:
         tests.append(set(partitions).__contains__)
     return _read(spark, path, at, (lambda v: v is not None and all(t(v) for t in tests)) if tests else None)

@@ -375,3 +375,23 @@ def test_live_table_expires_and_processes(spark, tmp_path):
     live.process(stream, handler, str(tmp_path / "p"), pause_s=0.01).awaitTermination()
     n = len(spark.read.parquet(str(tmp_path / "in")).inputFiles())
     assert len(seen) == n + (1 if n > 1 else 0) and seen[-1] <= 8 and (n < 2 or seen[1] > seen[0])
+
+
+def test_bounds_that_guards_see():
+    from terraflux.plans.query import _bounds
+
+    box, other = "BBOX(geom, 0, 0, 10, 10)", "BBOX(geom, 0, 0, 2, 2)"
+    day, week = "dtg DURING 2024-01-01T00:00:00Z/P1D", "dtg DURING 2024-01-01T00:00:00Z/P7D"
+    assert _bounds(f"{box} AND {day}") == (100.0, timedelta(days=1))
+    assert _bounds(f"({box} OR {other}) AND ({day} OR {week})") == (104.0, timedelta(days=7))
+    assert _bounds(f"{box} OR a = 1") == (None, None) and _bounds(f"NOT ({box})") == (None, None)
+    assert _bounds(f"{box} AND {other} AND a BETWEEN 1 AND 2 AND b = ' or '") == (4.0, None)
+    assert _bounds("INTERSECTS(geom, POLYGON((0 0, 4 0, 4 5, 0 0)))")[0] == 20.0
+
+
+def test_audits_and_property_names(spark):
+    told: list = []
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "fid int, x double, y double")
+    run(df, Query("x = 2", limit=5, audits=[told.append]), Layout(df.schema, points={"geom": ("x", "y")}, fid="fid"))
+    assert told[0]["filter"] == "x = 2" and told[0]["hints"] == {"limit": 5}
+    assert aggregates.property_names("Count();MinMax(a);GroupBy(b,Histogram(c,3,0,9);MinMax(a));DescriptiveStats(d,e);Z3Histogram(g,h,week,4)") == ["a", "b", "c", "d", "e", "g", "h"]
