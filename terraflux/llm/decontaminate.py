@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, free_name, map_rows, table, texts, words_of
+from .common import bounded_batches, map_rows, table, texts, words_of
 
 U = np.uint64
 LEAST_WORDS = 5
@@ -285,9 +285,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, want: bool = True, *, si
     (``want`` false) the rest. Cases as there; a null text holds none, and columns of any
     other name play no part."""
     bounded_batches(docs.sparkSession)
-    mark = free_name(docs.columns, "found")
-    text_at = docs.columns.index("text")
-    out = docs
+    text_at, mark = docs.columns.index("text"), "found"
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = list(out.schema)
     for sent in indexes(benchmark, similarity, block, block_words):
 
         def run(batches, sent=sent):
@@ -300,8 +300,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, want: bool = True, *, si
                     b = b.drop_columns([mark])
                 yield b.append_column(mark, pa.array(found))
 
-        out = out.mapInArrow(run, T.StructType([*docs.schema, T.StructField(mark, T.BooleanType())]))
-    return out.where(F.col(mark) == want).drop(mark)
+        out = out.mapInArrow(run, T.StructType([*kept, T.StructField(mark, T.BooleanType())]))
+    return out.where(F.col(mark) == want).drop(mark).toDF(*docs.columns)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, block: int = 20_000, block_words: int = 1_000_000) -> DataFrame:

@@ -786,6 +786,35 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path, items):
     assert {r.doc_id: r.decoded for r in got.collect()} == dict(clean)
 
 
+def test_pipeline_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(35)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(4000)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    long = "\n".join(text(40) for _ in range(4000))  # a megabyte
+    rows = [(i, text(60), None, None) for i in range(30)] + [(None, text(60), "en", None), (40, None, None, "s"), (41, "", "en", "s"), (42, long, "en", "s"), (0, None, None, None)]
+    extra = "quality string, line_dedup int, found boolean, __found boolean, __hash long, hash long, n int, `a.b` int"
+    plain = spark.createDataFrame([(*r, "q", 1, True, True, 5, 6, 7, 8) for r in rows], "doc_id long, text string, lang string, source string, " + extra)
+    plain.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (3, text(20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == plain.columns, name
+        docs = corpus_pipeline.materialise(docs, name)
+    got = docs.collect()
+    assert {r.doc_id for r in got} == {*range(30), None, 42} and len(got) == 32
+    assert all((r.quality, r.line_dedup, r.found, r["__found"], r["__hash"], r.hash, r.n, r["a.b"]) == ("q", 1, True, True, 5, 6, 7, 8) for r in got)
+    assert {r.doc_id: r.decoded for r in corpus_pipeline.sentencepiece(spark, docs, str(tmp_path)).collect()}[42] == long
+    (tmp_path / "none").mkdir()
+    plain.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    for name, stage in corpus_pipeline.STAGES:  # each alone over all rows, nulls among them
+        assert stage(spark, plain, str(tmp_path)).count() > 0, name
+
+
 def test_buckets_of_ids(spark):
     d = spark.createDataFrame([(5,), (None,)], "doc_id long")
     got = [r[0] for r in d.select(bucket_of(F.col("doc_id"), 7)).collect()]
