@@ -2,8 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is all that its predecessor
 kept, and calls one operator of ``terraflux.llm``. Every stage but the last
-returns the columns of docs. ``run`` applies them one after another, each on the
+returns the columns of docs, whatever their names; they need doc_id and text, the
+first also lang and source. ``run`` applies them one after another, each on the
 written table of the one before.
+
+Nulls in lang, source and n_chars stay as they are. Null and empty texts fail the
+quality rules; in later stages alone a null text stays null, holds no benchmark item,
+has the fingerprint 0 and is encoded as an empty one. Rows with a null doc_id are
+documents like any other, repeated rows are copies of each other, of which the near-dedup
+stage keeps one. Texts of any length pass whole. Empty tables give empty tables.
 """
 
 from __future__ import annotations
