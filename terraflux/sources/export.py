@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import struct
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -89,6 +90,20 @@ def leaflet(features: list[str], title: str = "features") -> str:
     return f'<!doctype html><title>{html.escape(title)}</title><div id="map" style="height:100vh"></div><script>const data=[{",".join(features)}];</script>'
 
 
+def records(df: DataFrame, form: str = "dicts", lon: str | None = None, lat: str | None = None) -> Iterator:
+    """Rows one after another on the driver, a partition at a time: "values" (of the first column),
+    "tuples", "dicts", or "geojson" (features as dictionaries, of the point in lon and lat)."""
+    if form not in ("values", "tuples", "dicts", "geojson"):
+        raise ValueError(f"no such form: {form}")
+    for r in df.toLocalIterator():
+        d = r.asDict(recursive=True)
+        if form == "geojson":
+            place = None if d.get(lon) is None or d.get(lat) is None else {"type": "Point", "coordinates": [d[lon], d[lat]]}
+            yield {"type": "Feature", "geometry": place, "properties": {k: v for k, v in d.items() if k not in (lon, lat)}}
+        else:
+            yield r[0] if form == "values" else tuple(r) if form == "tuples" else d
+
+
 def write(df: DataFrame, path: str, form: str, mode: str = "overwrite") -> None:
     """csv, tsv, json, parquet, orc, or null (which runs the query and keeps nothing)."""
     if form in ("csv", "tsv"):

@@ -395,3 +395,26 @@ def test_audits_and_property_names(spark):
     run(df, Query("x = 2", limit=5, audits=[told.append]), Layout(df.schema, points={"geom": ("x", "y")}, fid="fid"))
     assert told[0]["filter"] == "x = 2" and told[0]["hints"] == {"limit": 5}
     assert aggregates.property_names("Count();MinMax(a);GroupBy(b,Histogram(c,3,0,9);MinMax(a));DescriptiveStats(d,e);Z3Histogram(g,h,week,4)") == ["a", "b", "c", "d", "e", "g", "h"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from terraflux.__main__ import main
+
+    (tmp_path / "in.csv").write_text("id,x,y,day\n" + "".join(f"{i},{i * 2},{i},2024-01-0{1 + i % 3}\n" for i in range(1, 10)) + "bad,z,1,2024-01-01\n")
+    fields = [["id", "$1::long"], ["lon", "$2::double"], ["lat", "$3::double"], ["dtg", "isoDate($4)"]]
+    (tmp_path / "c.json").write_text(json.dumps({"type": "delimited-text", "fields": fields, "id": "$1", "options": {"skip-lines": "1"}, "validators": ["cql: lon > 0"]}))
+    table, say = str(tmp_path / "t"), lambda *a: (main(list(a), spark), capsys.readouterr())[1]
+    assert say("ingest", table, str(tmp_path / "in.csv"), str(tmp_path / "c.json"), "--scheme", "daily", "--time", "dtg").err.splitlines()[-1] == "1 rows refused"
+    assert "lon\tdouble" in say("describe", table).out and say("partitions", table).out.splitlines() == ["2024_01_01\t3", "2024_01_02\t3", "2024_01_03\t3"]
+    assert say("count", table, "--filter", "BBOX(geom, 0, 0, 8, 90)").out == "4\n"
+    assert json.loads(say("stats", table, "MinMax(id)").out)["max"] == 9
+    say("delete", table, "id", "--filter", "id > 7")
+    say("compact", table)
+    assert say("count", table).out == "7\n" and int(say("vacuum", table).out) > 0
+    say("export", table, str(tmp_path / "out"), "--format", "geojson", "--columns", "id,lon,lat", "--limit", "2")
+    assert all(json.loads(r.value)["geometry"]["type"] == "Point" for r in spark.read.text(str(tmp_path / "out")).collect())
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, lon double, lat double")
+    assert [list(export.records(df, f)) for f in ("values", "tuples", "dicts")] == [[1], [(1, 2.0, 3.0)], [{"id": 1, "lon": 2.0, "lat": 3.0}]]
+    assert next(export.records(df, "geojson", "lon", "lat")) == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [2.0, 3.0]}, "properties": {"id": 1}}
