@@ -148,7 +148,23 @@ def _attributes(name: str, args: list) -> list[str]:
     return [a for a in args[:used] if isinstance(a, str)]
 
 
+_DIGITS36 = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def text_number(c: Column) -> Column:
+    """A text's place between 0 and 1: its first eight characters as digits to the base of 36, small and
+    capital letters alike; others count 0."""
+    digit = lambda k: F.greatest(F.instr(F.lit(_DIGITS36), F.lower(F.substring(c, k, 1))) - 1, F.lit(0))
+    return sum((F.when(F.length(c) >= k, digit(k)).otherwise(0) * F.lit(36.0**-k) for k in range(1, 9)), F.lit(0.0)) + F.when(c.isNull(), F.lit(None).cast("double")).otherwise(0.0)
+
+
+def text_bound(text: str) -> float:
+    return sum(max(0, _DIGITS36.find(x)) * 36.0**-k for k, x in enumerate(text.lower()[:8], 1))
+
+
 def _number(c: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return text_number(F.col(c))
     return F.unix_millis(F.col(c).cast("timestamp")).cast("double") if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType) else F.col(c).cast("double")
 
 
@@ -167,6 +183,17 @@ def widened(df: DataFrame, column: str, low: float, high: float) -> tuple[float,
     return (low, high) if seen[0] is None else (min(low, seen[0]), max(high, seen[1]))
 
 
+def place_histogram(df: DataFrame, lon: str, lat: str, bins: int, bounds: tuple[float, float, float, float] = (-180.0, -90.0, 180.0, 90.0)) -> DataFrame:
+    """(bin, n) of points over ranges of equal width of z2 between the corners of bounds."""
+    cell = lambda v, size: min((1 << 31) - 1, int(v / size * (1 << 31)))
+    corner = lambda x, y: sum((cell(x + 180, 360) >> k & 1) << 2 * k | (cell(y + 90, 180) >> k & 1) << 2 * k + 1 for k in range(31))
+    low, high = corner(*bounds[:2]), corner(*bounds[2:])
+    width = (high - low) // bins + 1
+    z = native.z2(lon, lat)
+    at = F.least(F.greatest(F.floor((z - F.lit(low)) / F.lit(float(width))), F.lit(0)), F.lit(bins - 1)).cast("int")
+    return df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float, keys: list[str] | None = None) -> DataFrame:
     """(keys, bin, n) over bins of equal width. Values outside widen the range to the data's own
     bounds first (the result doesn't depend on order); nulls are skipped."""
@@ -253,7 +280,8 @@ def _one(df: DataFrame, name: str, args: list, lon: str | None, lat: str | None)
         r = df.where(F.col(args[0]).isNotNull()).agg(F.count_min_sketch(F.col(args[0]).cast("string"), F.lit(eps), F.lit(0.95), F.lit(1)), F.count(F.lit(1))).first()
         return {"eps": eps, "confidence": 0.95, "size": r[1], "sketch": bytes(r[0]).hex() if r[0] is not None else ""}
     if name == "Histogram":
-        bins, low, high = int(args[1]), *[float(x) if re.fullmatch(r"[-+.\deE]+", x) else datetime.fromisoformat(x.replace("Z", "+00:00")).timestamp() * 1000 for x in args[2:4]]
+        text = isinstance(df.schema[args[0]].dataType, T.StringType)
+        bins, low, high = int(args[1]), *[text_bound(x) if text else float(x) if re.fullmatch(r"[-+.\deE]+", x) else datetime.fromisoformat(x.replace("Z", "+00:00")).timestamp() * 1000 for x in args[2:4]]
         low, high = widened(df, args[0], low, high)
         counts = {r["bin"]: r["n"] for r in histogram(df, args[0], bins, low, high).collect()}
         return {"lower-bound": low, "upper-bound": high, "bins": [counts.get(i, 0) for i in range(bins)]}

@@ -32,6 +32,7 @@ _TOKEN = re.compile(
 )
 _UNITS = {"meters": 1.0, "metre": 1.0, "metres": 1.0, "m": 1.0, "kilometers": 1000.0, "km": 1000.0, "feet": 0.3048, "statute miles": 1609.347, "nautical miles": 1852.0}
 _SPATIAL = ("INTERSECTS", "CONTAINS", "WITHIN", "OVERLAPS", "CROSSES", "TOUCHES", "DISJOINT", "EQUALS")
+_TEMPORAL = ("BEFORE", "AFTER", "DURING", "TEQUALS", "BEGINS", "BEGUNBY", "ENDS", "ENDEDBY", "MEETS", "METBY", "TOVERLAPS", "OVERLAPPEDBY", "TCONTAINS", "ANYINTERACTS")
 _GEOMETRY_WORDS = {k.upper() for k in G.KINDS}
 
 
@@ -168,7 +169,7 @@ class Parser:
             not_null = self.has("NOT")
             self.take("NULL")
             out = left.isNotNull() if not_null else left.isNull()
-        elif word in ("BEFORE", "AFTER", "DURING", "TEQUALS"):
+        elif word in _TEMPORAL:
             out = self.temporal(left)
         else:
             op = self.take("=", "<>", "!=", "<", "<=", ">", ">=")
@@ -178,11 +179,23 @@ class Parser:
         return ~out if no else out
 
     def temporal(self, left: Column) -> Column:
+        """An instant against an instant or a period, whose ends are its begin and end."""
         op = self.take().upper()
-        a, b = self.interval() if op == "DURING" else (self.instant(), None)
-        if op == "DURING":
-            return (left > a) & (left < b)
-        return left < a if op == "BEFORE" else left > a if op == "AFTER" else left == a
+        if self.peek() == "OR" and self.peek(1) in ("DURING", "AFTER"):
+            self.take()
+            op += " OR " + self.take().upper()
+        period = op not in ("BEFORE", "AFTER", "TEQUALS") or self.peek(1) == "/"
+        if not period:
+            a = self.instant()
+            return left < a if op == "BEFORE" else left > a if op == "AFTER" else left == a
+        a, b = self.interval()
+        tests = {
+            "BEFORE": lambda: left < a, "AFTER": lambda: left > b, "DURING": lambda: (left > a) & (left < b), "BEFORE OR DURING": lambda: left < b, "DURING OR AFTER": lambda: left > a,
+            "BEGINS": lambda: left == a, "MEETS": lambda: left == a, "ENDS": lambda: left == b, "METBY": lambda: left == b, "ANYINTERACTS": lambda: (left >= a) & (left <= b), "TEQUALS": lambda: (left == a) & (left == b),
+            # what only periods can be to each other
+            "TOVERLAPS": lambda: F.lit(False), "OVERLAPPEDBY": lambda: F.lit(False), "TCONTAINS": lambda: F.lit(False), "BEGUNBY": lambda: F.lit(False), "ENDEDBY": lambda: F.lit(False),
+        }
+        return tests[op]()
 
     def instant(self) -> Column:
         return F.lit(self.time(self.take()))

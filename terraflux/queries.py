@@ -111,6 +111,10 @@ _filter_query("filter_within", "WITHIN(geom, POLYGON((-50 -50, -50 50, 50 50, 50
 _filter_query("filter_disjoint", "DISJOINT(geom, POLYGON((-150 -80, -150 80, 150 80, 150 -80, -150 -80)))", "NOT (lon BETWEEN -150 AND 150 AND lat BETWEEN -80 AND 80)")
 
 
+_filter_query("filter_before_period", "ts BEFORE 2024-01-08T00:00:00Z/P5D", "ts < TIMESTAMP '2024-01-08'")
+_filter_query("filter_after_period", "ts AFTER 2024-01-08T00:00:00Z/2024-01-12T00:00:00Z", "ts > TIMESTAMP '2024-01-12'")
+_filter_query("filter_before_or_during", "ts BEFORE OR DURING 2024-01-08T00:00:00Z/P5D AND NOT (ts DURING OR AFTER 2024-01-06T00:00:00Z/P1D)", "ts < TIMESTAMP '2024-01-13' AND NOT (ts > TIMESTAMP '2024-01-06')")
+_filter_query("filter_any_interacts", "ts ANYINTERACTS 2024-01-08T00:00:00Z/P5D", "ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-13'")
 _filter_query("filter_touches", "TOUCHES(geom, POLYGON((0 0, 60 0, 0 60, 0 0)))", "(lon = 0 AND lat BETWEEN 0 AND 60) OR (lat = 0 AND lon BETWEEN 0 AND 60) OR (lon >= 0 AND lat >= 0 AND lon + lat = 60)")
 _filter_query("filter_polygon_antimeridian", "INTERSECTS(geom, POLYGON((170 -30, 200 -30, 185 30, 170 -30)))", "lat BETWEEN -30 AND 30 AND (CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) * 4 BETWEEN 170 * 4 + lat + 30 AND 200 * 4 - lat - 30")
 _filter_query("filter_multipolygon", "INTERSECTS(geom, MULTIPOLYGON(((-100 -50, -50 -50, -50 0, -100 -50)), ((10 10, 90 10, 90 80, 10 80, 10 10), (30 30, 60 30, 60 60, 30 60, 30 30))))", "(lon <= -50 AND lat >= -50 AND lat <= lon + 50) OR (lon BETWEEN 10 AND 90 AND lat BETWEEN 10 AND 80 AND NOT (lon > 30 AND lon < 60 AND lat > 30 AND lat < 60))")

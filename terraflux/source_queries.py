@@ -17,6 +17,7 @@ from .plans.query import merged, Query, routed, run
 from .queries import _cust, _ev, _EV, _hav, _messages, _MSG, query
 from .sources import convert as conv
 from .sources import export, relation, storage
+from .sources.documents import GeoJsonIndex
 from .sources.shared import shared_dir
 from .sources.tables import layout, nation_boxes, read
 from .streaming import live
@@ -96,6 +97,34 @@ def stats_merged(spark: SparkSession, d: str) -> DataFrame:
     return _as_rows(spark, aggregates.merged_statistics([read(spark, d, "customer"), read(spark, d, "supplier")], "Count()"))
 
 
+@query("SELECT c_custkey, c_mktsegment AS segment FROM {CU} WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -45 AND 45 AND c_mktsegment = 'BUILDING' AND c_custkey > 20")
+def documents_by_example(spark: SparkSession, d: str) -> DataFrame:
+    """GeoJSON documents added, updated, deleted and queried."""
+    index = GeoJsonIndex(spark, _folder(spark, "documents"))
+    place, props = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")), F.struct("c_mktsegment", "c_custkey")
+    docs = _cust(spark, d).select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("c_custkey").cast("string").alias("id"), place.alias("geometry"), props.alias("properties"))).alias("json"), "c_custkey")
+    index.add(docs.select(F.when(F.col("c_custkey") <= 100, F.replace("json", F.lit("BUILDING"), F.lit("OTHER"))).otherwise(F.col("json")).alias("json")))
+    index.update(docs.where("c_custkey <= 100").select("json"))
+    index.delete(docs.where("c_custkey <= 20").select(F.col("c_custkey").cast("string").alias("id")))
+    example = {"geom": {"$bbox": [-60, -45, 60, 45]}, "properties.c_mktsegment": "BUILDING"}
+    return index.query(example, {"segment": "$.properties.c_mktsegment"}).select(F.col("id").cast("long").alias("c_custkey"), "segment")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id = 7")
+def storage_attribute_index(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "stored")
+    storage.write(_ev(spark, d).select("event_id", "user_id", "ts"), path, "monthly", time="ts", index="user_id")
+    return storage.read(spark, path).where("user_id = 7").select("event_id", "user_id")
+
+
+@query("SELECT event_id FROM {EV} WHERE lon BETWEEN -20 AND 35 AND lat BETWEEN 10 AND 50 AND ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-13'")
+def storage_z3_index(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "stored")
+    storage.write(_ev(spark, d).select("event_id", "ts", "lon", "lat"), path, "flat", time="ts", lon="lon", lat="lat", index="z3")
+    near = native.in_box("lon", "lat", -20.0, 10.0, 35.0, 50.0) & (F.col("ts") >= "2024-01-11") & (F.col("ts") < "2024-01-13")
+    return storage.read(spark, path).where(near).select("event_id")
+
+
 @query("SELECT event_type AS partition, count(*) AS n, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM {EV} GROUP BY 1")
 def storage_metadata(spark: SparkSession, d: str) -> DataFrame:
     return storage.metadata(spark, _stored(spark, d, "attribute:event_type"), "lon", "lat")
@@ -328,6 +357,26 @@ def stats_group_by_counts(spark: SparkSession, d: str) -> DataFrame:
     return _as_rows(spark, {k: v[0]["count"] for k, v in got.items()})
 
 
+_TEXT36 = " + ".join(f"CASE WHEN length(s) >= {k} THEN greatest(position(lower(substr(s, {k}, 1)) IN '0123456789abcdefghijklmnopqrstuvwxyz') - 1, 0) ELSE 0 END * pow(36.0, -{k})" for k in range(1, 9))
+
+
+@query("WITH v AS (SELECT " + _TEXT36 + " AS v FROM (SELECT p_type AS s FROM part)), b AS (SELECT least(0.0, min(v)) AS lo, greatest(35 / 36.0, max(v)) AS hi FROM v) SELECT least(floor((v - lo) * 10 / (hi - lo)), 9)::INT AS bin, count(*) AS n FROM v, b GROUP BY 1")
+def stats_histogram_text(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.histogram(read(spark, d, "part"), "p_type", 10, aggregates.text_bound("0"), aggregates.text_bound("z"))
+
+
+@query("SELECT (CASE WHEN lon >= 0 THEN 1 ELSE 0 END + CASE WHEN lat >= 0 THEN 2 ELSE 0 END)::INT AS bin, count(*) AS n FROM {CU} GROUP BY 1")
+def stats_histogram_places(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.place_histogram(_cust(spark, d), "lon", "lat", 4)
+
+
+@query("SELECT epoch_ms(l_shipdate) // 86400000 // 100 AS part, count(*) AS n FROM lineitem GROUP BY 1")
+def stats_histogram_dates(spark: SparkSession, d: str) -> DataFrame:
+    """A histogram over dates whose bins are 100 days."""
+    got = aggregates.histogram(read(spark, d, "lineitem"), "l_shipdate", 400, 0.0, 400 * 8_640_000_000.0)
+    return got.select(F.col("bin").cast("long").alias("part"), "n")
+
+
 @query("SELECT i::INT AS i, j::INT AS j, 1.0::DOUBLE AS weight FROM range(0, 72) a(i), range(0, 36) b(j)")
 def density_areas(spark: SparkSession, d: str) -> DataFrame:
     boxes = nation_boxes(spark, d).withColumn("box", st("st_makebbox")("x0", "y0", "x1", "y1"))

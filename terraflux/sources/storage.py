@@ -109,25 +109,35 @@ def _switch(spark: SparkSession, path: str, old: Manifest | None, new: Manifest)
         raise RuntimeError(f"{path} has been changed by another writer")
 
 
-def _written(df: DataFrame, path: str, records: int = 0) -> tuple[str, list[str]]:
+def _written(df: DataFrame, path: str, records: int = 0, bloom: str | None = None) -> tuple[str, list[str]]:
     """Write rows with a column ``partition`` as a new gen; its name and the folders it has."""
     gen = uuid.uuid4().hex
     w = df.write.partitionBy("partition")
+    if bloom:
+        w = w.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
     (w.option("maxRecordsPerFile", records) if records else w).parquet(f"{path}/gen={gen}")
     fs, make = filesystem(df.sparkSession, path)
     return gen, sorted(n for f in fs.listStatus(make(f"{path}/gen={gen}")) if (n := f.getPath().getName()).startswith("partition="))
 
 
-def write(df: DataFrame, path: str, scheme: str, *, time: str | None = None, lon: str | None = None, lat: str | None = None, bounds: tuple[str, str, str, str] | None = None, records: int = 0, mode: str = "append", sort: bool = True) -> None:
+def write(df: DataFrame, path: str, scheme: str, *, time: str | None = None, lon: str | None = None, lat: str | None = None, bounds: tuple[str, str, str, str] | None = None, records: int = 0, mode: str = "append", sort: bool = True, index: str | None = None) -> None:
     """Write by layout, rows of a partition in z-order, files of at most ``records`` rows. mode:
-    append, or overwrite for a table of these rows only."""
+    append, or overwrite for a table of these rows only. index: "z3" orders the rows of a partition by
+    week and z3, a column's name by it, with a Bloom filter for equality; so filters skip row groups."""
     spark, path = df.sparkSession, path.rstrip("/")
     out = df.withColumn("partition", F.replace(partition_value(scheme, time=time, lon=lon, lat=lat, bounds=bounds), F.lit("/"), F.lit("_")))
-    if lon and lat and sort:
+    if index:
+        keys = [F.col(index)]
+        if index == "z3":
+            week, offset, whole = native.time_bin(F.col(time), "week")
+            keys = [week, native.z3(lon, lat, offset, whole)]
+        names = [f"__k{i}" for i in range(len(keys))]
+        out = out.withColumns(dict(zip(names, keys))).repartitionByRange("partition", *names).sortWithinPartitions("partition", *names).drop(*names)
+    elif lon and lat and sort:
         # partitions in parallel by place too: a hot partition is cut by its z-order
         out = out.withColumn("__z", native.z2(lon, lat)).repartitionByRange("partition", "__z").sortWithinPartitions("partition", "__z").drop("__z")
     old = manifest(spark, path)
-    gen, folders = _written(out, path, records)
+    gen, folders = _written(out, path, records, index if index and index != "z3" else None)
     partitions = {} if mode == "overwrite" or old is None else {k: list(v) for k, v in old.partitions.items()}
     for f in folders:
         partitions.setdefault(f, []).append(gen)
