@@ -368,7 +368,9 @@ def _rows(spark: SparkSession, conv: Converter, path: str) -> tuple[DataFrame, l
         lines, skip, named = spark.read.text(path), int(opt.get("skip-lines", "0")), {}
         if skip or any("lineno(" in e.lower().replace(" ", "") for e in (conv.id or "", conv.filter or "", *(f[1] for f in conv.fields))):
             lines, number = _numbered(lines)
-            lines, named = lines.where(number > skip), {LINE: number}  # the first lines of each file
+            # the first lines of each file go; they are null before, since what is read of a line may be tested first
+            lines = lines.where(number > skip).withColumns({"value": F.when(number > skip, F.col("value")), "__line": number})
+            named = {LINE: F.col("__line")}
         n = int(opt.get("columns", "64"))
         names = [f"_c{i}" for i in range(n)]
         parsed = lines.withColumn("r", F.from_csv("value", ", ".join(f"{c} string" for c in names), {"sep": sep, "quote": opt.get("quote", '"'), "escape": opt.get("escape", '"'), "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"}))
