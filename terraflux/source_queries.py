@@ -14,7 +14,7 @@ from .functions.st import column_function as st
 from .functions.st import register
 from .operators import aggregates, joins, tracks
 from .plans.query import merged, Query, routed, run
-from .queries import _cust, _ev, _EV, _hav, _messages, _MSG, query
+from .queries import _cust, _ev, _EV, _hav, _messages, _MSG, _supp, query
 from .sources import convert as conv
 from .sources import export, relation, storage
 from .sources.documents import GeoJsonIndex
@@ -195,6 +195,44 @@ def convert_composite(spark: SparkSession, d: str) -> DataFrame:
     return good.select("o_orderkey", "state")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def convert_composite_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))).alias("value"))
+    of = lambda state: conv.Converter("json", [("o_orderkey", "jsonPath('$.k', $0)::long"), ("state", f"toString('{state}')")], id="jsonPath('$.k', $0)")
+    good, _ = conv.composite(rows, [F.col("value")], [("jsonPath('$.s', $0) == 'F'", of("done")), ("jsonPath('$.s', $0) == 'O'", of("open"))])
+    return good.select("o_orderkey", "state")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey < 10 THEN 'low' ELSE 'high' END AS half FROM nation")
+def convert_composite_xml(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "nation").select(F.concat(F.lit("<n><k>"), F.col("n_nationkey").cast("string"), F.lit("</k></n>")).alias("value"))
+    of = lambda half: conv.Converter("xml", [("n_nationkey", "xpath('/n/k', $0)::int"), ("half", f"toString('{half}')")], id="xpath('/n/k', $0)")
+    good, _ = conv.composite(rows, [F.col("value")], [("xpath('/n/k', $0)::int < 10", of("low")), ("xpath('/n/k', $0)::int >= 10", of("high"))])
+    return good.select("n_nationkey", "half")
+
+
+@query("SELECT DISTINCT s_suppkey FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY m, s_suppkey) AS r FROM (SELECT c_custkey, s_suppkey, " + _hav("c.lat", "s.lat", "s.lon - c.lon") + " AS m FROM {CU} c JOIN {SU} s ON true) WHERE m <= 1500000) WHERE r <= 2")
+def join_nearest_set(spark: SparkSession, d: str) -> DataFrame:
+    return joins.nearest_set(_cust(spark, d), _supp(spark, d), ("lon", "lat"), ("s_lon", "s_lat"), "c_custkey", "s_suppkey", 2, 1_500_000.0).select("s_suppkey")
+
+
+@query("SELECT f AS format, count(*) AS n, count(CASE WHEN s_suppkey % 2 = 0 THEN 1 END) AS noted FROM supplier, (SELECT unnest(['csv', 'default', 'excel', 'rfc4180', 'quoted', 'quote_escape', 'quoted_with_quote_escape', 'quoted_minimal', 'tdf', 'tsv', 'tab', 'tsv_quoted_minimal', 'mysql']) AS f) GROUP BY 1")
+def convert_named_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that come back from each named form, with separators and quotes within values."""
+    out = None
+    for name, (sep, quote, _, none) in conv.FORMATS.items():
+        text = F.concat(F.lit("a" + (sep if none is None else " ") + "\"b\" "), F.col("s_name"))
+        put = F.concat(F.lit(quote), F.replace(text, F.lit('"'), F.lit('""')), F.lit(quote)) if none is None else text
+        note = F.when(F.col("s_suppkey") % 2 == 0, "x").otherwise(none or "")
+        lines = read(spark, d, "supplier").select(F.concat_ws(sep, F.col("s_suppkey").cast("string"), put, note))
+        fields = [("s_suppkey", "$1::long"), ("said", "$2"), ("note", "emptyToNull($3)")]
+        got = _converted_file(spark, lines, conv.Converter("delimited-text", fields, id="$1", options={"format": name.upper()}))
+        same = got.join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), text.alias("want")), F.col("s_suppkey") == F.col("k")).where("said = want")
+        part = same.agg(F.count(F.lit(1)).alias("n"), F.count("note").alias("noted")).select(F.lit(name).alias("format"), "n", "noted")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("SELECT line AS n, c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS line FROM customer)")
 def convert_line_numbers(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "lines")

@@ -360,11 +360,21 @@ class Converter:
     widths: list[tuple[int, int]] = field(default_factory=list)  # fixed width: (start, length)
 
 
+_COMMA, _TAB = (",", '"', '"', None), ("\t", '"', '"', None)
+#: Named forms of delimited text: separator, quote, escape, mark of a null.
+FORMATS = {
+    **dict.fromkeys(("csv", "default", "excel", "rfc4180", "quoted", "quote_escape", "quoted_with_quote_escape", "quoted_minimal"), _COMMA),
+    **dict.fromkeys(("tdf", "tsv", "tab", "tsv_quoted_minimal"), _TAB),
+    "mysql": ("\t", "\0", "\\", "\\N"),
+}
+
+
 def _rows(spark: SparkSession, conv: Converter, path: str) -> tuple[DataFrame, list[Column], dict[str, Column]]:
     """(rows, columns by position, columns by name)."""
     opt = conv.options
     if conv.type == "delimited-text":
-        sep = {"csv": ",", "default": ",", "tsv": "\t", "tdf": "\t", "excel": ",", "quoted": ","}.get(opt.get("format", "csv").lower(), opt.get("delimiter", ","))
+        sep, quote, escape, none = FORMATS[opt.get("format", "csv").lower()]
+        sep, quote, escape = opt.get("delimiter", sep), opt.get("quote", quote), opt.get("escape", escape)
         lines, skip, named = spark.read.text(path), int(opt.get("skip-lines", "0")), {}
         if skip or any("lineno(" in e.lower().replace(" ", "") for e in (conv.id or "", conv.filter or "", *(f[1] for f in conv.fields))):
             lines, number = _numbered(lines)
@@ -373,7 +383,7 @@ def _rows(spark: SparkSession, conv: Converter, path: str) -> tuple[DataFrame, l
             named = {LINE: F.col("__line")}
         n = int(opt.get("columns", "64"))
         names = [f"_c{i}" for i in range(n)]
-        parsed = lines.withColumn("r", F.from_csv("value", ", ".join(f"{c} string" for c in names), {"sep": sep, "quote": opt.get("quote", '"'), "escape": opt.get("escape", '"'), "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"}))
+        parsed = lines.withColumn("r", F.from_csv("value", ", ".join(f"{c} string" for c in names), {"sep": sep, "quote": quote, "escape": escape, "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE", **({"nullValue": none} if none else {})}))
         return parsed, [F.col("value"), *[F.col(f"r.{c}") for c in names]], named
     if conv.type == "fixed-width":
         df = spark.read.text(path)
