@@ -89,7 +89,7 @@ def links(prints: DataFrame) -> DataFrame:
     prints is read twice: its count says how many buckets there must be for one to stay small."""
     spark = prints.sparkSession
     parts = shuffle_partitions(spark)
-    buckets = max(8 * parts, -(-prints.count() * MEAN_VARIANTS // BUCKET_VARIANTS))
+    buckets = max(32 * parts, -(-prints.count() * MEAN_VARIANTS // BUCKET_VARIANTS))
     together = 4096 if buckets <= 1 << 16 else 16384  # fingerprints whose variants are dealt at a time
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +99,13 @@ def links(prints: DataFrame) -> DataFrame:
             odd = _popcount(fp) % 2 == 1
             keys = np.concatenate([(fp[:, None] ^ mask[None, :65]).ravel(), (fp[odd, None] ^ mask[None, 65:]).ravel()])
             codes = np.concatenate([np.tile(code[:65], len(fp)), np.tile(code[65:], int(odd.sum()))])
-            at = ((_mixed(keys) >> U(24)) % U(buckets)).astype(np.int64)
+            at = ((_mixed(keys) >> U(24)) % U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
             order = np.argsort(at, kind="stable")
             keys, codes, at = keys[order], codes[order], at[order]
-            some, cut = np.unique(at, return_index=True)
-            ends = np.append(cut[1:], len(at))
-            pairs = list(zip(cut.tolist(), ends.tolist()))
+            cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            pairs = list(zip(cut.tolist(), np.append(cut[1:], len(at)).tolist()))
             return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int64()), pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([codes[a:b].tobytes() for a, b in pairs], pa.binary())],
+                [pa.array(at[cut].astype(np.int64)), pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([codes[a:b].tobytes() for a, b in pairs], pa.binary())],
                 ["bucket", "keys", "codes"],
             )
 
