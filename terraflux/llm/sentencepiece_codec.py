@@ -21,6 +21,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from pathlib import Path
 from struct import pack
 
@@ -33,8 +34,9 @@ from .common import bounded_batches, map_rows, table, texts
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Chunks that a worker keeps, about 350 bytes each.
-_CACHE = 800_000
+_LINE_CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: Chunks that a worker keeps, about 230 bytes each.
+_CACHE = 500_000
 
 
 def _fields(data: bytes):
@@ -110,6 +112,8 @@ class Codec:
     dummy_prefix: bool = True
     squeeze: bool = True
     byte_fallback: bool = False
+    splits: bool = False
+    cut: re.Pattern = _CHUNK
     merges: dict[str, float] = field(default_factory=dict)
     ids: dict[str, int] = field(default_factory=dict)
 
@@ -137,6 +141,8 @@ class Codec:
         c.begin, c.end = pieces.index("<s>"), pieces.index("</s>")
         c.byte_ids = [pieces.index(f"<0x{b:02X}>") for b in range(256)] if c.byte_fallback else []
         c.splits = not any(MARK in p.lstrip(MARK) for p in c.ids)
+        # a line's end that no longer piece holds stands alone, where it can't join other unknown characters
+        c.cut = _LINE_CHUNK if c.byte_fallback and not any("\n" in p and len(p) > 1 for p in c.ids) else _CHUNK
         return c
 
     # normalisation
@@ -222,7 +228,7 @@ class Codec:
         return [x for x in s if x]
 
     def chunks(self, normalised: str) -> list[str]:
-        return _CHUNK.findall(normalised) if self.splits else [normalised] if normalised else []
+        return self.cut.findall(normalised) if self.splits else [normalised] if normalised else []
 
     def chunk_pieces(self, chunk: str) -> list[tuple[int, int]]:
         """(id, characters) of a chunk; of a character's byte pieces the last counts its character."""
@@ -299,26 +305,40 @@ def _lossy(raw: bytes) -> bytes:
 
 
 class _Chunks(dict):
-    """chunk -> (ids and characters of its pieces as little-endian 32-bit integers, decoded bytes)."""
+    """chunk -> its pieces as little-endian 64-bit integers: the id, and above it the number of characters."""
 
     def __init__(self, codec: Codec):
         self.codec = codec
+        plain = [k not in (BYTE, UNKNOWN, CONTROL) for k in codec.kinds]
+        self.special = ~np.array(plain, bool)
+        self.texts = [p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p in codec.pieces]
 
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes, bytes]:
-        known = self.codec.ids
-        pieces = self.codec._merge(chunk)
-        try:  # ordinary pieces alone: they decode to the chunk itself
-            form = f"<{len(pieces)}I"
-            got = pack(form, *[known[p] for p in pieces]), pack(form, *map(len, pieces)), chunk.replace(MARK, " ").encode("utf-8", "surrogatepass")
-        except KeyError:
-            ids, sizes = zip(*self.codec.chunk_pieces(chunk), strict=True)
-            got = np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(), self.codec._decode(list(ids))
+    def __missing__(self, chunk: str) -> bytes:
+        pieces = self.codec.chunk_pieces(chunk)
+        got = pack(f"<{len(pieces)}Q", *[i | n << 32 for i, n in pieces])
         if len(chunk) < 64:
-            if len(self) >= _CACHE:
+            if len(self) >= _CACHE:  # those that came first are mostly frequent
+                kept = list(islice(self.items(), _CACHE // 4))
                 self.clear()
+                self.update(kept)
             self[chunk] = got
         return got
 
+    def pieces(self, norm: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of characters of a normalised text's pieces."""
+        both = np.frombuffer(b"".join(map(self.__getitem__, self.codec.chunks(norm))), "<u8")
+        return (both & np.uint64(0xFFFFFFFF)).astype(np.int32), (both >> np.uint64(32)).astype(np.int64)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids: runs of ordinary pieces by table, others by the codec."""
+        special, plain = self.special[ids], ids.tolist()
+        if special.any():
+            cuts = [0, *(np.flatnonzero(special[1:] != special[:-1]) + 1).tolist(), len(plain)]
+            data = b"".join(self.codec._decode(plain[a:b]) if special[a] else b"".join(map(self.texts.__getitem__, plain[a:b])) for a, b in zip(cuts, cuts[1:]))
+        else:
+            data = b"".join(map(self.texts.__getitem__, plain))
+        return self.codec._trim(data).decode("utf-8", "surrogatepass")
+
 
 _WORKER: dict[bytes, _Chunks] = {}
 
@@ -357,15 +377,13 @@ def encode(docs: DataFrame, *, model_path: str | None = None) -> DataFrame:
             out: dict[str, list] = {"doc_id": cols["doc_id"], "ids": [], "begins": [], "ends": [], "decoded": []}
             for t in cols["text"]:
                 norm, origin = codec.aligned_array(t or "")
-                got = [known[c] for c in codec.chunks(norm)]
-                sizes = np.frombuffer(b"".join([g[1] for g in got]), "<u4")
-                at = np.append(0, np.cumsum(sizes, dtype=np.int64))  # characters before each piece
-                span = origin[at].astype(np.int32)
+                ids, sizes = known.pieces(norm)
+                span = origin[np.append(0, np.cumsum(sizes))].astype(np.int32)  # by characters before each piece
                 size = np.int32(len((t or "").encode("utf-8", "surrogatepass")))
-                out["ids"].append(np.concatenate([[codec.begin], np.frombuffer(b"".join([g[0] for g in got]), "<u4"), [codec.end]]).astype(np.int32))
+                out["ids"].append(np.concatenate([[np.int32(codec.begin)], ids, [np.int32(codec.end)]]))
                 out["begins"].append(np.concatenate([[np.int32(0)], span[:-1], [size]]))
                 out["ends"].append(np.concatenate([[np.int32(0)], span[1:], [size]]))
-                out["decoded"].append(codec._trim(b"".join([g[2] for g in got])).decode("utf-8", "surrogatepass"))
+                out["decoded"].append(known.decode(ids))
             return out
 
         return step
