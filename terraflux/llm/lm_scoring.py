@@ -59,6 +59,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: A random number for each byte, 0 for white space, and the multiplier of a byte's place in its word.
 _BYTES = np.random.default_rng(SEED).integers(1, 1 << 63, 256, U) * U(2) + U(1)
 _BYTES[list(SPACES.encode())] = 0
+_INSIDE = _BYTES != 0
 _PLACE = U(0x9FB21C651E98DF25)
 END_HASH = U(0x2545F4914F6CDD1D)
 #: Bytes that are hashed at a time.
@@ -72,9 +73,7 @@ class Words:
     def __init__(self, texts: list[bytes]):
         self.buffer = b" ".join(texts).lower() + b" "
         self.data = np.frombuffer(self.buffer, np.uint8)
-        inside = np.empty(len(self.data) + 1, bool)
-        inside[0] = False
-        np.not_equal(_BYTES[self.data], 0, out=inside[1:])
+        inside = np.append(False, _INSIDE[self.data])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
         cut = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
