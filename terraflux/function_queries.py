@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.st import column_function as st
+from .operators.joins import spread
 from .queries import query
 from .sources.convert import Converter, convert_features
 from .sources.tables import read
@@ -20,9 +21,9 @@ def _text(*parts: str | Column) -> Column:
 
 
 def _keys(spark: SparkSession, d: str, table: str = "supplier", key: str = "s_suppkey") -> DataFrame:
-    """(k, a, b): a key, and two whole numbers of it."""
+    """(k, a, b): a key, and two whole numbers of it, in many tasks, since shapes are much work."""
     k = F.col(key)
-    return read(spark, d, table).select(k.alias("k"), (k % 60).alias("a"), (k % 25).alias("b"))
+    return spread(read(spark, d, table).select(key)).select(k.alias("k"), (k % 60).alias("a"), (k % 25).alias("b"))
 
 
 _K = "(SELECT s_suppkey AS k, s_suppkey % 60 AS a, s_suppkey % 25 AS b FROM supplier)"

@@ -53,11 +53,21 @@ def _decode(kind: str, v):
 def column_function(name: str) -> Callable[..., Column]:
     f, args, result = FUNCTIONS[ALIASES.get(name, name)]
 
+    def one(row: tuple):
+        got = f(*(_decode(k, v) for k, v in zip(args, row, strict=True)))
+        return G.to_wkb(got) if isinstance(got, G.Geometry) else got
+
     def run(*cols: pa.Array) -> pa.Array:
-        out = []
+        out, seen = [], {}  # equal arguments in a batch are computed once
         for row in zip(*(c.to_pylist() for c in cols), strict=True):
-            got = None if any(v is None for v in row) else f(*(_decode(k, v) for k, v in zip(args, row, strict=True)))
-            out.append(G.to_wkb(got) if isinstance(got, G.Geometry) else got)
+            if any(v is None for v in row):
+                out.append(None)
+            elif GEOMS in args or 0.0 in row:  # lists are no keys, and zeros of either sign one
+                out.append(one(row))
+            else:
+                if row not in seen:
+                    seen[row] = one(row)
+                out.append(seen[row])
         return pa.array(out, _ARROW[result])
 
     run.__name__ = name

@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 
+# tasks
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out anew, by the keys if given, to as many tasks as keep the cluster busy. A small file is
+    one task, and adaptive execution joins small partitions, however much work their rows are. Without
+    keys, what has tasks enough stays as it is."""
+    spark = df.sparkSession
+    n = 4 * max(4, spark.sparkContext.defaultParallelism)
+    if keys:
+        return df.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 # grids
 
 

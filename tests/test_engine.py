@@ -418,3 +418,22 @@ def test_command_line(spark, tmp_path, capsys):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, lon double, lat double")
     assert [list(export.records(df, f)) for f in ("values", "tuples", "dicts")] == [[1], [(1, 2.0, 3.0)], [{"id": 1, "lon": 2.0, "lat": 3.0}]]
     assert next(export.records(df, "geojson", "lon", "lat")) == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [2.0, 3.0]}, "properties": {"id": 1}}
+
+
+def test_shapes_are_computed_in_many_tasks_and_equal_ones_once(spark):
+    from terraflux.queries import QUERIES
+
+    assert QUERIES["st_processing"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x, y):
+        calls.add(1)
+        return x + y
+
+    st.FUNCTIONS["st_counted"] = (counted, (st.NUM, st.NUM), st.NUM)
+    try:
+        rows = spark.range(0, 100, 1, 1).select((F.col("id") % 5 + 1.0).alias("x"), F.when(F.col("id") % 50 != 0, F.lit(2.0)).alias("y"))
+        got = rows.select(st.column_function("st_counted")("x", "y").alias("s")).collect()
+    finally:
+        del st.FUNCTIONS["st_counted"]
+    assert [r.s for r in got] == [None if i % 50 == 0 else i % 5 + 3.0 for i in range(100)] and calls.value == 5
