@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = 4 * max(4, spark.sparkContext.defaultParallelism)
     if keys:
-        return df.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+        return df.repartition(n, *keys)
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
@@ -125,6 +126,48 @@ def spatial_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box:
     return a.join(b, on).where(predicate).drop("__a", "__b", "__sa", "__sb")
 
 
+#: Levels of cells for nearest rows: each halves the reach of the one before.
+LEVELS = 12
+
+
+def _reach_cells(metres: float, level: Column | int = 0) -> tuple[Callable[[Column], Column], Callable[[Column, Column], Column], Callable[[Column, Column], Column]]:
+    """Rows of cells by latitude, columns of a row by longitude, and the number of cells about a row,
+    so that all within ``metres`` / 2^level lies in the 3 x 3 cells about a point. A row of cells is cut so
+    that its cells are at least as wide as the reach anywhere in it; at a pole it is one cell."""
+    size = F.lit(max(math.degrees(metres / native.EARTH_RADIUS) * 1.001, 1e-6)) / (F.pow(F.lit(2.0), level) if isinstance(level, Column) else F.lit(float(2**level)))
+
+    def count(row: Column) -> Column:
+        far = F.greatest(F.abs(row * size), F.abs((row + 1) * size)) + size
+        return F.when(far < 89.9, F.greatest(F.lit(1.0), F.floor(360.0 * F.cos(F.radians(far)) / size))).otherwise(F.lit(1.0))
+
+    return (lambda lat: F.floor(lat / size).cast("int")), (lambda lon, row: F.pmod(F.floor((lon + 180.0) * count(row) / 360.0), count(row)).cast("int")), count
+
+
+def _cell(lon: Column, lat: Column, metres: float, level: Column | int = 0) -> Column:
+    row, column, _ = _reach_cells(metres, level)
+    return F.struct(row(lat).alias("r"), column(lon, row(lat)).alias("c"))
+
+
+def _cells_about(lon: Column, lat: Column, metres: float, level: Column | int = 0) -> Column:
+    row, column, count = _reach_cells(metres, level)
+    about = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    return F.flatten(F.transform(F.transform(about, lambda k: row(lat) + k), lambda r: F.array_distinct(F.transform(about, lambda k: F.struct(r.alias("r"), F.pmod(column(lon, r) + k, count(r)).cast("int").alias("c"))))))
+
+
+def _places(df: DataFrame, at: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+    """The different places of the rows, so that what many rows share is computed once."""
+    return df.select(F.col(at[0]).alias(names[0]), F.col(at[1]).alias(names[1])).where(" AND ".join(f"{n} IS NOT NULL" for n in names)).distinct()
+
+
+def _at_places(df: DataFrame, at: tuple[str, str], places: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """Rows of df with those of places that have their place."""
+    return df.join(places, (df[at[0]] == places[names[0]]) & (df[at[1]] == places[names[1]])).drop(*names)
+
+
+def _dealt(df: DataFrame, cell: str, *more: str) -> DataFrame:
+    return spread(df.select("*", F.col(f"{cell}.r").alias(f"{cell}r"), F.col(f"{cell}.c").alias(f"{cell}c")).drop(cell), f"{cell}r", f"{cell}c", *more)
+
+
 def _near(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], metres: float, times: tuple[str, str, float] | None = None) -> DataFrame:
     """All pairs within the distance, with column ``distance_m``; both sides' names must differ. With
     times (column of queries, of data, reach in the same unit) also within the reach in time, by
@@ -170,10 +213,43 @@ def proximity(data: DataFrame, queries: DataFrame, key: str, d: tuple[str, str],
     return data.join(near, key, "left_semi")
 
 
+def _nearest_of_places(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], data_key: str, k: int, metres: float) -> DataFrame:
+    """For each different place (__qx, __qy) of queries its k nearest rows of data within the distance,
+    with ``distance_m``. Of a place of data only the k first keys can be among them. Each place of queries
+    is compared with cells of the smallest reach (``metres`` halved again and again) that is sure to
+    hold k rows: those in a cell of its own whose diagonal is no longer than the reach."""
+    first = data.where(F.col(d[0]).isNotNull() & F.col(d[1]).isNotNull())
+    first = first.withColumn("__n", F.row_number().over(Window.partitionBy(*d).orderBy(data_key))).where(F.col("__n") <= k).drop("__n")
+    first = first.withColumns({"__dx": F.col(d[0]), "__dy": F.col(d[1])})
+    places = _places(queries, q, ("__qx", "__qy"))
+    levels = [n for n in range(LEVELS + 1) if not n or metres / 2**n >= 1.0]
+    leveled = lambda df: df.withColumn("__level", F.explode(F.array(*map(F.lit, levels))))
+    # own cells: sides of half the reach at most, measured where the row is widest
+    half = F.lit(max(math.degrees(metres / native.EARTH_RADIUS), 1e-6) * 0.499) / F.pow(F.lit(2.0), F.col("__level"))
+
+    def own(x: str, y: str) -> list[Column]:
+        row = F.floor(F.col(y) / half)
+        n = F.greatest(F.lit(1.0), F.ceil(360.0 * F.cos(F.radians(F.least(F.abs(row * half), F.abs((row + 1) * half)))) / half))
+        return [row.alias("__r"), F.least(F.floor((F.col(x) + 180.0) * n / 360.0), n - 1).cast("long").alias("__c")]
+
+    full = leveled(first.select("__dx", "__dy")).groupBy("__level", *own("__dx", "__dy")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= k).select("__level", "__r", "__c", F.col("__level").alias("__full"))
+    places = leveled(places).select("__qx", "__qy", "__level", *own("__qx", "__qy")).join(full, ["__level", "__r", "__c"], "left")
+    places = places.groupBy("__qx", "__qy").agg(F.coalesce(F.max("__full"), F.lit(0)).alias("__ql"))
+    a = _dealt(places.withColumn("__q", F.explode(_cells_about(F.col("__qx"), F.col("__qy"), metres, F.col("__ql")))), "__q", "__ql")
+    b = leveled(first).withColumnRenamed("__level", "__dl")
+    b = _dealt(b.withColumn("__d", _cell(F.col("__dx"), F.col("__dy"), metres, F.col("__dl"))), "__d", "__dl")
+    pairs = a.join(b, (a["__qr"] == b["__dr"]) & (a["__qc"] == b["__dc"]) & (a["__ql"] == b["__dl"]))
+    pairs = pairs.withColumn("distance_m", native.distance_sphere("__qx", "__qy", "__dx", "__dy"))
+    pairs = pairs.where((F.col("distance_m") <= metres) & (F.col("distance_m") <= metres * 1.000001 / F.pow(F.lit(2.0), F.col("__ql"))))
+    near = pairs.select("__qx", "__qy", *data.columns, "distance_m")
+    w = Window.partitionBy("__qx", "__qy").orderBy("distance_m", data_key)
+    return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
+
+
 def k_nearest(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], query_key: str, data_key: str, k: int, metres: float) -> DataFrame:
     """The k nearest rows of data for each query point within the distance, with ``rank`` and
     ``distance_m``; ties go by the data's key. Exact."""
-    pairs = _near(queries, data, q, d, metres)
+    pairs = _at_places(queries, q, _nearest_of_places(queries, data, q, d, data_key, k, metres), ("__qx", "__qy"))
     w = Window.partitionBy(query_key).orderBy("distance_m", data_key)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

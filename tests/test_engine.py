@@ -437,3 +437,62 @@ def test_shapes_are_computed_in_many_tasks_and_equal_ones_once(spark):
     finally:
         del st.FUNCTIONS["st_counted"]
     assert [r.s for r in got] == [None if i % 50 == 0 else i % 5 + 3.0 for i in range(100)] and calls.value == 5
+
+
+def _near_data(spark):
+    """Points in clusters, at poles, about the antimeridian and alone; many at one place, some nowhere."""
+    import random
+
+    rnd = random.Random(3)
+    some = [(rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for _ in range(60)] + [(rnd.choice([-180.0, 180.0, 179.9, -179.95]), rnd.uniform(-60, 60)) for _ in range(20)]
+    some += [(rnd.uniform(-180, 180), rnd.choice([-1, 1]) * rnd.uniform(89.5, 90)) for _ in range(20)] + [(10 + rnd.gauss(0, 0.01), 50 + rnd.gauss(0, 0.01)) for _ in range(40)] + [(0.0, 90.0), (-0.0, -90.0)]
+    q = [(i, *rnd.choice(some)) for i in range(150)] + [(150, None, 1.0), (151, 12.0, 50.0), (152, 100.0, -45.0)]
+    d = [(i, *rnd.choice(some)) for i in range(300)] + [(300, 5.0, None), (301, None, None)]
+    return q, d, spark.createDataFrame(q, "q long, qx double, qy double"), spark.createDataFrame(d, "key long, x double, y double").withColumn("i", F.lit("a name that clashes with none"))
+
+
+def _near_brute(q, d, metres):
+    from terraflux.geom.measure import sphere_distance
+
+    whole = lambda r: None not in r
+    return {a[0]: sorted((m, b[0]) for b in filter(whole, d) if (m := sphere_distance(a[1:], b[1:])) <= metres) for a in filter(whole, q)}
+
+
+def _most_joined(df):
+    """The largest count of rows that came out of a join."""
+
+    def walk(p):
+        name, kids = p.nodeName(), p.children()
+        under = [p.executedPlan()] if name.startswith("Adaptive") else [p.plan()] if "QueryStage" in name else [kids.apply(i) for i in range(kids.size())]
+        return max([p.metrics().apply("numOutputRows").value() if "Join" in name else 0, *map(walk, under)])
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def _copies(spark):
+    """3,000 rows on each side, at 30 places that are near each other."""
+    at = lambda f: (10 + F.col("id") % 30 * f).cast("double")
+    rows = spark.range(3000)
+    return rows.select(F.col("id").alias("q"), at(0.01).alias("qx"), at(0.011).alias("qy")), rows.select(F.col("id").alias("key"), at(0.012).alias("x"), at(0.013).alias("y"))
+
+
+NEAR = (("qx", "qy"), ("x", "y"))
+
+
+@pytest.mark.parametrize("k, metres", [(1, 3_000.0), (3, 900_000.0), (20, 2_500_000.0), (400, 30_000_000.0)])
+def test_k_nearest_is_that_of_all_pairs(spark, k, metres):
+    q, d, a, b = _near_data(spark)
+    got = {}
+    for r in joins.k_nearest(a, b, *NEAR, "q", "key", k, metres).select("q", "rank", "distance_m", "key").collect():
+        got.setdefault(r.q, []).append((r["rank"], r.distance_m, r.key))
+    want = {n: v[:k] for n, v in _near_brute(q, d, metres).items() if v}
+    assert got.keys() == want.keys()
+    for n, rows in got.items():
+        assert [r for r, *_ in sorted(rows)] == list(range(1, len(want[n]) + 1)) and [m for _, m, _ in sorted(rows)] == pytest.approx([m for m, _ in want[n]], abs=1e-3)
+
+
+def test_k_nearest_makes_no_pairs_of_copies(spark):
+    q, d = _copies(spark)
+    df = joins.k_nearest(q, d, *NEAR, "q", "key", 2, 500_000.0)
+    assert _most_joined(df) < 100_000 and df.count() == 6000
