@@ -256,7 +256,7 @@ def k_nearest(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[
 
 def nearest_set(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], query_key: str, data_key: str, k: int, metres: float) -> DataFrame:
     """The rows of data that are among the k nearest of any query point, each once."""
-    return data.join(k_nearest(queries, data, q, d, query_key, data_key, k, metres).select(data_key).distinct(), data_key, "left_semi")
+    return data.join(_nearest_of_places(queries, data, q, d, data_key, k, metres).select(data_key).distinct(), data_key, "left_semi")
 
 
 def route_search(points: DataFrame, route: list[tuple[float, float]], lon: str, lat: str, heading: str, *, buffer_m: float, threshold: float, bidirectional: bool = False) -> DataFrame:

@@ -496,3 +496,13 @@ def test_k_nearest_makes_no_pairs_of_copies(spark):
     q, d = _copies(spark)
     df = joins.k_nearest(q, d, *NEAR, "q", "key", 2, 500_000.0)
     assert _most_joined(df) < 100_000 and df.count() == 6000
+
+
+def test_nearest_set_is_that_of_all_pairs(spark):
+    q, d, a, b = _near_data(spark)
+    rows = joins.nearest_set(a, b, *NEAR, "q", "key", 2, 1_500_000.0).collect()
+    want = {key for v in _near_brute(q, d, 1_500_000.0).values() for _, key in v[:2]}
+    assert sorted(r.key for r in rows) == sorted(want) and rows[0].i == "a name that clashes with none"
+    q, d = _copies(spark)
+    df = joins.nearest_set(q, d, *NEAR, "q", "key", 2, 500_000.0)
+    assert _most_joined(df) < 30_000  # no pairs of copies, and no nearest rows for each of the copies
