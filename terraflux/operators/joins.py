@@ -207,10 +207,25 @@ def within_distance(queries: DataFrame, data: DataFrame, q: tuple[str, str], d:
     return _near(queries, data, q, d, metres)
 
 
+def _near_any(data: DataFrame, queries: DataFrame, metres: float, reach: float | None = None) -> DataFrame:
+    """Rows of data (__dx, __dy, with reach also __dt) within the distance, and the reach in time, of any
+    row of queries (__qx, __qy, __qt): a semi-join, which makes no pairs and stops at the first."""
+    a = queries.withColumn("__q", F.explode(_cells_about(F.col("__qx"), F.col("__qy"), metres)))
+    b = data.withColumn("__d", _cell(F.col("__dx"), F.col("__dy"), metres))
+    if reach is not None:
+        of = lambda c: F.floor(F.col(c) / max(reach, 1e-9)).cast("long")
+        a, b = a.withColumn("__qb", F.explode(F.sequence(of("__qt") - 1, of("__qt") + 1))), b.withColumn("__db", of("__dt"))
+    a, b = (_dealt(t, k, *([k + "b"] if reach is not None else [])) for t, k in ((a, "__q"), (b, "__d")))
+    on = (a["__qr"] == b["__dr"]) & (a["__qc"] == b["__dc"]) & (native.distance_sphere(a["__qx"], a["__qy"], b["__dx"], b["__dy"]) <= metres)
+    if reach is not None:
+        on = on & (a["__qb"] == b["__db"]) & (F.abs(b["__dt"] - a["__qt"]) < reach)
+    return b.join(a, on, "left_semi").drop("__dr", "__dc", "__db")
+
+
 def proximity(data: DataFrame, queries: DataFrame, key: str, d: tuple[str, str], q: tuple[str, str], metres: float) -> DataFrame:
     """Rows of data within the distance of any query point, each once."""
-    near = _near(queries.select(*q), data.select(key, *d), q, d, metres).select(key).distinct()
-    return data.join(near, key, "left_semi")
+    near = _near_any(_places(data, d, ("__dx", "__dy")), _places(queries, q, ("__qx", "__qy")), metres)
+    return data.join(near, (data[d[0]] == near["__dx"]) & (data[d[1]] == near["__dy"]), "left_semi")
 
 
 def _nearest_of_places(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], data_key: str, k: int, metres: float) -> DataFrame:
@@ -294,8 +309,9 @@ def tube_select(data: DataFrame, track: DataFrame, key: str, d: tuple[str, str,
         share = F.coalesce(F.transform(F.sequence(F.lit(0), n - 1), lambda k: k / n), F.array(F.lit(0.0)))
         at = lambda a, b: F.col(a) + F.coalesce((F.col(b) - F.col(a)) * F.col("__s"), F.lit(0.0))
         pts = gaps.withColumn("__s", F.explode(share)).select(at("__x", "__x1").alias("__x"), at("__y", "__y1").alias("__y"), at("__t", "__t1").cast("long").alias("__t"))
+    pts = pts.select(F.col("__x").alias("__qx"), F.col("__y").alias("__qy"), F.col("__t").alias("__qt")).distinct()
     rows = data.select(key, F.col(d[0]).alias("__dx"), F.col(d[1]).alias("__dy"), F.unix_millis(F.col(d[2]).cast("timestamp")).alias("__dt"))
-    hit = _near(pts, rows, ("__x", "__y"), ("__dx", "__dy"), metres, ("__t", "__dt", 1000.0 * max_time_s)).select(key).distinct()
+    hit = _near_any(rows, pts, metres, 1000.0 * max_time_s).select(key).distinct()
     return data.join(hit, key, "left_semi")
 
 

@@ -506,3 +506,19 @@ def test_nearest_set_is_that_of_all_pairs(spark):
     q, d = _copies(spark)
     df = joins.nearest_set(q, d, *NEAR, "q", "key", 2, 500_000.0)
     assert _most_joined(df) < 30_000  # no pairs of copies, and no nearest rows for each of the copies
+
+
+def test_proximity_is_that_of_all_pairs(spark):
+    q, d, a, b = _near_data(spark)
+    for metres in (0.0, 2_000.0, 700_000.0, 30_000_000.0):
+        want = {key for v in _near_brute(q, d, metres).values() for _, key in v}
+        assert sorted(r.key for r in joins.proximity(b, a, "key", ("x", "y"), ("qx", "qy"), metres).collect()) == sorted(want)
+    q, d = _copies(spark)
+    assert _most_joined(joins.proximity(d, q, "key", ("x", "y"), ("qx", "qy"), 500_000.0)) == 3000
+
+
+def test_tubes_make_no_pairs(spark):
+    q, d = _copies(spark)
+    at = lambda df: df.withColumn("t", F.timestamp_seconds(F.lit(1_700_000_000)))
+    df = joins.tube_select(at(d), at(q), "key", ("x", "y", "t"), ("qx", "qy", "t"), buffer_m=500_000.0, max_time_s=60.0)
+    assert _most_joined(df) == 3000
