@@ -168,43 +168,20 @@ def _dealt(df: DataFrame, cell: str, *more: str) -> DataFrame:
     return spread(df.select("*", F.col(f"{cell}.r").alias(f"{cell}r"), F.col(f"{cell}.c").alias(f"{cell}c")).drop(cell), f"{cell}r", f"{cell}c", *more)
 
 
-def _near(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], metres: float, times: tuple[str, str, float] | None = None) -> DataFrame:
-    """All pairs within the distance, with column ``distance_m``; both sides' names must differ. With
-    times (column of queries, of data, reach in the same unit) also within the reach in time, by
-    bins of time beside the cells."""
-    half_h = math.degrees(metres / native.EARTH_RADIUS) * (1 + 1e-9)
-    size = max(half_h * 2, 1e-6)
-    rows = F.floor(F.col(d[1]) / size).cast("int")
-    # a row of cells of constant latitude is cut so that its cells are at least as wide as the reach anywhere in it
-    def width(row: Column) -> Column:
-        far = F.least(F.lit(89.9), F.greatest(F.abs(row * size), F.abs((row + 1) * size)) + half_h)
-        return F.least(F.lit(360.0), F.lit(size) / F.cos(F.radians(far)))
-
-    def column(lon: Column, row: Column) -> Column:
-        n = F.greatest(F.lit(1.0), F.floor(360.0 / width(row)))
-        return F.pmod(F.floor((lon + 180.0) * n / 360.0), n).cast("int")
-
-    def count(row: Column) -> Column:
-        return F.greatest(F.lit(1.0), F.floor(360.0 / width(row))).cast("int")
-
-    data = data.withColumn("__row", rows).withColumn("__col", column(F.col(d[0]), F.col("__row")))
-    near_rows = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(q[1]) / size).cast("int") + k)
-    cells = F.flatten(F.transform(near_rows, lambda r: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.struct(r.alias("r"), F.pmod(column(F.col(q[0]), r) + k, count(r)).cast("int").alias("c"))))))
-    queries = queries.withColumn("__q", F.explode(cells))
-    when = F.lit(True)
-    if times:
-        a, b, reach = times
-        of = lambda c: F.floor(F.col(c) / max(reach, 1e-9)).cast("long")
-        queries = queries.withColumn("__bin", F.explode(F.sequence(of(a) - 1, of(a) + 1)))
-        data = data.withColumn("__at", of(b))
-        when = (queries["__bin"] == data["__at"]) & (F.abs(data[b] - queries[a]) < reach)
-    dist = native.distance_sphere(queries[q[0]], queries[q[1]], data[d[0]], data[d[1]])
-    pairs = queries.join(data, (queries["__q.r"] == data["__row"]) & (queries["__q.c"] == data["__col"]) & when)
-    return pairs.withColumn("distance_m", dist).where(F.col("distance_m") <= metres).drop("__q", "__row", "__col", "__bin", "__at")
+def _near_places(queries: DataFrame, data: DataFrame, metres: float) -> DataFrame:
+    """All pairs within the distance, of places (__qx, __qy) and (__dx, __dy), with ``distance_m``."""
+    a = _dealt(queries.withColumn("__q", F.explode(_cells_about(F.col("__qx"), F.col("__qy"), metres))), "__q")
+    b = _dealt(data.withColumn("__d", _cell(F.col("__dx"), F.col("__dy"), metres)), "__d")
+    pairs = a.join(b, (a["__qr"] == b["__dr"]) & (a["__qc"] == b["__dc"]))
+    pairs = pairs.withColumn("distance_m", native.distance_sphere("__qx", "__qy", "__dx", "__dy"))
+    return pairs.where(F.col("distance_m") <= metres).drop("__qr", "__qc", "__dr", "__dc")
 
 
 def within_distance(queries: DataFrame, data: DataFrame, q: tuple[str, str], d: tuple[str, str], metres: float) -> DataFrame:
-    return _near(queries, data, q, d, metres)
+    """All pairs within the distance, with column ``distance_m``; both sides' names must differ. Distances
+    are those of different places; the rows come to them by equi-joins."""
+    near = _near_places(_places(queries, q, ("__qx", "__qy")), _places(data, d, ("__dx", "__dy")), metres)
+    return _at_places(queries, q, spread(_at_places(data, d, near, ("__dx", "__dy")), "__qx", "__qy"), ("__qx", "__qy"))
 
 
 def _near_any(data: DataFrame, queries: DataFrame, metres: float, reach: float | None = None) -> DataFrame:

@@ -522,3 +522,18 @@ def test_tubes_make_no_pairs(spark):
     at = lambda df: df.withColumn("t", F.timestamp_seconds(F.lit(1_700_000_000)))
     df = joins.tube_select(at(d), at(q), "key", ("x", "y", "t"), ("qx", "qy", "t"), buffer_m=500_000.0, max_time_s=60.0)
     assert _most_joined(df) == 3000
+
+
+def test_within_distance_is_that_of_all_pairs(spark):
+    q, d, a, b = _near_data(spark)
+    for metres in (0.0, 2_000.0, 700_000.0, 30_000_000.0):
+        rows = joins.within_distance(a, b, *NEAR, metres).collect()
+        want = sorted((n, key) for n, v in _near_brute(q, d, metres).items() for _, key in v)
+        assert sorted((r.q, r.key) for r in rows) == want
+    assert rows[0].i == "a name that clashes with none"
+
+
+def test_within_distance_deals_out_different_places(spark):
+    q, d = _copies(spark)
+    plan = explain(joins.within_distance(q, d, *NEAR, 1000.0))
+    assert plan.count("REPARTITION_BY_NUM") >= 3 and "HashAggregate" in plan
