@@ -397,7 +397,8 @@ def geohash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cust_geom(spark: SparkSession, d: str) -> DataFrame:
-    return _cust(spark, d).withColumn("geom", st("st_makepoint")("lon", "lat"))
+    """Customers with a geometry, in many tasks, since shapes are much work."""
+    return joins.spread(_cust(spark, d)).withColumn("geom", st("st_makepoint")("lon", "lat"))
 
 
 @query("SELECT c_custkey, n_nationkey FROM {CU} c JOIN {NB} b ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1")
@@ -453,7 +454,7 @@ def st_convex_hull(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, 'POINT (' || CASE WHEN lon = floor(lon) THEN lon::BIGINT::VARCHAR ELSE round(lon, 2)::VARCHAR END || ' ' || CASE WHEN lat = floor(lat) THEN lat::BIGINT::VARCHAR ELSE round(lat, 2)::VARCHAR END || ')' AS wkt FROM (SELECT c_custkey, round(lon, 2) AS lon, round(lat, 2) AS lat FROM {CU})")
 def st_as_text(spark: SparkSession, d: str) -> DataFrame:
-    return _cust(spark, d).select("c_custkey", st("st_astext")(st("st_makepoint")(F.round("lon", 2), F.round("lat", 2))).alias("wkt"))
+    return joins.spread(_cust(spark, d)).select("c_custkey", st("st_astext")(st("st_makepoint")(F.round("lon", 2), F.round("lat", 2))).alias("wkt"))
 
 
 # converter functions

@@ -537,3 +537,11 @@ def test_within_distance_deals_out_different_places(spark):
     q, d = _copies(spark)
     plan = explain(joins.within_distance(q, d, *NEAR, 1000.0))
     assert plan.count("REPARTITION_BY_NUM") >= 3 and "HashAggregate" in plan
+
+
+def test_customers_with_shapes_are_in_many_tasks(spark):
+    from terraflux.queries import QUERIES, _cust_geom
+
+    assert _cust_geom(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16
+    got = QUERIES["st_contains_join"](spark, "/root/testdata/sf0.001")
+    assert got.groupBy(F.spark_partition_id()).count().count() > 4
