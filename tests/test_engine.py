@@ -545,3 +545,10 @@ def test_customers_with_shapes_are_in_many_tasks(spark):
     assert _cust_geom(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16
     got = QUERIES["st_contains_join"](spark, "/root/testdata/sf0.001")
     assert got.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_relations_are_computed_in_many_tasks(spark):
+    from terraflux.queries import QUERIES
+
+    df = QUERIES["st_relations"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= 16
