@@ -161,12 +161,13 @@ MORE = {
 }
 
 
-def _convert(name: str, table: str, sql: str, fields: list[tuple[str, str]], finish=None) -> None:
+def _convert(name: str, table: str, sql: str, fields: list[tuple[str, str]], finish=None, shapes: bool = False) -> None:
     """Register a query that converts a whole table, with the columns of MORE; fields: name and
-    expression, the first one the key."""
+    expression, the first one the key. Rows that become shapes are dealt to many tasks, as in _keys."""
 
     def go(spark: SparkSession, d: str) -> DataFrame:
-        df = read(spark, d, table).withColumns({k: F.expr(v) for k, v in MORE.get(table, {}).items()})
+        rows = read(spark, d, table)
+        df = (spread(rows) if shapes else rows).withColumns({k: F.expr(v) for k, v in MORE.get(table, {}).items()})
         caches = {"names": ("k", {"1": {"k": "1", "name": "one"}})}
         conv = Converter("parquet", fields, id=f"toString(${fields[0][0]})", caches=caches)
         good, _ = convert_features(df, conv)
@@ -248,4 +249,5 @@ _convert(
         _wkt(F.col("g")).alias("geometry"), st("st_numgeometries")("gc").alias("collection"), F.round(st("st_xd")("pr"), 6).alias("projected"), F.col("cq").alias("cql"),
         _wkt(F.col("pl")).alias("p_line"), _wkt(F.col("pp")).alias("p_point"), st("st_numgeometries")("pmp").alias("p_points"), st("st_area")("ppg").alias("p_area"), st("st_numgeometries")("pml").alias("p_lines"), st("st_area")("pmg").alias("p_areas"), (F.col("uz") + F.col("uc")).alias("uuids"),
     ),
+    shapes=True,
 )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from math import copysign
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -62,12 +63,13 @@ def column_function(name: str) -> Callable[..., Column]:
         for row in zip(*(c.to_pylist() for c in cols), strict=True):
             if any(v is None for v in row):
                 out.append(None)
-            elif GEOMS in args or 0.0 in row:  # lists are no keys, and zeros of either sign one
+            elif GEOMS in args:  # lists are no keys
                 out.append(one(row))
-            else:
-                if row not in seen:
-                    seen[row] = one(row)
-                out.append(seen[row])
+            else:  # zeros of either sign are equal, and differ by their signs
+                key = (row, *[copysign(1.0, v) for v in row if v == 0.0]) if 0.0 in row else row
+                if key not in seen:
+                    seen[key] = one(row)
+                out.append(seen[key])
         return pa.array(out, _ARROW[result])
 
     run.__name__ = name

@@ -552,3 +552,26 @@ def test_relations_are_computed_in_many_tasks(spark):
 
     df = QUERIES["st_relations"](spark, "/root/testdata/sf0.001")
     assert df.rdd.getNumPartitions() >= 16
+
+
+def test_equal_arguments_with_zeros_are_computed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x, y):
+        calls.add(1)
+        return f"{x} {y}"
+
+    st.FUNCTIONS["st_counted"] = (counted, (st.NUM, st.NUM), st.TEXT)
+    try:
+        rows = spark.createDataFrame([(x, y) for x in (0.0, -0.0) for y in (0.0, -0.0)] * 25, "x double, y double").coalesce(1)
+        got = rows.select(st.column_function("st_counted")("x", "y").alias("s")).collect()
+    finally:
+        del st.FUNCTIONS["st_counted"]
+    assert [r.s for r in got] == ["0.0 0.0", "0.0 -0.0", "-0.0 0.0", "-0.0 -0.0"] * 25 and calls.value == 4
+
+
+def test_converted_shapes_are_made_in_many_tasks(spark):
+    from terraflux.queries import QUERIES
+
+    df = QUERIES["convert_geometries"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= 16
